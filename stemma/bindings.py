@@ -1,0 +1,11 @@
+"""The queries of the core library on the generic tables, each with its SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
