@@ -1,11 +1,13 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import exact_dedup, simhash, token_counts, url_filter, warc
+from . import exact_dedup, mixing, simhash, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_warc": warc.op6_warc,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_url_filters": url_filter.op10_url_filters,
 }
@@ -13,5 +15,6 @@ QUERIES = {
 SQL = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op7_mixing": mixing.OP7_SQL,
     "op10_url_filters": url_filter.OP10_SQL,
 }
