@@ -32,8 +32,8 @@ SEED = 42
 HEAVY = 20_000
 #: Rows of whole shards that are turned into trees at a time.
 _ROWS = 200_000
-#: Searches that walk the trees at a time, and children per node of the reported spanning trees.
-_SEARCHES, _FAN = 20_000, 16
+#: Pairs of a search and a tree node that are compared at a time, and children per node of the reported spanning trees.
+_VISITS, _FAN = 200_000, 16
 
 
 def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -142,28 +142,29 @@ def _groups(fp, run, radius: int):
     root_of = np.repeat(start, np.diff(np.r_[start, n]))
     child, key = _forest(fp, root_of)
     label = np.arange(n)
-    for lo in range(0, n, _SEARCHES):
-        q = np.arange(lo, min(n, lo + _SEARCHES))
-        node = root_of[q]
-        while q.size:
-            d = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64)
-            hit = (d <= radius) & (q != node)
-            a, b = q[hit], node[hit]
-            while True:  # union of the hits
-                a1, b1 = label[a], label[b]
-                open_ = a1 != b1
-                if not open_.any():
-                    break
-                a, b, a1, b1 = a[open_], b[open_], a1[open_], b1[open_]
-                np.minimum.at(label, np.maximum(a1, b1), np.minimum(a1, b1))
-                while (label != (up := label[label])).any():
-                    label = up
-            first = np.searchsorted(key, node * 65 + np.maximum(d - radius, 0), "left")
-            last = np.searchsorted(key, node * 65 + np.minimum(d + radius, 64), "right")
-            count = last - first
-            total = int(count.sum())
-            pos = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(total)
-            q, node = np.repeat(q, count), child[pos]
+    waiting = [(np.arange(lo, min(n, lo + _VISITS)), root_of[lo : lo + _VISITS]) for lo in range(0, n, _VISITS)]
+    while waiting:  # a stack of bounded slices: the walk goes down before it goes on
+        q, node = waiting.pop()
+        d = np.bitwise_count(fp[q] ^ fp[node]).astype(np.int64)
+        hit = (d <= radius) & (q != node)
+        a, b = q[hit], node[hit]
+        while True:  # union of the hits
+            a1, b1 = label[a], label[b]
+            open_ = a1 != b1
+            if not open_.any():
+                break
+            a, b, a1, b1 = a[open_], b[open_], a1[open_], b1[open_]
+            np.minimum.at(label, np.maximum(a1, b1), np.minimum(a1, b1))
+            while (label != (up := label[label])).any():
+                label = up
+        first = np.searchsorted(key, node * 65 + np.maximum(d - radius, 0), "left")
+        count = np.searchsorted(key, node * 65 + np.minimum(d + radius, 64), "right") - first
+        end = np.cumsum(count)
+        if not len(end) or not end[-1]:
+            continue
+        pos = np.repeat(first - (end - count), count) + np.arange(end[-1])
+        q, node = np.repeat(q, count), child[pos]
+        waiting += [(q[lo : lo + _VISITS], node[lo : lo + _VISITS]) for lo in range(0, len(q), _VISITS)]
     return label
 
 
