@@ -1,9 +1,12 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import exact_dedup, mixing, simhash, token_counts, toxicity, url_filter, warc
+from . import ann, exact_dedup, language_id, mixing, packing, simhash, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_ann": ann.op2_ann,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_packing": packing.op4_packing,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_warc": warc.op6_warc,
     "op7_mixing": mixing.op7_mixing,
