@@ -189,11 +189,10 @@ def index_rows(rows: DataFrame, tree: Tree) -> DataFrame:
     return rows.select("vec_id", "vector").mapInArrow(run, "vec_id long, vector array<double>, leaf long")
 
 
-def calibrate(indexed: DataFrame, tree: Tree, probes: list, k: int, recall: float) -> int:
-    """The visits that reach ``recall`` for the probes (vec_id, vector): their true neighbours come from a scan of all rows."""
+def calibrate(indexed: DataFrame, tree: Tree, ids, q, k: int, recall: float) -> int:
+    """The visits that reach ``recall`` for the probes (ids, vectors): their true neighbours come from a scan of all rows."""
     import numpy as np
 
-    ids, q = np.array([p[0] for p in probes]), np.array([p[1] for p in probes], float)
     held = indexed.sparkSession.sparkContext.broadcast((ids, q))
 
     def scan(batches):
@@ -249,13 +248,13 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, sample: int, leaf_rows:
     """rep, vec_id, score: the k + 1 best rows found for each distinct query vector. rows: vec_id, vector, at most k + 1 per distinct vector."""
     by_hash = [F.xxhash64("vec_id"), F.col("vec_id")]
     n = rows.count()
-    got = [(r["vec_id"], r["vector"]) for r in rows.orderBy(*by_hash).limit(sample).collect()]
     import numpy as np
 
-    x = _unit(np.array([v for _, v in got], float))
-    tree = fit_tree(x, max(1, min(n // leaf_rows, len(got) // LEAST)))
+    got = rows.select("vec_id", "vector").orderBy(*by_hash).limit(sample).toArrow()
+    ids, x = got.column(0).to_numpy(), _matrix(got.column(1))
+    tree = fit_tree(_unit(x), max(1, min(n // leaf_rows, len(x) // LEAST)))
     indexed = materialise(index_rows(rows, tree), "ann-index")
-    visits = calibrate(indexed, tree, got[:calibration], k, recall)
+    visits = calibrate(indexed, tree, ids[:calibration], x[:calibration], k, recall)
     probes = materialise(_probe(queries, tree, visits), "ann-probes")
 
     # One row per leaf: bounded by the tree.

@@ -141,7 +141,7 @@ def fit_text_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
     counts = materialise(counts, "language-counts")
     size = counts.groupBy("lang").agg(F.sum("n").alias("letters"))
     known = size.where(F.col("letters") >= F.lit(float(share)) * size.agg(F.sum("letters")).scalar()).select("lang")
-    got = counts.join(F.broadcast(known), "lang").toPandas()
+    got = counts.join(F.broadcast(known), "lang").toArrow().to_pandas()
     langs = sorted(got["lang"].unique().tolist())
     n = np.zeros((len(langs), BUCKETS))
     n[[langs.index(x) for x in got["lang"]], got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy()
