@@ -46,3 +46,17 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
+
+
+def text_slices(column, size: int = 1 << 21):
+    """Slices (from, to, list of strings) of an Arrow string column, of about ``size`` bytes each, one text at least: what Python holds at a time doesn't depend on the batch."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(column):
+        done = int(upto[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(upto, done + size, "right")))
+        yield lo, hi, column.slice(lo, hi - lo).to_pylist()
+        lo = hi
