@@ -91,7 +91,7 @@ ROLES: dict[str, tuple[str, list[str], str | None, str | None]] = {
         "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE year(o_orderdate) END AS year",
     ], None, None),
     "change": ("events", [
-        "event_id AS id", "user_id AS row_id", "ts AS at", "CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op",
+        "event_id AS id", "user_id AS row_id", "ts AS made", "CASE event_type WHEN 'signup' THEN 'insert' WHEN 'error' THEN 'delete' ELSE 'update' END AS op",
         "value AS after_value", "CAST(event_id % 500 AS BIGINT) AS set_id", "event_type AS kind",
     ], None, None),
     "record_a": ("part", [
