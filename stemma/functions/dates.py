@@ -42,6 +42,11 @@ def _month(word: Column) -> Column:
     return F.coalesce(at(4), at(3))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _padded(n: Column) -> Column:
     return F.lpad(n.cast("string"), 2, "0")
 
@@ -56,48 +61,58 @@ def fuzzy_date(raw: Column) -> Column:
     qualifier says (floruit before 'before' before 'after' before 'about').
     Null reads as an empty text.
     """
-    t0 = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
-    t = F.regexp_replace(F.regexp_replace(t0, r"\((\d{1,2})\s*\?\)", "$1"), r"(\d{4})\s*\?", "$1")
-    doubt = t != t0
-    hole = r"(?<![\d?])(\d{1,3})\?(\d{0,2})(?![\d?])"
-    head, tail = F.regexp_extract(t, hole, 1), F.regexp_extract(t, hole, 2)
-    wild = t.rlike(hole) & (F.char_length(head) + F.char_length(tail) == 3)
-    arabic = F.regexp_extract_all(t, F.lit(r"(\d{4})"), 1)
-    roman = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?<![a-z0-9_])([mdclxvi]{4,})(?![a-z0-9_])"), 1), roman_value), lambda y: y.between(1000, 2100))
-    years = F.when(F.size(arabic) > 0, arabic).when(F.size(roman) == 1, F.transform(roman, lambda y: y.cast("string"))).otherwise(F.array().cast("array<string>"))
-    n, y = F.size(years), F.get(years, F.lit(0))
-    between, before, after = t.rlike(_BETWEEN), t.rlike(_BEFORE), t.rlike(_AFTER)
-    about, floruit = t.rlike(_ABOUT), t.rlike(_FLORUIT)
-    day_form = r"(\d{1,2})\.\s*([a-zæøåäöü]+)"
-    day, month = F.nullif(F.regexp_extract(t, day_form, 1), F.lit("")).cast("int"), _month(F.regexp_extract(t, day_form, 2))
-    iso_form = r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)"
-    point = F.coalesce(
-        F.when(day.between(1, 31) & month.isNotNull(), F.concat(y, F.lit("-"), _padded(month), F.lit("-"), _padded(day))),
-        F.when(F.regexp_extract(t, iso_form, 1) == y, F.regexp_extract(t, iso_form, 0)),
-    )
+    text, null = F.lit, F.lit(None).cast("string")
     first, last = (lambda x: F.concat(x, F.lit("-01-01"))), (lambda x: F.concat(x, F.lit("-12-31")))
-    ahead = lambda word: F.instr(F.get(F.split(t, word, 2), F.lit(0)), y) > 0
-    null, text = F.lit(None).cast("string"), F.lit
-    two = F.struct(
-        first(F.array_min(years)).alias("min"), last(F.array_max(years)).alias("max"),
-        F.when(between | (before & after), text("between")).when(floruit, text("floruit")).when(about, text("about")).alias("qualifier"),
-    )
-    year = lambda q: F.struct(first(y).alias("min"), last(y).alias("max"), q.alias("qualifier"))
-    one = (
-        F.when(floruit, year(text("floruit")))
-        .when(before, F.struct(F.when(ahead(_BEFORE), first(y)).alias("min"), F.coalesce(point, last(y)).alias("max"), text("before").alias("qualifier")))
-        .when(after, F.struct(F.coalesce(point, first(y)).alias("min"), F.when(ahead(_AFTER), last(y)).alias("max"), text("after").alias("qualifier")))
-        .when(about, year(text("about")))
-        .when(point.isNotNull(), F.struct(point.alias("min"), point.alias("max"), null.alias("qualifier")))
-        .otherwise(year(null))
-    )
-    span = F.when(n == 1, one).when(n == 2, two)
-    low = F.when(wild, F.concat(head, F.lit("0"), tail, F.lit("-01-01"))).otherwise(span["min"])
-    high = F.when(wild, F.concat(head, F.lit("9"), tail, F.lit("-12-31"))).otherwise(span["max"])
-    return F.struct(
-        low.alias("min"), high.alias("max"), F.when(~wild, span["qualifier"]).alias("qualifier"),
-        F.when(wild | doubt, text("uncertain")).alias("certainty"), (low.isNotNull() | high.isNotNull()).alias("understood"),
-    )
+    hole, day_form, iso_form = r"(?<![\d?])(\d{1,3})\?(\d{0,2})(?![\d?])", r"(\d{1,2})\.\s*([a-zæøåäöü]+)", r"(?<!\d)(\d{4})-(\d{2})-(\d{2})(?!\d)"
+
+    def features(x: Column) -> Column:
+        """What the patterns find, each evaluated once. x: t (marks of doubt read) and doubt."""
+        t = x["t"]
+        arabic = F.regexp_extract_all(t, F.lit(r"(\d{4})"), 1)
+        roman = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?<![a-z0-9_])([mdclxvi]{4,})(?![a-z0-9_])"), 1), roman_value), lambda y: y.between(1000, 2100))
+        years = F.when(t.rlike(r"\d{4}"), arabic).when(F.size(roman) == 1, F.transform(roman, lambda y: y.cast("string"))).otherwise(F.array().cast("array<string>"))
+        y = F.get(years, F.lit(0))
+        ahead = lambda word: F.instr(F.get(F.split(t, word, 2), F.lit(0)), y) > 0
+        return F.struct(
+            x["doubt"].alias("doubt"), years.alias("years"), F.regexp_extract(t, hole, 1).alias("head"), F.regexp_extract(t, hole, 2).alias("tail"),
+            t.rlike(_BETWEEN).alias("between"), t.rlike(_BEFORE).alias("before"), t.rlike(_AFTER).alias("after"), t.rlike(_ABOUT).alias("about"), t.rlike(_FLORUIT).alias("floruit"),
+            F.when(t.rlike(_BEFORE), ahead(_BEFORE)).alias("year_before"), F.when(t.rlike(_AFTER), ahead(_AFTER)).alias("year_after"),
+            F.nullif(F.regexp_extract(t, day_form, 1), F.lit("")).cast("int").alias("day"), _month(F.regexp_extract(t, day_form, 2)).alias("month"), F.nullif(F.regexp_extract(t, iso_form, 0), F.lit("")).alias("iso"),
+        )
+
+    def spans(f: Column) -> Column:
+        """The span of one or two years, and the bounds of an unreadable digit. f: features."""
+        y = F.get(f["years"], F.lit(0))
+        point = F.coalesce(
+            F.when(f["day"].between(1, 31) & f["month"].isNotNull(), F.concat(y, F.lit("-"), _padded(f["month"]), F.lit("-"), _padded(f["day"]))),
+            F.when(F.substring(f["iso"], 1, 4) == y, f["iso"]),
+        )
+        wild = F.char_length(f["head"]) + F.char_length(f["tail"]) == 3
+        year = lambda q: F.struct(first(y).alias("min"), last(y).alias("max"), q.alias("qualifier"))
+        one = (
+            F.when(f["floruit"], year(text("floruit")))
+            .when(f["before"], F.struct(F.when(f["year_before"], first(y)).alias("min"), F.coalesce(point, last(y)).alias("max"), text("before").alias("qualifier")))
+            .when(f["after"], F.struct(F.coalesce(point, first(y)).alias("min"), F.when(f["year_after"], last(y)).alias("max"), text("after").alias("qualifier")))
+            .when(f["about"], year(text("about")))
+            .when(point.isNotNull(), F.struct(point.alias("min"), point.alias("max"), null.alias("qualifier")))
+            .otherwise(year(null))
+        )
+        two = F.struct(
+            first(F.array_min(f["years"])).alias("min"), last(F.array_max(f["years"])).alias("max"),
+            F.when(f["between"] | (f["before"] & f["after"]), text("between")).when(f["floruit"], text("floruit")).when(f["about"], text("about")).alias("qualifier"),
+        )
+        open_ = F.struct(F.concat(f["head"], F.lit("0"), f["tail"], F.lit("-01-01")).alias("min"), F.concat(f["head"], F.lit("9"), f["tail"], F.lit("-12-31")).alias("max"), null.alias("qualifier"))
+        span = F.when(wild, open_).when(F.size(f["years"]) == 1, one).when(F.size(f["years"]) == 2, two)
+        return F.struct(span.alias("span"), F.when(wild | f["doubt"], text("uncertain")).alias("certainty"))
+
+    def result(r: Column) -> Column:
+        s = r["span"]
+        return F.struct(s["min"].alias("min"), s["max"].alias("max"), s["qualifier"].alias("qualifier"), r["certainty"].alias("certainty"), (s["min"].isNotNull() | s["max"].isNotNull()).alias("understood"))
+
+    low = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
+    read = lambda x: F.regexp_replace(F.regexp_replace(x, r"\((\d{1,2})\s*\?\)", "$1"), r"(\d{4})\s*\?", "$1")
+    marked = lambda x: F.struct(read(x).alias("t"), (read(x) != x).alias("doubt"))
+    return _let(low, lambda x: _let(marked(x), lambda m: _let(features(m), lambda f: _let(spans(f), result))))
 
 
 def year_interval(raw: Column, slack: int = 5) -> Column:
