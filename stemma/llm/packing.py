@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table
+from .common import materialise, table, text_slices
 
 SIZE = 2048
 END = 1
@@ -37,7 +37,7 @@ GAP, COLUMNS = 5e-4, 400
 LOOSE = 4096
 #: Documents of one length and bucket that are ranked together, about.
 _RANKED = 2_000
-#: Words and their ids that a worker remembers.
+#: Stretches of text whose ids a worker remembers.
 _MEMO = 1 << 20
 _WORKERS: dict[str, Tokenizer] = {}
 
@@ -51,8 +51,11 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 class Tokenizer:
     """The library's ids, with a memory of words.
 
-    The vocabulary's model sees each word of the pre-tokenizer alone, so ids
-    are concatenated from remembered words. That is done for texts made of
+    The vocabulary's model sees each word of the pre-tokenizer alone, and no
+    word has white space in it, so ids are concatenated from what is remembered
+    of the stretches between white space; only new stretches are encoded. In a
+    text without other punctuation a lone full stop or comma is a word of its
+    own, so it may stand apart. That is done for texts made of
     plain Latin characters, where lower-casing and cutting into words need no
     Unicode tables that could differ; every other text, and one that holds a
     special token's string, goes to the library whole.
@@ -64,27 +67,37 @@ class Tokenizer:
 
         self.library = Library.from_file(path)
         self.plain = regex.compile(r"[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u017e]*")
+        self.simple = regex.compile(r"[\t\n\r .,0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]*")
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.known: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
 
     def ids(self, text: str):
         """The ids as a little-endian unsigned 32-bit numpy array."""
         import numpy as np
 
-        if not self.plain.fullmatch(text) or "<|" in text:
+        if self.simple.fullmatch(text) and not any(x in text for x in ("..", ",,", ".,", ",.")):
+            text = text.replace(".", " . ").replace(",", " , ")
+        elif not self.plain.fullmatch(text) or "<|" in text:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        known = self.known
-        words = self.words.findall(text.lower())
-        new = list(set(words).difference(known))
+        stretches, parts = self.stretches, text.lower().split()
+        new = set(parts).difference(stretches)
         if new:
-            if len(known) + len(new) > _MEMO:
-                known.clear()
-                new = list(set(words))
-            # One call for all new words: white space keeps them apart, and each token names its word.
-            got = self.library.encode(" ".join(new), add_special_tokens=False)
-            word = np.array(got.word_ids)
-            known.update(zip(new, map(bytes, np.split(np.array(got.ids, "<u4"), np.flatnonzero(word[1:] != word[:-1]) + 1)), strict=True))
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+            if len(stretches) + len(new) > _MEMO:
+                stretches.clear()
+                new = set(parts)
+            self._learn(list(new))
+        return np.frombuffer(b"".join(map(stretches.__getitem__, parts)), "<u4")
+
+    def _learn(self, stretches: list[str]) -> None:
+        """Encode new stretches in one call: white space keeps them apart, each token names its word, and the pattern tells how many words a stretch has."""
+        import numpy as np
+
+        got = self.library.encode(" ".join(stretches), add_special_tokens=False)
+        ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids)
+        start = np.r_[np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), len(ids)]
+        first = start[np.cumsum([0, *(1 if x.isalpha() else len(self.words.findall(x)) for x in stretches)])].tolist()
+        data = ids.tobytes()
+        self.stretches.update((x, data[4 * a : 4 * b]) for x, a, b in zip(stretches, first, first[1:], strict=False))
 
     @staticmethod
     def of(path: str) -> Tokenizer:
@@ -246,12 +259,13 @@ def _encode(batches: Iterator, path: str, size: int) -> Iterator:
     coder, end = Tokenizer.of(path), np.array([END], "<u4")
     for batch in batches:
         n, blocks, rest = [], [], []
-        for text in batch.column(2):
-            ids = np.concatenate([coder.ids(text.as_py()), end])
-            data, k = ids.tobytes(), len(ids) // size
-            n.append(len(ids))
-            blocks.append([zlib.crc32(data[4 * size * i : 4 * size * (i + 1)]) for i in range(k)])
-            rest.append(zlib.crc32(data[4 * size * k :]))
+        for _, _, texts in text_slices(batch.column(2)):
+            for ids in map(coder.ids, texts):
+                data = memoryview(np.concatenate([ids, end]).tobytes())
+                k = (len(ids) + 1) // size
+                n.append(len(ids) + 1)
+                blocks.append([zlib.crc32(data[4 * size * i : 4 * size * (i + 1)]) for i in range(k)])
+                rest.append(zlib.crc32(data[4 * size * k :]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(blocks, pa.list_(pa.int64())), pa.array(rest, pa.int64())], ["doc_id", "digest", "n", "blocks", "rest_crc"])
 
 
