@@ -38,7 +38,7 @@ LOOSE = 4096
 #: Documents of one length and bucket that are ranked together, about.
 _RANKED = 2_000
 #: Stretches of text whose ids a worker remembers.
-_MEMO = 1 << 20
+_MEMO = 1 << 21
 _WORKERS: dict[str, Tokenizer] = {}
 
 
