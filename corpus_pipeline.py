@@ -37,8 +37,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the document with the smallest id stays."""
-    return _keep(docs, simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles the one with the smallest id stays."""
+    return _keep(docs, simhash.similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

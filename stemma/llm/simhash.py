@@ -14,6 +14,11 @@ left bound their size.
 A task reports a spanning tree of every linked group in a shard, not the
 group's pairs. The components of all reported edges come from label
 propagation with pointer jumping; every round is a set of joins.
+
+``similar_groups`` links texts by exact Jaccard similarity instead. The
+two such pairs of sf0.001 lie 11 and 17 bits apart, and shards for such radii
+would each hold a good part of the table, so the BK-trees give the first candidates and MinHash bands
+the others; every candidate is verified on its texts before it is a link.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, table, text_slices
 
 RADIUS = 2
 SHINGLE = 3
@@ -34,6 +39,10 @@ HEAVY = 20_000
 _ROWS = 200_000
 #: Pairs of a search and a tree node that are compared at a time, and children per node of the reported spanning trees.
 _VISITS, _FAN = 200_000, 16
+#: Bands of so many minima. A pair of similarity s shares no band with probability (1 - s ** 4) ** 24: 3e-6 at 0.8.
+BANDS, MINIMA = 24, 4
+#: Shingles that are hashed for all bands at a time.
+_GRAMS = 4096
 
 
 def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -225,6 +234,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def links(nodes: DataFrame, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
+    """a, b: spanning trees of the linked groups of every shard. nodes: distinct fp."""
+    sharded = shards(nodes, radius, heavy).repartition("mask", "value").sortWithinPartitions("mask", "value")
+    return materialise(sharded.select("mask", "value", "fp").mapInArrow(lambda it: shard_links(it, radius), "a long, b long").distinct(), "shard-links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, heavy: int = HEAVY) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per input row.
 
@@ -238,9 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     marked = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
-    sharded = shards(nodes, radius, heavy).repartition("mask", "value").sortWithinPartitions("mask", "value")
-    found = materialise(sharded.select("mask", "value", "fp").mapInArrow(lambda it: shard_links(it, radius), "a long, b long").distinct(), "shard-links")
-    labels = components(found)
+    labels = components(links(nodes, radius, heavy))
     linked = nodes.join(labels, F.col("fp") == F.col("node")).select("fp", "first", "root")
     smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
     merged = linked.join(smallest, "root").select("fp", "least")
@@ -249,5 +262,104 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def text_shingles(text: str | None, shingle: int) -> set[bytes]:
+    """The different shingles of one text; none without words."""
+    words = (text or "").encode().lower().split()
+    if len(words) < shingle:
+        return {b" ".join(words)} if words else set()
+    return set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+
+
+def _sketches(batches: Iterator, shingle: int) -> Iterator:
+    """Batches of doc_id, text to doc_id, text, fp, grams (a hash of the set of shingles), n (its size) and keys (of the bands)."""
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    rng = np.random.default_rng(SEED)
+    add, times = (rng.integers(0, 1 << 63, (BANDS * MINIMA, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    band = np.arange(BANDS, dtype=np.uint64)[:, None]
+    for batch in batches:
+        for lo, hi, texts in text_slices(batch.column(1)):
+            prints, sets, sizes, keys = [], [], [], []
+            for t in texts:
+                grams = text_shingles(t, shingle)
+                h = np.sort(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+                least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max)
+                for at in range(0, len(h), _GRAMS):
+                    np.minimum(least, ((h[at : at + _GRAMS] ^ add) * times).min(axis=1), out=least)
+                rows = np.hstack([band, least.reshape(BANDS, MINIMA)])
+                prints.append(text_fingerprint(t, shingle))
+                sets.append(_signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)))
+                sizes.append(len(h))
+                keys.append([_signed(xxhash.xxh64_intdigest(r.tobytes(), SEED)) for r in rows])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(prints, pa.int64()), pa.array(sets, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text", "fp", "grams", "n", "keys"],
+            )
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, component_id: one row per input row; linked are texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    Words, shingles, ids and empty tables are as in ``near_duplicates``; texts
+    without words are alike. Candidates are the links of the BK-trees and trees
+    of bounded degree over the texts of each band. Once these are verified,
+    what shares a band and is not yet in one component is compared pair by
+    pair, so a large group costs its members, not its pairs.
+    """
+    from pyspark.sql.functions import pandas_udf
+    from pyspark.sql.window import Window
+
+    @pandas_udf("double")
+    def jaccard(a, b):
+        import pandas as pd
+
+        def one(x, y):
+            x, y = text_shingles(x, shingle), text_shingles(y, shingle)
+            return len(x & y) / len(x | y) if x or y else 1.0
+
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], index=a.index, dtype="float64")
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = materialise(rows.mapInArrow(lambda it: _sketches(it, shingle), "doc_id long, text string, fp long, grams long, n long, keys array<long>"), "sketches")
+    nodes = materialise(marked.groupBy("grams").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")), "sketch-nodes")
+    met = nodes.select("grams", "n", F.explode("keys").alias("key"))
+    shared = met.groupBy("key").count().where("count > 1").select("key")
+    met = materialise(met.join(shared, "key"), "sketch-bands")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs a, b and whether their texts are similar."""
+        pairs = materialise(pairs, "similar-candidates")
+        wanted = pairs.select(F.col("a").alias("grams")).union(pairs.select("b")).distinct()
+        texts = materialise(marked.join(wanted, "grams", "left_semi").groupBy("grams").agg(F.min("text").alias("text")), "similar-texts")
+        both = pairs.join(texts.select(F.col("grams").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("grams").alias("b"), F.col("text").alias("text_b")), "b")
+        return materialise(both.select("a", "b", (jaccard("text_a", "text_b") >= F.lit(float(similarity))).alias("alike")), "similar-verified")
+
+    # First candidates: the i-th member of a band hangs on its member (i - 1) / _FAN, and linked fingerprints on each other.
+    placed = materialise(met.withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("grams")) - 1), "sketch-places")
+    up = placed.select("key", F.col("i").alias("up"), F.col("grams").alias("a"))
+    trees = placed.where("i > 0").select("key", F.floor((F.col("i") - 1) / _FAN).alias("up"), F.col("grams").alias("b")).join(up, ["key", "up"]).select("a", "b")
+    holder = materialise(nodes.groupBy("fp").agg(F.min("grams").alias("grams")), "sketch-fingerprints")
+    close = links(holder, radius, heavy).join(holder.select(F.col("fp").alias("a"), F.col("grams").alias("x")), "a").join(holder.select(F.col("fp").alias("b"), F.col("grams").alias("y")), "b")
+    tried = verified(trees.unionByName(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
+    labels = components(tried.where("alike"))
+
+    # What shares a band across components; sizes too different rule a pair out.
+    apart = met.join(labels.select(F.col("node").alias("grams"), "root"), "grams", "left").withColumn("root", F.coalesce("root", "grams"))
+    mixed = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    apart = materialise(apart.join(mixed, "key"), "sketch-apart")
+    x, y = apart.select("key", F.col("grams").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a")), apart.select("key", F.col("grams").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
+    near = F.least("n_a", "n_b") >= F.lit(float(similarity) - 1e-9) * F.greatest("n_a", "n_b")
+    cross = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & near).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    labels = components(tried.unionByName(verified(cross)).where("alike"))
+
+    linked = nodes.join(labels, F.col("grams") == F.col("node")).select("grams", "first", "root")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("least"))
+    classes = nodes.select("grams", "first").join(linked.join(smallest, "root").select("grams", "least"), "grams", "left")
+    classes = materialise(classes.select("grams", F.coalesce("least", "first").alias("component_id")), "similar-classes")
+    return marked.select("doc_id", "grams").join(classes, "grams").select("doc_id", "component_id")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

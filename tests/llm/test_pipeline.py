@@ -50,3 +50,36 @@ def test_null_ids_and_repeated_rows(spark):
         assert sorted((r["doc_id"] for r in stage(spark, docs, SMALL).collect()), key=str) == [1, 1, 2, None]
     for _, stage in P.STAGES:
         stage(spark, docs.limit(0), SMALL).count()
+
+
+def test_planted_near_copies(spark):
+    """Copies with some words changed: linked by five-word Jaccard similarity, most of them far beyond two bits of a fingerprint."""
+    import random
+
+    from stemma.llm import simhash
+
+    rng = random.Random(1)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    texts = []
+    for n in (40, 100, 400):
+        for changes in (1, 2, 4, 8, 20):
+            base = [word() for _ in range(n)]
+            copy = list(base)
+            for at in rng.sample(range(n), changes):
+                copy[at] = word()
+            texts += [" ".join(base), " ".join(copy)]
+    hub = [word() for _ in range(300)]
+    texts += [" ".join([*hub[:at], word(), *hub[at + 1 :]]) for at in range(60)] + ["a b", "a b", "", None, "a b c"]
+    sets = [simhash.text_shingles(t, 5) for t in texts]
+    alike = [[len(a & b) >= 0.8 * len(a | b) for b in sets] for a in sets]
+    want = list(range(len(texts)))
+    while True:  # each takes the least label among those it is linked to
+        new = [min(want[j] for j in range(len(texts)) if alike[i][j]) for i in range(len(texts))]
+        if new == want:
+            break
+        want = new
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert {r["doc_id"] for r in P.near_duplicates(spark, docs, SMALL).collect()} == set(want)
+    assert any(want[i] != i and (brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[want[i]])).bit_count() > 2 for i in range(len(texts)))
