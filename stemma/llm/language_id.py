@@ -29,8 +29,6 @@ from .common import materialise, table
 from .url_filter import host_and_path
 
 BUCKETS = 1 << 16
-#: A language is known if it has this share of the labelled documents' letters at least: 200 languages at most.
-SHARE = 0.005
 #: Overlapping trigrams count a third each, and a text's evidence grows up to so many letters.
 OVERLAP, LETTERS = 3, 600
 #: Pages that the level above is worth: of a host's prior its domain, of a domain's all pages; and of a likelihood its overall share.
@@ -132,16 +130,14 @@ class TextModel:
         return out - out.max(axis=1, keepdims=True) if len(self.langs) else out
 
 
-def fit_text_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", share: float = SHARE) -> TextModel:
-    """Rows with a null or empty language are not learned from. What reaches the driver is bounded by ``BUCKETS / share`` counts."""
+def fit_text_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> TextModel:
+    """Rows with a null or empty language are not learned from. Every language with a labelled letter is known; one takes ``BUCKETS`` counts at most on the driver, and 256 KB of the model."""
     import numpy as np
 
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang <> '' and text <> ''")
     counts = rows.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "language-counts")
-    size = counts.groupBy("lang").agg(F.sum("n").alias("letters"))
-    known = size.where(F.col("letters") >= F.lit(float(share)) * size.agg(F.sum("letters")).scalar()).select("lang")
-    got = counts.join(F.broadcast(known), "lang").toArrow().to_pandas()
+    got = counts.toArrow().to_pandas()
     langs = sorted(got["lang"].unique().tolist())
     n = np.zeros((len(langs), BUCKETS))
     n[[langs.index(x) for x in got["lang"]], got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy()

@@ -153,6 +153,15 @@ def test_language_accuracy_and_empty_tables(spark):
     assert language_id.identify(one.limit(0), none).count() == 0
 
 
+def test_rare_language_is_known(spark):
+    """Danish has 0.2 % of the labelled letters."""
+    train = [("en", "the cat sat on the mat and this is the other thing " * 400), ("da", "rødgrød med fløde på øen ")]
+    model = language_id.fit_text_model(spark.createDataFrame(train, "lang string, text string"))
+    assert model.langs == ["da", "en"]
+    pages = spark.createDataFrame([(1, "http://a.dk/", "<p>rødgrød på øen"), (2, "http://b.com/", "<p>the other cat")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text_lang"] for r in language_id.identify(pages, model).collect()} == {1: "da", 2: "en"}
+
+
 # ---- 4 ----
 
 
