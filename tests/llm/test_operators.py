@@ -207,6 +207,46 @@ def test_packing(docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_column_generation_reaches_known_optima():
+    """From one column per length, 34 sequences; 7 + 3 and 6 + 4 need 24. And where nothing fits together pricing proves that no plan is better than the trivial one."""
+    lengths, counts = [3, 4, 6, 7], [12] * 4
+    trivial = [{i: 10 // n} for i, n in enumerate(lengths)]
+    assert sum(c / (10 // n) for n, c in zip(lengths, counts, strict=True)) == 34
+    patterns, uses, bound = packing.solve(lengths, counts, 10, start=trivial)
+    assert sum(uses) == pytest.approx(24) and bound == pytest.approx(24)
+    assert all(sum(lengths[i] * c for i, c in p.items()) <= 10 for p in patterns)
+    for i, c in enumerate(counts):
+        assert sum(x * p.get(i, 0) for p, x in zip(patterns, uses, strict=True)) == pytest.approx(c)
+    patterns, uses, bound = packing.solve([6, 7], [5, 5], 10)
+    assert sum(uses) == pytest.approx(10) and bound == pytest.approx(10)
+
+
+def test_pricing_lowers_the_longest_first_plan():
+    """Longest first needs 65 sequences; the optimum is 62.5, and the bound that pricing proves is the same."""
+    lengths, counts, size = [10, 17, 24, 48], [40, 30, 30, 40], 63
+    assert sum(packing.first_patterns(lengths, counts, size)[1]) == pytest.approx(65)
+    _, uses, bound = packing.solve(lengths, counts, size)
+    assert sum(uses) == pytest.approx(62.5) and bound == pytest.approx(62.5)
+    ranges, _, _ = packing.plan(dict(zip(lengths, counts, strict=True)), size)
+    assert sum(past - first for _, first, past, *_ in ranges) == sum(counts)
+
+
+def test_packing_of_one_length_and_of_another_vocabulary(spark):
+    """A hot length that leaves padding is cut; a vocabulary that the memory of words doesn't know goes to its library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.createDataFrame([(i, "the cat sat on the mat and ran off") for i in range(50)], "doc_id long, text string")
+    check_packing(packing.pack(docs, size=16), [(i, "the cat sat on the mat and ran off") for i in range(50)], 16, 0.01)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coder, lib = packing.Tokenizer(path), Tokenizer.from_file(path)
+    own, words = packing.Tokenizer(packing.vocabulary_path()), Tokenizer.from_file(packing.vocabulary_path())
+    assert own.known and not coder.known
+    for t in ("The Cat, sat.  On\n\nthe mat!", "", "Straße <|endoftext|> 12.5%", "it's we've 'round"):
+        assert coder.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert own.ids(t).tolist() == words.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_on_the_table(spark):
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
     check_packing(packing.op4_packing(spark, SMALL), [(r["doc_id"], r["text"]) for r in d.collect()], 2048, 0.01)
