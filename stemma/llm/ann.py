@@ -21,6 +21,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,8 +37,10 @@ LEAST = 16
 CALIBRATION, RECALL = 256, 0.97
 #: Rows and queries that meet in one group.
 BLOCK, QUERIES = 8_192, 2_048
-#: Lengths of vectors that are searched in one call; each has a tree of its own.
-DIMENSIONS = 16
+#: Cells of a block's rough cosines, and candidates whose exact cosine is computed at a time.
+_CELLS, _EXACT = 1 << 21, 1 << 17
+#: How far a rough cosine may be from the exact one, for each component.
+_ERROR = 1e-15
 
 
 @dataclass
@@ -152,11 +155,15 @@ def _best(q, q_norm, x, x_norm, ids, k: int):
     """For every query its k best rows by exact cosine, then id: (query index, row index, score)."""
     import numpy as np
 
-    rough, wide = (q / q_norm[:, None]) @ (x / x_norm[:, None]).T, min(len(x), 2 * k + 8)
-    near = np.argpartition(-rough, wide - 1, axis=1)[:, :wide]
-    who, row = np.repeat(np.arange(len(q)), wide), near.ravel()
+    rough = (q / q_norm[:, None]) @ (x / x_norm[:, None]).T
+    # All rows that rounding alone could keep from the k best: equal cosines of different vectors are ties by id.
+    least = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] if k < len(x) else np.full(len(q), -np.inf)
+    who, row = np.nonzero(rough >= least[:, None] - _ERROR * (x.shape[1] + 8))
     # Equal vectors get equal scores wherever they lie: each is summed by itself, in the order of its components.
-    score = (q[who] * x[row]).sum(axis=1) / (q_norm[who] * x_norm[row])
+    score = np.empty(len(who))
+    for lo in range(0, len(who), _EXACT):
+        a, b = who[lo : lo + _EXACT], row[lo : lo + _EXACT]
+        score[lo : lo + _EXACT] = (q[a] * x[b]).sum(axis=1) / (q_norm[a] * x_norm[b])
     order = np.lexsort((ids[row], -score, who))
     who, row, score = who[order], row[order], score[order]
     rank = np.arange(len(who)) - np.searchsorted(who, who)
@@ -202,9 +209,12 @@ def calibrate(indexed: DataFrame, tree: Tree, ids, q, k: int, recall: float) ->
         for b in batches:
             if not b.num_rows:
                 continue
-            x, leaf, vec = _matrix(b.column(1)), b.column(2).to_numpy(), b.column(0).to_numpy()
-            who, row, score = _best(q, _norms(q), x, _norms(x), vec, k + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(vec[row]), pa.array(leaf[row]), pa.array(score)], ["probe", "vec_id", "leaf", "score"])
+            every, leaf, vec = _matrix(b.column(1)), b.column(2).to_numpy(), b.column(0).to_numpy()
+            step = max(1, _CELLS // max(1, len(q)))
+            for lo in range(0, len(every), step):
+                x = every[lo : lo + step]
+                who, row, score = _best(q, _norms(q), x, _norms(x), vec[lo : lo + step], k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), pa.array(vec[lo + row]), pa.array(leaf[lo + row]), pa.array(score)], ["probe", "vec_id", "leaf", "score"])
 
     found = indexed.select("vec_id", "vector", "leaf").mapInArrow(scan, "probe long, vec_id long, leaf long, score double")
     by = Window.partitionBy("probe").orderBy(F.desc("score"), "vec_id")
@@ -255,8 +265,14 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, sample: int, leaf_rows:
     tree = fit_tree(_unit(x), max(1, min(n // leaf_rows, len(x) // LEAST)))
     indexed = materialise(index_rows(rows, tree), "ann-index")
     visits = calibrate(indexed, tree, ids[:calibration], x[:calibration], k, recall)
-    probes = materialise(_probe(queries, tree, visits), "ann-probes")
+    return _meet(indexed, _probe(queries, tree, visits), k)
 
+
+def _meet(indexed: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """rep, vec_id, score: the k + 1 best rows for each query among those of the leaves that it visits."""
+    import numpy as np
+
+    probes = materialise(probes, "ann-probes")
     # One row per leaf: bounded by the tree.
     size = indexed.groupBy("leaf").agg(F.count("*").alias("n")).join(probes.groupBy("leaf").agg(F.count("*").alias("q")), "leaf")
     size = size.select("leaf", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("q") / QUERIES).cast("int").alias("parts"))
@@ -274,7 +290,7 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, sample: int, leaf_rows:
         x, q = _matrix(a.column("vector")), _matrix(b.column("vector"))
         ids, reps = a.column("vec_id").to_numpy(), b.column("rep").to_numpy()
         out = []
-        step = max(1, (1 << 23) // len(x))
+        step = max(1, _CELLS // len(x))
         for lo in range(0, len(q), step):
             part = q[lo : lo + step]
             who, row, score = _best(part, _norms(part), x, _norms(x), ids, k + 1)
@@ -292,7 +308,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
 
     A row is never its own neighbour (same id). Vectors that are null, zero or
     hold null or non-finite components take no part, nor do null ids; vectors
-    of different lengths are never compared. Repeated ids with the same vector
+    of different lengths are never compared, and may be of any number of
+    lengths. Repeated ids with the same vector
     count once, with different vectors as often as they have vectors. With
     fewer candidates than k all of them are returned. Empty tables give an
     empty result; other columns are ignored.
@@ -307,20 +324,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     rows = clean(vectors).withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k + 1).drop("copy")
     rows = materialise(rows.dropDuplicates(["vec_id", "vector"]), "ann-rows")
     asked = clean(queries).dropDuplicates(["vec_id", "vector"])
-    reps = materialise(asked.groupBy("vector").agg(F.min("vec_id").alias("rep")), "ann-queries")
-    named = asked.join(reps, "vector").select(F.col("vec_id").alias("query_id"), "rep", F.size("vector").alias("d"))
-    # One row per vector length.
-    lengths = [r["d"] for r in rows.select(F.size("vector").alias("d")).distinct().limit(DIMENSIONS + 1).collect()]
-    if len(lengths) > DIMENSIONS:
-        raise ValueError(f"vectors of more than {DIMENSIONS} lengths in one table")
-    out = None
-    for d in sorted(lengths):
-        part = _search(rows.where(F.size("vector") == d), reps.where(F.size("vector") == d), k, sample, leaf_rows, recall, calibration).withColumn("d", F.lit(d))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    reps = materialise(asked.select("vector").distinct().withColumn("rep", F.monotonically_increasing_id()), "ann-queries")
+    named = asked.join(reps, "vector").select(F.col("vec_id").alias("query_id"), "rep")
+    # A length with too few rows for two leaves is one leaf; all of these are searched together, the others by a tree each.
+    d, one = F.size("vector"), 2 * leaf_rows
+    sizes = rows.groupBy(d.alias("d")).agg(F.count("*").alias("n")).agg(F.collect_list(F.when(F.col("n") >= one, F.col("d"))).alias("large"), F.count_if(F.col("n") < one).alias("small")).first()
+    out = [_search(rows.where(d == x), reps.where(d == x), k, sample, leaf_rows, recall, calibration) for x in sorted(sizes["large"])]
+    if sizes["small"]:
+        few = lambda df: df.where(~d.isin(sizes["large"])) if sizes["large"] else df
+        out.append(_meet(few(rows).withColumn("leaf", d.cast("long")), few(reps).withColumn("leaf", d.cast("long")), k))
+    if not out:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pairs = named.join(materialise(out, "ann-found"), ["rep", "d"]).where("query_id <> vec_id")
+    by = Window.partitionBy("query_id", "rep").orderBy(F.desc("score"), "vec_id")
+    pairs = named.join(materialise(reduce(DataFrame.unionByName, out), "ann-found"), "rep").where("query_id <> vec_id")
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -76,6 +76,19 @@ def test_neighbours_with_awkward_rows(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_ties_of_parallel_vectors_and_many_lengths(spark):
+    """Forty vectors of one direction, larger ids first, are ties by id; each of twenty lengths is searched among its own."""
+    rows = [(60 - i, [float(2**i % 1021) or 1.0, 0.0]) for i in range(40)] + [(0, [2.0, 0.0])]
+    rows += [(1000 * n + i, [float((i * 7 + j * j) % 5 + 1) for j in range(n)]) for n in range(3, 23) for i in range(50, 57)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collect(ann.nearest(df, df.where("vec_id % 50 = 0")))
+    per = lambda q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q]
+    assert per(0) == [21, 22, 23, 24, 25]
+    for n in range(3, 23):
+        mine = [r for r in rows if len(r[1]) == n]
+        assert per(1000 * n + 50) == brute(mine, [r for r in mine if r[0] % 50 == 0], 5)[1000 * n + 50]
+
+
 def test_neighbours_recall_with_hot_copies(spark):
     import numpy as np
 
@@ -88,7 +101,7 @@ def test_neighbours_recall_with_hot_copies(spark):
     got = collect(ann.nearest(df, df.where("vec_id % 50 = 0"), leaf_rows=64))
     want = brute(rows, [rows[i] for i in range(0, 3000, 50)], 5)
     found = {q: [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in want}
-    assert sum(len(set(found[q]) & set(want[q])) for q in want) >= 0.9 * 5 * len(want)
+    assert sum(len(set(found[q]) & set(want[q])) for q in want) >= 0.95 * 5 * len(want)
     assert all(found[q] == want[q] for q in want if q % 3 == 0)  # copies: ties by the smaller id
 
 
@@ -96,7 +109,7 @@ def test_neighbours_recall_on_the_table(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
     want = brute(rows, [r for r in rows if r[0] % 50 == 0], 5)
     got = collect(ann.op2_ann(spark, DATA))
-    assert sum(r["vec_id"] in want[r["query_id"]] for r in got) >= 0.9 * 5 * len(want)
+    assert sum(r["vec_id"] in want[r["query_id"]] for r in got) >= 0.97 * 5 * len(want)
 
 
 # ---- 3 ----
