@@ -39,15 +39,43 @@ _HELD = 64
 _CHARS = 1 << 22
 _LETTER: list = []
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^<>]*>", re.S | re.I)
+_TAG, _RAW = re.compile(r"<[^<>]*>"), re.compile(r"<(script|style)\b", re.I)
+_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style")}
 _ENTITY = re.compile(r"&(#\d+|#x[0-9a-f]+|\w+);", re.I)
 
 
+def _last(pattern: re.Pattern, text: str) -> int:
+    at = -1
+    for m in pattern.finditer(text):
+        at = m.start()
+    return at
+
+
 def visible_text(html: str | None) -> str:
-    """The page's text: no comments, scripts, styles or tags; entities are white space unless they are characters of a text."""
+    """The page's text: no comments, scripts, styles or tags; entities are white space unless they are characters of a text. An opener that is never closed is a tag. Linear in the page."""
     from html import unescape
 
-    return _ENTITY.sub(lambda m: unescape(m.group(0)), _HIDDEN.sub(" ", html or ""))
+    html = html or ""
+    parts, start, at, last = [], 0, 0, {"-->": html.rfind("-->")}
+    while (i := html.find("<", at)) >= 0:
+        end = -1
+        if html.startswith("<!--", i):
+            if i + 4 <= last["-->"]:
+                end = html.index("-->", i + 4) + 3
+        elif m := _RAW.match(html, i):
+            name = m[1].lower()
+            if name not in last:
+                last[name] = _last(_CLOSE[name], html)
+            if m.end() <= last[name]:
+                end = _CLOSE[name].search(html, m.end()).end()
+        if end < 0:
+            end = m.end() if (m := _TAG.match(html, i)) else -1
+        if end < 0:
+            at = i + 1
+            continue
+        parts.append(html[start:i])
+        start = at = end
+    return _ENTITY.sub(lambda m: unescape(m.group(0)), " ".join([*parts, html[start:]]))
 
 
 def trigrams(texts: list[str]):
@@ -147,8 +175,9 @@ def fit_text_model(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
 def declared_language(html: Column) -> Column:
     """The primary subtag that the html element, or else a content-language header, declares; '' without any."""
-    tag = r"""(?i)<html\b[^<>]*?\blang\s*=\s*["']?\s*([a-z]+)"""
-    meta = r"""(?i)<meta\b[^<>]*?http-equiv\s*=\s*["']?content-language["']?[^<>]*?\bcontent\s*=\s*["']?\s*([a-z]+)"""
+    # Possessive and atomic: a run of white space or attributes is tried once.
+    tag = r"""(?i)<html\b[^<>]*?\blang\s*+=\s*+["']?\s*+([a-z]+)"""
+    meta = r"""(?i)<meta\b(?>[^<>]*?http-equiv\s*+=\s*+["']?content-language)["']?[^<>]*?\bcontent\s*+=\s*+["']?\s*+([a-z]+)"""
     html = F.coalesce(html, F.lit(""))
     return F.lower(F.coalesce(F.nullif(F.regexp_extract(html, tag, 1), F.lit("")), F.regexp_extract(html, meta, 1)))
 
@@ -166,7 +195,8 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     empty and gives the posterior of host, suffix and (no) declaration; a null
     url, or one without a host, is the host ''. Rows that repeat an id are
     judged each. Without a known language lang and probability are null. An
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored. A very long
+    page is read whole, in one pass.
     """
     langs = model.langs
     held = pages.sparkSession.sparkContext.broadcast(model)

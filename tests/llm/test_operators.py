@@ -166,6 +166,38 @@ def test_language_accuracy_and_empty_tables(spark):
     assert language_id.identify(one.limit(0), none).count() == 0
 
 
+def test_text_likelihood_by_brute_force(spark):
+    """Letter trigrams counted in plain Python."""
+    import math
+
+    train = [("en", "The cat sat on the mat"), ("de", "Der Hund, und die Katze"), ("de", "ich bin's nicht")]
+    model = language_id.fit_text_model(spark.createDataFrame(train, "lang string, text string"))
+
+    def grams(text):
+        t = "".join(c if c.isalpha() else "\0" for c in f" {text.lower()} ")
+        return [t[i - 1 : i + 2] for i in range(1, len(t) - 1) if t[i] != "\0"]
+
+    counts = {x: [g for lang, t in train if lang == x for g in grams(t)] for x in ("de", "en")}
+    tests = ["die Katze", "the other cat", "12", "nicht mat " * 300]
+    for text, got in zip(tests, model.evidence(tests).tolist(), strict=True):
+        g = grams(text)
+        logs = [sum(math.log((counts[x].count(y) + 0.5) / (len(counts[x]) + 0.5 * language_id.BUCKETS)) for y in g) / max(len(g), 1) * min(len(g), language_id.LETTERS) / language_id.OVERLAP for x in ("de", "en")]
+        assert got == pytest.approx([x - max(logs) for x in logs], rel=1e-4, abs=1e-4)
+
+
+def test_visible_text_is_linear():
+    import re
+    import time
+
+    old = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^<>]*>", re.S | re.I)
+    for html in ("a<!-- b > c", "<!-->x-->y", "<script>a</SCRIPT >b<style c<style>d</style>e", "<p<b>x</p", "<!-- a --><script x", "a<b", "<scripted>q</script>", ""):
+        assert language_id.visible_text(html) == old.sub(" ", html)
+    began = time.time()
+    for opener in ("<script>", "<!--", "<style ", "<", "<script></style>", "&a"):
+        language_id.visible_text(opener * (5_000_000 // len(opener)))
+    assert time.time() - began < 60
+
+
 def test_rare_language_is_known(spark):
     """Danish has 0.2 % of the labelled letters."""
     train = [("en", "the cat sat on the mat and this is the other thing " * 400), ("da", "rødgrød med fløde på øen ")]
@@ -282,6 +314,21 @@ def test_token_counts(docs):
     assert token_counts.token_counts(docs.limit(0)).count() == 0
 
 
+def test_token_counts_of_a_huge_document(spark):
+    """Cut in one pass: chunks, offsets and overlaps, and the same count as the library's."""
+    import sentencepiece
+
+    text = ("naïve Straße 12,5% 😀  und\n" * 40_000)[:1_000_003]
+    df = spark.createDataFrame([(1, text), (2, text)], "digest string, text string")
+    rows = sorted(token_counts._cut(df.where("digest = 1"), 32_768, 256).collect(), key=lambda r: r["chunk"])
+    assert len(rows) == rows[0]["chunks"] == 31 and rows[-1]["own_to"] == len(text.encode())
+    for a, b in zip(rows, rows[1:], strict=False):
+        assert a["own_to"] == b["own_from"] and text.encode()[b["base"] :].startswith(b["part"].encode())
+    lib = sentencepiece.SentencePieceProcessor(model_file=token_counts.vocabulary_path())
+    got = token_counts.token_counts(df, id_col="digest").collect()
+    assert [r["n_tokens"] for r in got] == [len(lib.encode(text))] * 2
+
+
 def test_token_counts_on_the_table(spark):
     import sentencepiece
 
