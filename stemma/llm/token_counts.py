@@ -3,7 +3,7 @@
 A text of up to ``chunk`` characters is encoded as it is. A longer one is cut
 into chunks that are encoded in separate tasks, each with ``overlap`` more
 characters on both sides, and the token sequences are spliced where they agree:
-at a token that occupies the same bytes in the encodings of both chunks.
+at the same token on the same bytes in the encodings of both chunks.
 
 Why such a boundary is stable: the vocabulary merges by the rank of the merged
 piece, leftmost first, so a sequence of pieces is the encoding of its text
@@ -59,7 +59,7 @@ def _count_udf(path: str):
 
 
 def encode_chunk(model, text: str, base: int, own_from: int, own_to: int, overlap: int) -> tuple[int, list[int], list[int], list[int], list[int]]:
-    """Encode text, which starts at byte base of its document. Returns the number of tokens and, for each side's overlap, the tokens in it as packed (start, end) bytes and how many tokens precede each.
+    """Encode text, which starts at byte base of its document. Returns the number of tokens and, for each side's overlap, the tokens in it as packed (first byte, length, id) and how many tokens precede each.
 
     own_from, own_to: the bytes of the document between which the chunk is cut without overlap; the overlaps are the ``overlap`` characters around these.
     """
@@ -71,11 +71,14 @@ def encode_chunk(model, text: str, base: int, own_from: int, own_to: int, overla
         begin, end = base + p.begin, base + p.end
         if end <= begin or (i and pieces[i - 1].begin == p.begin):  # a byte of a character, or the encoder's own white space
             continue
+        if end - begin > 255 or p.id >> 20:
+            continue
+        packed = begin << 28 | (end - begin) << 20 | p.id
         if begin <= low:
-            left.append((begin << 8) | (end - begin))
+            left.append(packed)
             left_at.append(i)
         if begin >= high:
-            right.append((begin << 8) | (end - begin))
+            right.append(packed)
             right_at.append(i)
     return n, left, left_at, right, right_at
 
@@ -97,20 +100,31 @@ def _encode_chunks(chunks: DataFrame, path: str, overlap: int) -> DataFrame:
     return chunks.select("digest", "chunk", "chunks", "part", "base", "own_from", "own_to").mapInPandas(run, _CHUNK_SCHEMA)
 
 
+_PART_SCHEMA = "digest string, chunks long, chunk long, part string, base long, own_from long, own_to long"
+
+
 def _cut(long_texts: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """digest, text to one row per chunk, dealt out again so that a huge document's chunks go to many tasks."""
-    n = F.char_length("text")
-    rows = long_texts.select("digest", "text", F.ceil(n / F.lit(chunk)).cast("long").alias("chunks"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-    start = (F.col("chunk") * chunk).cast("int")
-    first = F.greatest(start - overlap, F.lit(0))
-    prefix = lambda to: F.octet_length(F.substring(F.col("text"), F.lit(1), to)).cast("long")
-    rows = rows.select(
-        "digest", "chunks", "chunk",
-        F.substring(F.col("text"), first + 1, start + chunk + overlap - first).alias("part"),
-        prefix(first).alias("base"), prefix(start).alias("own_from"), prefix(start + chunk).alias("own_to"),
-    )
-    return rows.repartition("digest", "chunk")
+    """digest, text to one row per chunk, in one pass over each text, dealt out again so that a huge document's chunks go to many tasks."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = [x.split()[0] for x in _PART_SCHEMA.split(", ")]
+        for batch in batches:
+            for digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows, at, chunks = [], 0, -(-len(text) // chunk)
+                for k in range(chunks):
+                    start, end = k * chunk, min(len(text), (k + 1) * chunk)
+                    first = max(0, start - overlap)
+                    to = at + len(text[start:end].encode())
+                    rows.append((digest, chunks, k, text[first : end + overlap], at - len(text[first:start].encode()), at, to))
+                    at = to
+                    if len(rows) == 64 or k == chunks - 1:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
+                        rows = []
+
+    parts = int(long_texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return long_texts.select("digest", "text").mapInArrow(run, _PART_SCHEMA).repartition(parts, "digest", "chunk")
 
 
 def _splice(encoded: DataFrame) -> DataFrame:
