@@ -360,14 +360,61 @@ def test_warc_round_trip(spark, tmp_path):
 # ---- 7 ----
 
 
+def brute_rake(cells, goals, budget, rounds=3000):
+    """Scaling in plain Python: for each value the factor, found by bisection, at which its cells, none above its tokens, reach the goal."""
+    raw = {c: budget * n for c, n in cells.items()}
+    for _ in range(rounds):
+        for d in range(3):
+            for value, goal in goals[d].items():
+                mine = [c for c in cells if c[d] == value]
+                low, high = 0.0, 1e6
+                for _ in range(100):
+                    mid = (low + high) / 2
+                    if sum(min(cells[c], raw[c] * mid) for c in mine) < goal:
+                        low = mid
+                    else:
+                        high = mid
+                for c in mine:
+                    raw[c] *= low
+    return {c: min(raw[c], n) for c, n in cells.items()}
+
+
 def test_mixing(docs, spark):
     got = collect(mixing.mix(docs))
     assert len(got) == docs.count() and all(0 <= r["probability"] <= 1 for r in got)
+    one = {r["doc_id"]: r for r in got}
+    assert one[0]["tokens"] == one[1]["tokens"] == 1 and one[0]["topic"] == "other" and one[6]["tokens"] == 25_000
+    assert one[3]["lang"] == "" and one[4]["source"] == "" and len({(r["probability"], r["kept"]) for r in got if r["doc_id"] == 9}) == 1
     assert mixing.mix(docs.limit(0)).count() == 0
-    cells = spark.createDataFrame([("a", "x", "t", 100), ("a", "y", "t", 300), ("b", "x", "t", 500), ("b", "y", "t", 100)], "source string, lang string, topic string, tokens long")
-    raked = mixing.rake(cells, {"source": {"a": 0.7, "b": 0.3}, "lang": {"x": 0.5, "y": 0.5}}, sweeps=40)
-    sums = {r["source"]: r["w"] for r in raked.groupBy("source").agg(F.sum("weight").alias("w")).collect()} | {r["lang"]: r["w"] for r in raked.groupBy("lang").agg(F.sum("weight").alias("w")).collect()}
-    assert sums["a"] == pytest.approx(0.7) and sums["x"] == pytest.approx(0.5)
+
+
+def test_raking_with_full_cells(spark):
+    """A cell that would keep more tokens than it has keeps all of them, and the others make up for it."""
+    cells = {("a", "x", "t"): 100, ("a", "y", "t"): 300, ("b", "x", "t"): 500, ("b", "y", "u"): 100, ("b", "x", "u"): 50, ("a", "x", "u"): 20}
+    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, tokens long")
+    goals = [{"a": 101.0, "b": 502.5}, {"x": 548.5, "y": 55.0}, {"t": 510.0, "u": 93.5}]
+    budget = 603.5 / sum(cells.values())
+    targets = dict(zip(mixing.DIMENSIONS, goals, strict=True))  # shares may be of any sum
+    want = brute_rake(cells, goals, budget, 300)
+    got = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in mixing.rake(df, targets, budget=budget).collect()}
+    assert any(got[c] == n for c, n in cells.items())  # a cell is full
+    for c in cells:
+        assert got[c] == pytest.approx(want[c], abs=1e-5)
+    for d in range(3):
+        for v, goal in goals[d].items():
+            assert sum(w for c, w in got.items() if c[d] == v) == pytest.approx(goal, abs=1e-6)
+
+
+def test_mixing_with_a_hot_source_and_unreachable_targets(spark):
+    """A rare source that is lifted beyond what it has keeps all of it, and the budget still holds."""
+    docs = spark.createDataFrame([(i, "w " * 10, "rare" if i < 10 else "hot", "en") for i in range(400)], "doc_id long, text string, source string, lang string")
+    got = collect(mixing.mix(docs, {"source": {"rare": 0.5, "hot": 0.5}}, budget=0.5))
+    assert all(r["probability"] == 1 for r in got if r["source"] == "rare")
+    assert sum(r["probability"] * r["tokens"] for r in got) == pytest.approx(0.5 * 4000, abs=0.1)
+    cells = spark.createDataFrame([("a", "x", "t", 100), ("b", "y", "t", 100)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="no weights meet all targets"):
+        mixing.rake(cells, {"source": {"a": 0.7, "b": 0.3}, "lang": {"x": 0.3, "y": 0.7}}, budget=0.5, sweeps=5)
+
 
 
 # ---- 8 ----
