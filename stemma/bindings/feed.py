@@ -26,7 +26,7 @@ def life_spans(spark, d):
 
 
 def year_intervals(spark, d):
-    return role(spark, d, "raw_date").where("id % 8 IN (1, 2, 3, 4)").select("id", year_interval(F.col("raw")).alias("y")).select("id", F.col("y.lo").alias("lo"), F.col("y.hi").alias("hi"))
+    return role(spark, d, "raw_date").select("id", year_interval(F.col("raw")).alias("y")).select("id", F.col("y.lo").alias("lo"), F.col("y.hi").alias("hi"))
 
 
 def portrait_or_quote(spark, d):
@@ -42,7 +42,7 @@ def on_this_day(spark, d):
 
 
 def on_this_month(spark, d):
-    return K.on_this_day(read(spark, d, "orders").where("day(o_orderdate) <> 28").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day")), "06-28")
+    return K.on_this_day(read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day")), "06-31")
 
 
 def person_of_the_day(spark, d):
@@ -153,15 +153,15 @@ SQL = {
     "hashes": f"SELECT p_partkey AS id, CAST({_FNV('p_name')} AS BIGINT) AS hash FROM part",
     "draws": f"SELECT c_custkey AS id, {_u(20260101, 'c_custkey + 1')} AS u FROM customer",
     "life_spans": sql("person", """SELECT id, CASE WHEN id % 4 <> 0 AND died IS NOT NULL THEN born || '–' || died WHEN id % 4 <> 0 THEN '* ' || born WHEN died IS NOT NULL THEN '† ' || died ELSE '' END AS span, born AS year FROM person"""),
-    "year_intervals": """WITH y AS (SELECT o_orderkey AS id, o_orderkey % 8 AS k, CAST(year(o_orderdate) AS INT) AS y FROM orders WHERE o_orderkey % 8 IN (1, 2, 3, 4))
-SELECT id, CAST(CASE k WHEN 1 THEN y - 5 WHEN 2 THEN NULL ELSE y END AS INT) AS lo, CAST(CASE k WHEN 1 THEN y + 5 WHEN 3 THEN NULL WHEN 4 THEN y + 3 ELSE y END AS INT) AS hi FROM y""",
+    "year_intervals": """WITH y AS (SELECT o_orderkey AS id, o_orderkey % 8 AS k, CAST(year(o_orderdate) AS INT) AS y FROM orders)
+SELECT id, CAST(CASE k WHEN 1 THEN y - 5 WHEN 2 THEN NULL WHEN 7 THEN NULL ELSE y END AS INT) AS lo, CAST(CASE k WHEN 1 THEN y + 5 WHEN 3 THEN NULL WHEN 7 THEN NULL WHEN 4 THEN y + 3 ELSE y END AS INT) AS hi FROM y""",
     "portrait_or_quote": f"""WITH t AS (SELECT doc_id AS person_id, CAST({_FNV('CAST(doc_id AS VARCHAR)')} AS BIGINT) AS h, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: length(s) BETWEEN 40 AND 180)[1] AS q
  FROM documents WHERE length(trim(text, ' ')) >= 120), r AS (SELECT person_id, CASE WHEN h % 4 = 0 THEN q END AS quote FROM t)
 SELECT CASE WHEN quote IS NULL THEN 'portrait' ELSE 'citat' END || ':' || person_id AS card, CASE WHEN quote IS NULL THEN 'portrait' ELSE 'citat' END AS kind, person_id, quote FROM r""",
     "anniversaries": sql("person", """x AS (SELECT id, 'født' AS what, 1950 - born AS n FROM person UNION ALL SELECT id, 'død', 1950 - died FROM person)
 SELECT 'jubilaeum:' || what || ':' || id AS card, 'jubilaeum' AS kind, id AS person_id, CAST(n AS INT) AS years FROM x WHERE n >= 100 AND n % 50 = 0"""),
     "on_this_day": "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, 'dag' AS precision FROM orders WHERE month(o_orderdate) = 2 AND day(o_orderdate) = 29",
-    "on_this_month": "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, 'maaned' AS precision FROM orders WHERE month(o_orderdate) = 6 AND day(o_orderdate) <> 28",
+    "on_this_month": "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, 'maaned' AS precision FROM orders WHERE month(o_orderdate) = 6",
     "person_of_the_day": f"""WITH p AS (SELECT c_custkey AS id, c_name AS name, row_number() OVER (ORDER BY c_custkey) - 1 AS r FROM customer) SELECT id, name FROM p WHERE r = {_FNV("'2026-06-01'")} % (SELECT count(*) FROM customer)""",
     "feed_scores": sql("relation", f"{_CARD} SELECT card, round(score, 9) AS score FROM scored"),
     "feed_draws": sql("relation", f"{_CARD}, v AS (SELECT card, score, {_u(42, 'ordinal')} AS u FROM scored WHERE score > 0) SELECT card, round(-ln(1 - u) / score, 6) AS draw FROM v"),

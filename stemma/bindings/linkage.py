@@ -11,11 +11,11 @@ from stemma.plans.stages import materialise
 
 from .tables import read, role, sql
 
-CFG = L.Config(top=5)
+CFG = L.Config()
 
 
 def _tiers(spark, d, normalised=False):
-    cfg = L.Config(top=5, normalised=normalised)
+    cfg = L.Config(normalised=normalised)
     found = L.candidates(role(spark, d, "record_a"), role(spark, d, "record_b"), cfg, L.edit_similarity)
     return L.assign_tiers(found, cfg)
 
@@ -81,7 +81,7 @@ def corroboration(spark, d):
 
 
 def _decisions(spark, d):
-    kind = F.element_at(F.array(F.lit("bekræft"), F.lit("afvis"), F.lit("ny-id")), (F.col("a_id") / 10 % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit("bekræft"), F.lit("afvis"), F.lit("ny-id")), (F.col("a_id") % 3 + 1).cast("int"))
     return _tiers(spark, d).where("b_id % 4 = 1").select("a_id", "b_id", kind.alias("decision"), (F.col("b_id") + 5).alias("new_id"))
 
 
@@ -121,9 +121,9 @@ def duplicate_records(spark, d):
 
 
 def place_matches(spark, d):
-    key = F.concat(F.lit("gård"), (F.col("id") % 40).cast("string"))
+    key = F.concat(F.lit("gaard"), (F.col("id") % 40).cast("string"))
     index = role(spark, d, "place").select(key.alias("key"), F.col("name").alias("place"), F.when(F.col("id") % 3 == 0, 55.5).otherwise(F.coalesce("lat", F.lit(0.0))).alias("lat"), F.when(F.col("id") % 3 == 0, 9.5).otherwise(F.coalesce("lon", F.lit(0.0))).alias("lon"))
-    texts = role(spark, d, "person").select("id", F.concat(F.when(F.col("id") % 2 == 0, F.lit("gård")).otherwise(F.lit("gaard")), (F.col("id") % 60).cast("string")).alias("key"))
+    texts = role(spark, d, "person").select("id", F.concat(F.when((F.col("id") % 2 == 0) & (F.col("id") % 60 < 40), F.lit("gård")).otherwise(F.lit("gaard")), (F.col("id") % 60).cast("string")).alias("key"))
     return L.match_places(texts, index)
 
 
@@ -137,7 +137,7 @@ _CAND = f"""pair AS (SELECT a.id AS a_id, b.id AS b_id, round(1 - CAST(levenshte
   FROM record_a a JOIN record_b b ON a.name_key[1] = b.name_key[1] AND {_OVER('birth', 'birth', 5)}),
 ok AS (SELECT *, round(CAST(0.6 AS DOUBLE) * name_sim + CASE WHEN birth_eq THEN CAST(0.2 AS DOUBLE) ELSE 0 END + CASE WHEN death_eq THEN CAST(0.1 AS DOUBLE) ELSE 0 END + CASE WHEN sex_eq THEN CAST(0.1 AS DOUBLE) ELSE 0 END, 9) AS score
   FROM pair WHERE name_sim >= CAST({CFG.name_floor!r} AS DOUBLE)),
-cand AS (SELECT *, count(*) OVER (PARTITION BY a_id) = 1 AS unique_block FROM ok QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) <= 5)"""
+cand AS (SELECT *, count(*) OVER (PARTITION BY a_id) = 1 AS unique_block FROM ok QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) <= 10)"""
 _NORM = """round((CAST(0.6 AS DOUBLE) * name_sim + CASE WHEN birth_eq THEN CAST(0.2 AS DOUBLE) ELSE 0 END + CASE WHEN death_eq THEN CAST(0.1 AS DOUBLE) ELSE 0 END + CASE WHEN sex_eq THEN CAST(0.1 AS DOUBLE) ELSE 0 END)
   / (CAST(0.6 AS DOUBLE) + CASE WHEN birth_known THEN CAST(0.2 AS DOUBLE) ELSE 0 END + CASE WHEN death_known THEN CAST(0.1 AS DOUBLE) ELSE 0 END + CASE WHEN sex_known THEN CAST(0.1 AS DOUBLE) ELSE 0 END), 9)"""
 
@@ -201,7 +201,7 @@ oa AS (SELECT child AS a_id, parent AS k, 'forælder' AS kind FROM o UNION SELEC
 r AS (SELECT id AS a_id, id + 10000 AS b_id FROM person WHERE id % 4 = 0),
 h AS (SELECT r.a_id, r.b_id, oa.kind || ' ' || oa.k AS s FROM r JOIN oa USING (a_id) JOIN link ON link.a_id = oa.k JOIN ta ON ta.b_id = r.b_id AND ta.k = link.b_id AND ta.kind = oa.kind)
 SELECT r.a_id, r.b_id, count(s) AS support, coalesce(string_agg(s, '; ' ORDER BY s), '') AS detail FROM r LEFT JOIN h USING (a_id, b_id) GROUP BY ALL"""),
-    "review_merge": sql(_AB, f"""{_tier_sql()}, x AS (SELECT *, CASE WHEN b_id % 4 = 1 THEN ['bekræft', 'afvis', 'ny-id'][CAST(a_id // 10 % 3 + 1 AS INT)] END AS dec FROM t WHERE tier IN ('auto', 'review'))
+    "review_merge": sql(_AB, f"""{_tier_sql()}, x AS (SELECT *, CASE WHEN b_id % 4 = 1 THEN ['bekræft', 'afvis', 'ny-id'][a_id % 3 + 1] END AS dec FROM t WHERE tier IN ('auto', 'review'))
 SELECT a_id, CASE WHEN dec = 'ny-id' THEN b_id + 5 ELSE b_id END AS b_id, coalesce(dec, 'auto') AS origin FROM x WHERE dec IN ('bekræft', 'ny-id') OR dec IS NULL AND tier = 'auto'"""),
     "review_worklist": sql(_AB, f"""{_tier_sql()}, o AS (SELECT * FROM t WHERE score >= 0.7 AND (a_id + b_id) % 5 <> 0),
 s AS (SELECT a_id, count(*) FILTER (score >= 0.9) AS strong, count(*) FILTER (score < 0.9) AS weak, first(b_id ORDER BY score DESC, b_id) AS best FROM o GROUP BY a_id)
@@ -217,9 +217,15 @@ SELECT t.*, coalesce(refs, '') AS refs FROM t LEFT JOIN r USING (person)"""),
 x AS (SELECT coalesce(r.edition, b.edition) AS edition, coalesce(r.page, b.page) AS page, CASE WHEN m IS NULL THEN 'missing' WHEN n IS NULL THEN 'new' WHEN n > 1 OR m > 1 THEN 'ambiguous' ELSE 'reuse' END AS action, id FROM r FULL JOIN b ON r.edition = b.edition AND r.page = b.page)
 SELECT edition, page, action, CASE WHEN action = 'reuse' THEN id END AS id FROM x"""),
     "duplicate_records": sql("media", """m AS (SELECT id, CASE WHEN id % 4 <> 0 THEN id % 3 END AS year, sha, byte_size, width FROM media),
-p AS (SELECT f.id AS a, m.id AS b, f.year AS y, m.year, 'text' AS det FROM m JOIN m f ON f.id = (SELECT min(id) FROM m k WHERE k.sha = m.sha) UNION ALL SELECT f.id, m.id, f.year, m.year, 'size' FROM m JOIN m f ON f.id = (SELECT min(id) FROM m k WHERE k.byte_size = m.byte_size AND k.width = m.width))
-SELECT a, b, string_agg(det, ',' ORDER BY det) AS detectors FROM p WHERE a < b AND NOT coalesce(y <> year, false) GROUP BY a, b"""),
-    "place_matches": sql("place person", """ix AS (SELECT 'gård' || id % 40 AS key, name AS place, CASE WHEN id % 3 = 0 THEN 55.5 ELSE lat END AS lat, CASE WHEN id % 3 = 0 THEN 9.5 ELSE lon END AS lon FROM place WHERE id % 3 = 0 OR lat IS NOT NULL),
-tx AS (SELECT id, CASE WHEN id % 2 = 0 THEN 'gård' ELSE 'gaard' END || id % 60 AS key FROM person)
-SELECT tx.id, min(place) AS place, CASE WHEN count(DISTINCT (round(lat, 3), round(lon, 3))) = 1 THEN 'auto' ELSE 'review' END AS status FROM tx JOIN ix ON replace(tx.key, 'å', 'aa') = replace(ix.key, 'å', 'aa') GROUP BY tx.id"""),
+k AS (SELECT id, year, sha AS key, 'text' AS det FROM m UNION ALL SELECT id, year, byte_size || ':' || width, 'size' FROM m), c AS (SELECT *, min(id) OVER (PARTITION BY det, key, year) AS rep FROM k),
+p AS (SELECT rep AS a, id AS b, det FROM c WHERE rep <> id UNION SELECT least(x.rep, y.rep), greatest(x.rep, y.rep), x.det FROM c x JOIN c y ON x.det = y.det AND x.key = y.key AND x.year IS NULL AND y.year IS NOT NULL)
+SELECT a, b, string_agg(det, ',' ORDER BY det) AS detectors FROM p GROUP BY a, b"""),
+    "place_matches": sql("place person", """ix AS (SELECT 'gaard' || id % 40 AS key, name AS place, CASE WHEN id % 3 = 0 THEN 55.5 ELSE lat END AS lat, CASE WHEN id % 3 = 0 THEN 9.5 ELSE lon END AS lon FROM place WHERE id % 3 = 0 OR lat IS NOT NULL),
+tx AS (SELECT id, CASE WHEN id % 2 = 0 AND id % 60 < 40 THEN 'gård' ELSE 'gaard' END || id % 60 AS key FROM person),
+sp AS (SELECT key, min(place) AS place, count(DISTINCT (round(lat, 3), round(lon, 3))) AS n FROM ix GROUP BY key),
+ex AS (SELECT tx.id, tx.key, sp.place, n FROM tx LEFT JOIN sp USING (key)), tr AS (SELECT ex.id, ex.key, coalesce(ex.place, sp.place) AS place, coalesce(ex.n, sp.n) AS n, CASE WHEN ex.place IS NOT NULL THEN 'eksakt' WHEN sp.place IS NOT NULL THEN 'translit' END AS method
+  FROM ex LEFT JOIN sp ON ex.place IS NULL AND replace(ex.key, 'å', 'aa') = replace(sp.key, 'å', 'aa')),
+fz AS (SELECT t.key, sp.place, round(jaro_similarity(t.key, sp.key), 9) AS score FROM (SELECT DISTINCT key FROM tr WHERE method IS NULL) t JOIN sp ON jaro_similarity(t.key, sp.key) >= 0.92 QUALIFY row_number() OVER (PARTITION BY t.key ORDER BY score DESC, sp.place) = 1)
+SELECT id, coalesce(tr.place, fz.place) AS place, CASE WHEN n = 1 THEN 'auto' WHEN n > 1 OR fz.place IS NOT NULL THEN 'review' ELSE 'none' END AS status,
+ coalesce(method, CASE WHEN fz.place IS NOT NULL THEN 'fuzzy' END) AS method, CASE WHEN method IS NOT NULL THEN 1.0 ELSE score END AS score FROM tr LEFT JOIN fz USING (key)"""),
 }

@@ -89,7 +89,7 @@ def event_merge(spark, d):
 
 
 def allocated_ids(spark, d):
-    new = role(spark, d, "person").where("id % 100 = 1").select("name")
+    new = role(spark, d, "person").select("name")
     return M.allocate_ids(role(spark, d, "person"), new, "id", ["name"])
 
 
@@ -133,5 +133,5 @@ SELECT k.target_id, CASE WHEN g.id IS NULL THEN chosen_id ELSE nxt END AS chosen
     "not_same_pairs": sql("relation", "SELECT DISTINCT least(subject_id, object_id) AS subject_id, greatest(subject_id, object_id) AS object_id FROM relation WHERE subject_id <> object_id"),
     "event_merge": sql("media", """o AS (SELECT path AS key, CASE WHEN id % 2 = 0 THEN 'godkendt' ELSE 'foreslået' END AS s, sha AS t FROM media WHERE id % 3 <> 0), n AS (SELECT path AS key, CASE WHEN id % 4 = 0 THEN 'ny' ELSE sha END AS p FROM media WHERE id % 5 <> 0)
 SELECT coalesce(o.key, n.key) AS key, CASE WHEN s IS NULL THEN 'ny' WHEN p IS NULL AND s <> 'foreslået' THEN 'behold' WHEN p IS NULL THEN 'slet' WHEN p = t THEN 'uændret' ELSE 'opdater' END AS action, coalesce(s, 'foreslået') AS status, coalesce(p, t) AS text FROM o FULL JOIN n ON o.key = n.key"""),
-    "allocated_ids": sql("person", "SELECT name, (SELECT max(id) FROM person) + row_number() OVER (ORDER BY name) AS id FROM person WHERE id % 100 = 1"),
+    "allocated_ids": sql("person", "SELECT name, (SELECT max(id) FROM person) + row_number() OVER (ORDER BY name) AS id FROM person"),
 }

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 _ID = "l_orderkey * 10 + l_linenumber"
+#: The source of a person's entry: a third of the persons have entries in two.
+_SOURCE = "o_custkey % 50 + CASE WHEN o_custkey % 3 = 1 THEN o_orderkey % 2 ELSE 0 END + 1"
 _RAW = """CASE o_orderkey % 8
   WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)
   WHEN 1 THEN concat('ca. ', CAST(year(o_orderdate) AS STRING))
@@ -55,9 +57,9 @@ ROLES: dict[str, tuple[str, list[str], str | None, str | None]] = {
         "1900 + s_nationkey AS year", "CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE concat('k', CAST(s_suppkey AS STRING)) END AS import_key",
     ], None, None),
     "anchor": ("orders", [
-        "o_custkey AS person_id", "o_orderkey % 50 AS source_id", "min(CAST(o_orderkey AS INT)) AS nr", "min(substring(o_orderpriority, 1, 1)) AS line",
+        "o_custkey AS person_id", f"{_SOURCE} AS source_id", "min(CAST(o_orderkey AS INT)) AS nr", "min(substring(o_orderpriority, 1, 1)) AS line",
         "CASE WHEN min(o_orderkey) % 9 = 0 THEN NULL ELSE concat('r', CAST(min(o_orderkey) AS STRING)) END AS record_key",
-    ], "o_orderkey % 10 = 1", "o_custkey, o_orderkey % 50"),
+    ], None, f"o_custkey, {_SOURCE}"),
     "parent_child": ("customer", [
         "c_custkey AS child", "CAST((c_custkey - c_custkey % 2) / 2 AS BIGINT) AS father", "CAST((c_custkey - c_custkey % 3) / 3 AS BIGINT) AS mother",
         "CASE c_custkey % 4 WHEN 0 THEN 'sikker' WHEN 1 THEN 'sandsynlig' WHEN 2 THEN 'formodet' END AS confidence",
@@ -69,12 +71,12 @@ ROLES: dict[str, tuple[str, list[str], str | None, str | None]] = {
     ], "c_custkey > 0", None),
     "raw_date": ("orders", ["o_orderkey AS id", f"{_RAW} AS raw"], None, None),
     "narrative": ("documents", [
-        "doc_id AS id", "doc_id % 40 AS person_id", "doc_id % 7 AS source_id", "CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE substring(text, 1, 60) END AS text",
-        "CASE WHEN doc_id % 7 < 5 THEN 'edition' ELSE 'other' END AS source_kind", "CASE WHEN doc_id % 7 = 2 THEN NULL ELSE 1900 + doc_id % 7 END AS year",
+        "doc_id AS id", "CAST(floor(doc_id / 6) AS BIGINT) AS person_id", "doc_id % 3 AS source_id", "CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE text END AS text",
+        "CASE WHEN doc_id % 3 < 2 THEN 'edition' ELSE 'other' END AS source_kind", "CASE WHEN doc_id % 3 = 1 THEN NULL ELSE 1900 + doc_id % 3 END AS year",
     ], None, None),
     "marked_text": ("documents", [
         "doc_id AS id",
-        "concat(substring(text, 1, 20), ' [[person:', CAST(doc_id % 1800 AS STRING), '|x]] og [[', CASE WHEN doc_id % 3 = 0 THEN 'media' ELSE 'person' END, ':', CAST((doc_id * 7) % 300 AS STRING)) AS text",
+        "concat(text, ' [[person:', CAST(doc_id % 1800 AS STRING), '|x]] og [[', CASE WHEN doc_id % 3 = 0 THEN 'media' ELSE 'person' END, ':', CAST((doc_id * 7) % 300 AS STRING)) AS text",
     ], None, None),
     "media": ("documents", [
         "doc_id AS id", "concat('m/', CAST(doc_id AS STRING)) AS path", "md5(text) AS sha", "n_chars AS byte_size", "lang AS width", "source AS height",
@@ -98,12 +100,12 @@ ROLES: dict[str, tuple[str, list[str], str | None, str | None]] = {
         "p_partkey AS id", "p_name AS name_key", "CAST(1700 + p_size * 3 AS INT) AS birth_min", "CAST(1702 + p_size * 3 AS INT) AS birth_max",
         "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(1760 + p_size AS INT) END AS death_min", "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(1760 + p_size AS INT) END AS death_max",
         "CASE p_partkey % 5 WHEN 0 THEN 'ukendt' WHEN 1 THEN 'm' ELSE 'k' END AS sex",
-    ], "p_partkey % 10 = 0", None),
+    ], None, None),
     "record_b": ("part", [
         "p_partkey AS id", "p_name AS name_key", "CASE WHEN p_partkey % 6 = 1 THEN NULL ELSE CAST(1701 + p_size * 3 AS INT) END AS birth_min",
         "CASE WHEN p_partkey % 6 = 1 THEN NULL ELSE CAST(1701 + p_size * 3 AS INT) END AS birth_max", "CAST(1755 + p_size AS INT) AS death_min", "CAST(1765 + p_size AS INT) AS death_max",
         "CASE p_partkey % 5 WHEN 0 THEN 'ukendt' WHEN 1 THEN 'm' ELSE 'k' END AS sex",
-    ], "p_partkey % 10 = 1", None),
+    ], None, None),
 }
 
 

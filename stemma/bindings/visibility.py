@@ -20,8 +20,8 @@ def visible_persons(spark, d):
 
 
 def visible_families(spark, d):
-    member = role(spark, d, "member").where("person_id % 60 = 14 OR person_id % 60 = 28 OR person_id % 60 = 3")
-    ids = role(spark, d, "person").select(F.col("nation").alias("family_id")).distinct()
+    member = role(spark, d, "member").withColumn("family_id", F.floor(F.col("person_id") / 3))
+    ids = role(spark, d, "person").select(F.floor((F.col("id") + 1) / 2).alias("family_id")).distinct()
     return V.visible_families(ids, member, role(spark, d, "person"))
 
 
@@ -84,7 +84,7 @@ _ALIVE = "alive AS (SELECT id FROM person WHERE NOT (died IS NOT NULL OR 1900 -
 SQL = {
     "visible_persons": sql("person", f"{_SEEN} SELECT id, name, sex FROM person SEMI JOIN seen USING (id)"),
     "visible_families": sql("person member", f"""{_SEEN}
-SELECT DISTINCT nation AS family_id FROM person WHERE nation NOT IN (SELECT family_id FROM member WHERE person_id % 60 IN (14, 28, 3) AND person_id NOT IN (SELECT id FROM seen))"""),
+SELECT DISTINCT CAST(floor((id + 1) / 2) AS BIGINT) AS family_id FROM person WHERE floor((id + 1) / 2) NOT IN (SELECT floor(person_id / 3) FROM member WHERE person_id NOT IN (SELECT id FROM seen))"""),
     "visible_media": sql("person media depiction", f"{_MEDIA} SELECT * FROM shown"),
     "visible_media_signed_in": sql("person media depiction", """SELECT id, path FROM media WHERE coalesce(may_publish, false) AND status = 'klar'
   AND id NOT IN (SELECT media_id FROM depiction JOIN person ON person.id = object_id WHERE coalesce(private, false))"""),

@@ -89,9 +89,9 @@ def initial(name: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the characters, as a long."""
-    chars = F.filter(F.split(F.coalesce(text, F.lit("")), ""), lambda c: c != "")
-    return F.aggregate(chars, F.lit(2166136261).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619)) % F.lit(1 << 32))
+    """32-bit FNV-1a over the UTF-16 units of the text, as a long: a character beyond the first plane is two."""
+    units = F.regexp_extract_all(F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-16BE")), F.lit("[0-9A-F]{4}"), 0)
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: (h.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * F.lit(16777619)) % F.lit(1 << 32))
 
 
 def _mul32(a: Column, b: Column) -> Column:

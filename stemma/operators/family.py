@@ -170,7 +170,7 @@ def generation_neighbours(marks: DataFrame) -> DataFrame:
 def same_as_groups(edges: DataFrame, known: DataFrame) -> DataFrame:
     """component, member, canonical, reason: groups of alias -> canonical edges.
 
-    Self loops are dropped. A group is quarantined (canonical null) if it has
+    Self loops and repeated edges are dropped. A group is quarantined (canonical null) if it has
     an unknown member, or not exactly one member that is no alias.
     """
     edges = edges.select("alias", "canonical").where("alias <> canonical").distinct()

@@ -2,8 +2,8 @@
 
 Frames to be linked have id, name_key, birth_min, birth_max, death_min,
 death_max and sex. Candidates meet by an equal block (the first letter of the
-key) and overlapping years; a hot block is a skewed equi-join, which adaptive
-execution splits.
+key) and a common band of years; a hot one is a skewed equi-join, which
+adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stemma.functions.dates import known, overlaps
-from stemma.plans.stages import keep_first
+from stemma.plans.stages import keep_first, materialise
 
 
 @dataclass(frozen=True)
 class Config:
     year_window: int = 5
+    #: Years of a band of the blocking key.
+    band: int = 16
     name: float = 0.6
     birth: float = 0.2
     death: float = 0.1
@@ -61,18 +63,26 @@ def jaro_winkler(a: str, b: str, p: float = 0.1, longest: int = 4) -> float:
     return score + same * p * (1 - score)
 
 
-def jaro_winkler_column(a: Column, b: Column) -> Column:
-    """Spark has no such function: an Arrow-batched UDF, after all cheaper filters."""
+def jaro_winkler_column(a: Column, b: Column, p: float = 0.1) -> Column:
+    """Spark has no such function: an Arrow-batched UDF, after all cheaper filters. p = 0 is plain Jaro."""
 
     @F.pandas_udf("double")
     def similar(x, y):
         import pandas as pd
 
-        return pd.Series([jaro_winkler(s or "", t or "") for s, t in zip(x, y, strict=True)], index=x.index, dtype="float64")
+        return pd.Series([jaro_winkler(s or "", t or "", p) for s, t in zip(x, y, strict=True)], index=x.index, dtype="float64")
 
     return similar(a, b)
 
 
+def _bands(lo: Column, hi: Column, known_: str, unknown: str, more: str | None, years: int) -> Column:
+    """The bands of an interval with both ends, and those that stand for unknown ends; first: an interval's first band."""
+    at = lambda y: F.floor(y / F.lit(years)).cast("int")
+    there = F.transform(F.sequence(at(lo), F.greatest(at(lo), at(hi))), lambda b: F.concat(F.lit("b"), b.cast("string")))
+    both = F.concat(there, F.array(*[F.lit(x) for x in (known_, more) if x]))
+    return F.when(lo.isNotNull() & hi.isNotNull(), both).otherwise(F.array(*[F.lit(x) for x in (unknown, more) if x]))
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 - edit distance over the longer length."""
     return F.round(1 - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b), F.lit(1)), 9)
@@ -101,7 +111,12 @@ def candidates(a: DataFrame, b: DataFrame, cfg: Config = Config(), similarity: C
     c = F.col
     w = F.lit(cfg.year_window)
     near = overlaps(c("a_birth_min") - w, c("a_birth_max") + w, c("b_birth_min"), c("b_birth_max"))
-    pairs = left.join(right, "block").where(near).withColumn("name_sim", similarity(c("a_name_key"), c("b_name_key"))).where(c("name_sim") >= cfg.name_floor)
+    # a with known years meets b by bands, once at their first common one, and all b without; a without known years meets every b.
+    first = lambda y: F.floor(y / F.lit(cfg.band)).cast("int")
+    left = left.withColumn("band", F.explode(_bands(c("a_birth_min") - w, c("a_birth_max") + w, "open", "every", None, cfg.band)))
+    right = right.withColumn("band", F.explode(_bands(c("b_birth_min"), c("b_birth_max"), "", "open", "every", cfg.band)))
+    once = ~c("band").startswith("b") | (c("band") == F.concat(F.lit("b"), F.greatest(first(c("a_birth_min") - w), first(c("b_birth_min"))).cast("string")))
+    pairs = left.join(right, ["block", "band"]).where(once & near).drop("band").withColumn("name_sim", similarity(c("a_name_key"), c("b_name_key"))).where(c("name_sim") >= cfg.name_floor)
 
     def both(what: str) -> tuple[Column, Column]:
         lo, hi = (lambda s: c(f"{s}_{what}_min")), (lambda s: c(f"{s}_{what}_max"))
@@ -259,30 +274,80 @@ def reconcile(register: DataFrame, batch: DataFrame, keys: list[str]) -> DataFra
 
 
 def duplicates(rows: DataFrame, detectors: dict[str, list[str]]) -> DataFrame:
-    """a, b, detectors: pairs of rows that agree on all columns of a detector, unless their known years differ. rows: id, year and the detectors' columns. Each key's rows hang on its smallest id, so a group of n copies gives n - 1 pairs."""
+    """a, b, detectors: pairs of rows that agree on all columns of a detector, unless their known years differ. rows: id, year and the detectors' columns.
+
+    Rows of one key and year are a class, those of unknown year another; each
+    class hangs on its smallest id, and that of unknown year on every other
+    class of its key. So no link is lost, and n rows give about n pairs.
+    """
     found = None
     for name, keys in detectors.items():
         keyed = rows
         for k in keys:
             keyed = keyed.where(F.col(k).isNotNull() & (F.col(k).cast("string") != ""))
-        w = Window.partitionBy(*keys)
-        part = keyed.select("*", F.min(F.struct("id", "year")).over(w).alias("_f")).select(F.col("_f.id").alias("a"), F.col("id").alias("b"), F.col("_f.year").alias("_y"), "year", F.lit(name).alias("detector")).where("a < b")
+        keyed = keyed.select("id", "year", *keys)
+        classes = keyed.groupBy(*keys, "year").agg(F.min("id").alias("rep"))
+        same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+        meet = F.col("x.year").eqNullSafe(F.col("y.year"))
+        for e in same:
+            meet = meet & e
+        inner = keyed.alias("x").join(classes.alias("y"), meet).where(F.col("x.id") != F.col("y.rep")).select(F.col("y.rep").alias("a"), F.col("x.id").alias("b"))
+        open_ = classes.where("year IS NULL").select(*keys, F.col("rep").alias("o"))
+        across = classes.where("year IS NOT NULL").join(open_, keys).select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b"))
+        part = inner.unionByName(across).withColumn("detector", F.lit(name))
         found = part if found is None else found.unionByName(part)
-    clash = F.coalesce(F.col("_y") != F.col("year"), F.lit(False))
-    return found.where(~clash).groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("detector")), ",").alias("detectors"))
+    return found.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("detector")), ",").alias("detectors"))
 
 
-def match_places(texts: DataFrame, index: DataFrame) -> DataFrame:
-    """id, place, status: exact key before its plain-letter form; auto if the coordinates of all matches agree to three decimals, else review. texts: id, key; index: key, place, lat, lon."""
+def fuzzy_keys(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """a, b, score: keys (column key) whose plain Jaro similarity is at least ``least``.
+
+    Such keys share a certain number of letters, so in an order of all letters
+    (with the number of the occurrence) they share one of the first few: a join
+    by that letter loses no pair. Only candidates of a fitting length and with
+    enough shared letters go to Python.
+    """
+    ratio = 3 * least - 2  # of the shorter to the longer length, and of the shared letters to a length
+
+    def prefix(df: DataFrame, out: str) -> DataFrame:
+        letters = F.filter(F.split(F.col("key"), ""), lambda x: x != "")
+        seen = F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x)).cast("string")))
+        rows = df.select("key").where("key <> ''").distinct().withColumn("n", F.char_length("key")).withColumn("bag", F.array_sort(seen))
+        take = F.col("n") - F.ceil(F.col("n") * F.lit(ratio) - F.lit(1e-9)) + 1
+        return rows.select(F.col("key").alias(out), F.col("n").alias(f"n_{out}"), F.col("bag").alias(f"bag_{out}"), F.explode(F.slice("bag", 1, take.cast("int"))).alias("letter"))
+
+    pairs = prefix(left, "a").join(prefix(right, "b"), "letter")
+    pairs = pairs.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(ratio) - F.lit(1e-9)).drop("letter").distinct()
+    m = F.size(F.array_intersect("bag_a", "bag_b"))
+    pairs = pairs.where((m / F.col("n_a") + m / F.col("n_b") + 1) / 3 >= F.lit(least - 1e-9))
+    return pairs.select("a", "b", jaro_winkler_column(F.col("a"), F.col("b"), 0.0).alias("score")).where(F.col("score") >= least)
+
+
+def match_places(texts: DataFrame, index: DataFrame, least: float = 0.92) -> DataFrame:
+    """id, place, status, method, score: one row per text. texts: id, key; index: key, place, lat, lon.
+
+    The exact key comes before its plain-letter form, and that before the most
+    similar key. Exact and plain matches are auto if the coordinates of all of
+    them agree to three decimals, else review; similar ones are always review;
+    a text without any is none. Of equal ones the first place by name counts.
+    """
     plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("æ"), F.lit("ae")), F.lit("ø"), F.lit("oe")), F.lit("å"), F.lit("aa"))
     ok = index.where("lat <> 0 AND lon <> 0")
-    one = texts.join(ok, "key").withColumn("tier", F.lit(1))
-    two = texts.withColumn("_k", plain(F.col("key"))).drop("key").join(ok.withColumn("_k", plain(F.col("key"))).drop("key"), "_k").drop("_k").withColumn("tier", F.lit(2))
-    rows = one.drop("key").unionByName(two)
-    best = rows.groupBy("id").agg(F.min("tier").alias("tier"))
-    rows = rows.join(best, ["id", "tier"])
-    out = rows.groupBy("id", "tier").agg(F.min("place").alias("place"), F.count_distinct(F.round("lat", 3), F.round("lon", 3)).alias("spots"))
-    return out.select("id", "place", F.when(F.col("spots") == 1, "auto").otherwise("review").alias("status"))
+
+    def spots(key: Column) -> DataFrame:
+        return ok.groupBy(key.alias("_k")).agg(F.min("place").alias("place"), F.count_distinct(F.round("lat", 3), F.round("lon", 3)).alias("spots"))
+
+    status = F.when(F.col("spots") == 1, "auto").otherwise("review")
+    keyed = texts.withColumn("_k", F.col("key"))
+    one = keyed.join(spots(F.col("key")), "_k").select("id", "place", status.alias("status"), F.lit("eksakt").alias("method"), F.lit(1.0).alias("score"))
+    rest = keyed.join(one, "id", "left_anti").withColumn("_k", plain(F.col("key")))
+    two = rest.join(spots(plain(F.col("key"))), "_k").select("id", "place", status.alias("status"), F.lit("translit").alias("method"), F.lit(1.0).alias("score"))
+    rest = materialise(rest.join(two, "id", "left_anti").select("id", "key"), "places")
+    places = ok.groupBy("key").agg(F.min("place").alias("place"))
+    found = fuzzy_keys(rest, places, least).withColumn("score", F.round("score", 9)).join(places.withColumnRenamed("key", "b"), "b")
+    best = keep_first(found, ["a"], F.desc("score"), "place").select(F.col("a").alias("key"), "place", "score")
+    three = rest.join(best, "key", "left").select("id", "place", F.when(F.col("place").isNull(), "none").otherwise("review").alias("status"), F.when(F.col("place").isNotNull(), "fuzzy").alias("method"), "score")
+    return one.unionByName(two).unionByName(three)
 
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stemma.plans.stages import keep_first
+from stemma.plans.stages import keep_first, ranked
 
 
 def duplicate_media(media: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,8 +45,8 @@ def janitor_report(objects: DataFrame, media: DataFrame, variants: DataFrame, ti
     wanted = ready.select("id", F.explode(F.array(*[F.lit(t) for t in tiers])).alias("tier"))
     gaps = wanted.join(variants.select(F.col("media_id").alias("id"), "tier"), ["id", "tier"], "left_anti").select(F.concat(F.lit("mangler variant "), "tier").alias("category"), F.lit("").alias("path"), F.col("id").alias("media_id"))
     rows = orphan.unionByName(stranded).unionByName(lost).unionByName(gaps)
-    by = Window.partitionBy("category").orderBy(F.col("media_id").isNull(), F.length(F.col("media_id").cast("string")), F.col("media_id").cast("string"), "path")
-    return rows.withColumn("place", F.row_number().over(by).cast("long"))
+    order = [F.col("media_id").isNull(), F.length(F.col("media_id").cast("string")), F.col("media_id").cast("string"), F.col("path")]
+    return ranked(rows, ["category"], order)
 
 
 def sha_backfill(media: DataFrame, computed: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def event_merge(existing: DataFrame, planned: DataFrame) -> DataFrame:
 
 
 def allocate_ids(state: DataFrame, new: DataFrame, id_col: str, order: list[str]) -> DataFrame:
-    """New rows with ids after the state's largest, in the given order. The commands of one batch are few; they are numbered by one sort."""
+    """New rows with ids after the state's largest, in the given order. They are numbered by ranges, not in one task."""
     top = state.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    numbered = new.withColumn("_n", F.row_number().over(Window.orderBy(*order)))
+    numbered = ranked(new.withColumn("_all", F.lit(0)), ["_all"], [F.col(c) for c in order], "_n").drop("_all")
     return numbered.crossJoin(F.broadcast(top)).withColumn(id_col, F.col("_top") + F.col("_n")).drop("_top", "_n")  # a single row

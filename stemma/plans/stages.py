@@ -7,25 +7,53 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where the session names none, a temporary one on a single machine; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stemma-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str = "stage") -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs no earlier work."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; the file system drops it when the application ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def materialise(df: DataFrame, tag: str = "stage") -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs no earlier work."""
+    path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list, out: str = "place", buckets: int = 64) -> DataFrame:
+    """Adds the place (from 1) of every row within its key, without sorting a key in one task.
+
+    The rows are dealt out by ranges of (keys, order), so that a hot key lies in
+    many partitions, and numbered within each; the counts of the partitions
+    before, one row per key and partition, are added. order should be unique.
+    """
+    rows = df.repartitionByRange(buckets, *keys, *order).withColumn("_part", F.spark_partition_id())
+    rows = materialise(rows, "ranked")
+    sizes = rows.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part")
+    ahead = sizes.select(*keys, "_part", (F.sum("_n").over(before) - F.col("_n")).alias("_ahead"))
+    own = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    meet = (F.col("r._part") == F.col("s._part"))
+    for k in keys:
+        meet = meet & F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}"))
+    rows = rows.withColumn("_own", own).alias("r").join(ahead.alias("s"), meet)
+    return rows.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_own") + F.col("_ahead")).cast("long").alias(out))
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -73,6 +101,4 @@ def closure(edges: DataFrame, start: str, end: str, max_depth: int = 50) -> Data
 
 def keep_first(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key in the given order (a distinct-on)."""
-    from pyspark.sql.window import Window
-
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")

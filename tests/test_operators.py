@@ -119,3 +119,66 @@ def test_change_stream(spark, tmp_path):
     keys = changes.changed_keys(spark, log, "row_id long, v string")
     changes.keep_current(keys, lambda k: k.withColumn("n", F.lit(1)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert [r["row_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
+def test_similar_keys_lose_no_pair(spark):
+    """Against every pair in plain Python."""
+    import random
+
+    rng = random.Random(5)
+    keys = ["".join(rng.choice("abcdeå") for _ in range(rng.randint(1, 9))) for _ in range(150)]
+    keys += [k[:2] + k[3:] for k in keys if len(k) > 5] + [k[:1] + k[2:3] + k[1:2] + k[3:] for k in keys if len(k) > 5]
+    a, b = (spark.createDataFrame([(k,) for k in part], "key string") for part in (keys[::2], keys[1::2]))
+    want = {(x, y) for x in keys[::2] for y in keys[1::2] if linkage.jaro_winkler(x, y, 0.0) >= 0.92}
+    got = [(r["a"], r["b"]) for r in linkage.fuzzy_keys(a, b, 0.92).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_candidates_by_bands_lose_no_pair(spark):
+    import random
+
+    rng = random.Random(6)
+
+    def side(n):
+        out = []
+        for i in range(n):
+            lo = rng.choice([None, rng.randint(1600, 1900)])
+            hi = rng.choice([None, (lo or 1700) + rng.randint(0, 40)])
+            out.append((i, rng.choice(["anna", "anne", "bo", ""]), lo, hi, None, None, "m"))
+        return out
+
+    schema = "id long, name_key string, birth_min int, birth_max int, death_min int, death_max int, sex string"
+    left, right = side(60), side(60)
+    cfg = linkage.Config(top=1000)
+    got = [(r["a_id"], r["b_id"]) for r in linkage.candidates(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), cfg).collect()]
+    near = lambda a, b: (a[2] is None or b[3] is None or a[2] - 5 <= b[3]) and (b[2] is None or a[3] is None or b[2] <= a[3] + 5)
+    want = {(a[0], b[0]) for a in left for b in right if a[1] and b[1] and a[1][0] == b[1][0] and near(a, b) and linkage.jaro_winkler(a[1], b[1]) >= cfg.name_floor}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_duplicates_link_rows_that_agree_with_each_other_only(spark):
+    rows = spark.createDataFrame([(1, 1700, "x"), (2, 1800, "x"), (3, 1800, "x"), (4, None, "x"), (5, None, "x"), (6, None, "y")], "id long, year int, key string")
+    got = {(r["a"], r["b"]) for r in linkage.duplicates(rows, {"key": ["key"]}).collect()}
+    assert got == {(2, 3), (4, 5), (1, 4), (2, 4)}
+
+
+def test_ranked_over_ranges(spark):
+    from stemma.plans.stages import ranked
+
+    df = spark.range(1000).selectExpr("id", "case when id < 900 then 'hot' end as k")
+    got = {r["id"]: r["place"] for r in ranked(df, ["k"], [F.desc("id")]).collect()}
+    assert all(got[i] == 900 - i for i in range(900)) and all(got[i] == 1000 - i for i in range(900, 1000))
+
+
+def test_hash_over_utf16_units(spark):
+    from stemma.functions.text import fnv1a
+
+    def want(t):
+        h, data = 2166136261, t.encode("utf-16-be")
+        for i in range(0, len(data), 2):
+            h = ((h ^ int.from_bytes(data[i : i + 2])) * 16777619) % 2**32
+        return h
+
+    texts = ["", "a", "Øre", "😀 x", "\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fnv1a(F.col("t")).alias("h"))
+    assert {r["t"]: r["h"] for r in df.collect()} == {t: want(t) for t in texts}
