@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stemma.functions.dates import fuzzy_date
 from stemma.operators import evidence as E
@@ -63,27 +64,98 @@ def fuzzy_dates(spark, d):
     return role(spark, d, "raw_date").select("id", fuzzy_date(F.col("raw")).alias("f")).select("id", F.col("f.min").alias("min_day"), F.col("f.max").alias("max_day"), F.col("f.qualifier").alias("qualifier"), F.col("f.certainty").alias("certainty"), F.col("f.understood").alias("understood"))
 
 
-def quality_grid(spark, d):
+def _grid(spark, d):
     frames = _roles(spark, d, "person anchor source fact conclusion claim citation")
     same = role(spark, d, "person").where("id % 20 = 7").select(F.col("id").alias("alias"), (F.col("id") - 1).alias("canonical"))
     journal = role(spark, d, "anchor").join(frames[2].select(F.col("id").alias("source_id"), "import_key"), "source_id").where("nr % 3 = 0 AND record_key IS NOT NULL AND import_key IS NOT NULL")
-    journal = journal.select("import_key", "record_key", F.lit("koen").alias("field"), F.md5(F.concat_ws("\x1f", "import_key", "record_key", F.lit("koen"), F.lit("mand"), F.lit(""))).alias("fingerprint"), F.lit("mand").alias("imported"), F.when(F.col("nr") % 2 == 0, "rettet").otherwise("godkendt").alias("status"))
-    return E.quality_grid(*frames, same, journal)
+    journal = journal.select("import_key", "record_key", F.lit("koen").alias("field"), F.md5(F.concat_ws("\x1f", "import_key", "record_key", F.lit("koen"), F.lit("mand"), F.lit(""))).alias("fingerprint"), F.lit("mand").alias("imported"), F.when(F.col("nr") % 2 == 0, "kvinde").alias("corrected"), F.when(F.col("nr") % 2 == 0, "rettet").otherwise("godkendt").alias("status"))
+    return E.quality_grid(*frames, same, journal, role(spark, d, "member"), role(spark, d, "relation"))
+
+
+def _flat(grid):
+    """Maps and lists as text, for comparison."""
+    text = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ";")
+    maps = ("fingerprints", "imported", "corrected", "contexts", "pages", "states", "editable", "blockers")
+    return grid.withColumns({m: text(m) for m in maps} | {"codes": F.array_join("codes", ";")})
+
+
+def quality_grid(spark, d):
+    return _flat(_grid(spark, d))
+
 
+def quality_grid_open(spark, d):
+    return E.filter_grid(_grid(spark, d), "aabne", query="#0", same_as=False, staged=False).select("person_id", F.array_join("codes", ";").alias("codes"))
 
-QUERIES = {f.__name__: f for f in (evidence_display, evidence_conflicts, evidence_settled, evidence_claims, evidence_provenance, evidence_merge_sources, full_names, preferred_text, text_versions, fuzzy_dates, quality_grid)}
 
-_CHAIN = """chain AS (SELECT f.id AS fact_id, f.subject_id, f.kind, k.status, a.id AS claim_id, a.value, a.date_raw, a.date_min, a.date_max
+def quality_grid_sorted(spark, d):
+    rows = E.sort_grid(_grid(spark, d), "born_min", descending=True).select("person_id", "born_min").limit(100)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("born_min"), "person_id")))  # a page of 100
+
+
+def parent_conflicts(spark, d):
+    fact = role(spark, d, "fact").withColumn("kind", F.when(F.col("kind") == "title", "parents").otherwise(F.col("kind")))
+    claim = role(spark, d, "claim").select("target_id", F.when(F.col("id") % 4 != 0, F.col("id") % 5).alias("family_id"))
+    return E.parent_conflicts(fact, claim, role(spark, d, "conclusion"))
+
+
+QUERIES = {f.__name__: f for f in (evidence_display, evidence_conflicts, evidence_settled, evidence_claims, evidence_provenance, evidence_merge_sources, full_names, preferred_text, text_versions, fuzzy_dates, quality_grid, quality_grid_open, quality_grid_sorted, parent_conflicts)}
+
+_CHAIN = """chain AS (SELECT f.id AS fact_id, f.subject_id, f.kind, k.status, a.id AS claim_id, a.value, a.date_raw, a.date_min, a.date_max, a.qualifier
   FROM fact f JOIN conclusion k ON k.target_type = 'fact' AND k.target_id = f.id JOIN claim a ON a.id = k.chosen_id)"""
 _CONFLICT = """conflict AS (SELECT f.id AS fact_id, f.subject_id, f.kind, count(DISTINCT a.value) AS n_values
   FROM fact f JOIN claim a ON a.target_type = 'fact' AND a.target_id = f.id WHERE f.kind IN ('name', 'title') GROUP BY ALL HAVING count(DISTINCT a.value) > 1)"""
 _SHOWN = """SELECT subject_id, max(value) FILTER (kind = 'name') AS name, max(coalesce(date_raw, value)) FILTER (kind = 'birth') AS born,
   max(coalesce(date_raw, value)) FILTER (kind = 'death') AS died, max(value) FILTER (kind = 'title') AS title FROM chain GROUP BY subject_id"""
-_SETTLED = """settled AS (SELECT subject_id AS person_id, CASE kind WHEN 'name' THEN 'navn' WHEN 'birth' THEN 'foedsel' ELSE 'doed' END AS field, claim_id, value, date_raw, date_min, date_max
+_SETTLED = """settled AS (SELECT subject_id AS person_id, CASE kind WHEN 'name' THEN 'navn' WHEN 'birth' THEN 'foedsel' ELSE 'doed' END AS field, claim_id, value, date_raw, date_min, date_max, qualifier
   FROM chain WHERE status = 'afklaret' AND kind IN ('name', 'birth', 'death'))"""
 _ONE = lambda c: f"CASE WHEN count(DISTINCT claim_id) = 1 THEN min({c}) END AS {c}"
 _YEAR = "CAST(year(o_orderdate) AS VARCHAR)"
 
+_GRID = f"""{_CHAIN}, {_SETTLED},
+found AS (SELECT person_id, count(*) AS anchors, count(*) FILTER (s.import_key IS NOT NULL AND record_key IS NOT NULL) AS stable, max(s.import_key) AS import_key, max(record_key) AS record_key,
+  max(source_id) AS source_id, max(s.title) AS source_title, max(s.edition) AS source_edition, max(line) AS line, max(nr) AS nr, max(generation) AS generation FROM anchor a LEFT JOIN source s ON s.id = a.source_id GROUP BY person_id),
+people AS (SELECT p.id AS person_id, p.sex, p.living, p.private, p.staged, p.status, coalesce(anchors, 0) AS anchors, coalesce(stable, 0) AS stable, import_key, record_key, source_id, source_title, source_edition, f.line, nr, generation
+  FROM person p LEFT JOIN found f ON f.person_id = p.id),
+cited AS (SELECT claim_id, source_id, arg_min_null(quote, id) AS context, arg_min(page, id) AS page, bool_or(coalesce(trim(quote) <> '', false)) AS told FROM citation GROUP BY ALL),
+at_anchor AS (SELECT s.*, c.context, c.page, c.told FROM settled s JOIN people p ON p.person_id = s.person_id AND p.anchors = 1 AND p.stable = 1
+  LEFT JOIN cited c ON c.claim_id = s.claim_id AND c.source_id = p.source_id),
+cand AS (SELECT person_id, field, count(DISTINCT claim_id) AS candidates, {', '.join(_ONE(c) for c in ('value', 'date_raw', 'date_min', 'date_max', 'qualifier', 'context', 'page'))},
+  CASE WHEN count(DISTINCT claim_id) = 1 THEN min(claim_id) END AS one_id FROM at_anchor WHERE told IS NOT NULL GROUP BY person_id, field),
+shown AS (SELECT person_id, field, {', '.join(_ONE(c) for c in ('value', 'date_raw', 'date_min', 'date_max', 'qualifier'))} FROM settled GROUP BY person_id, field),
+journal AS (SELECT s.import_key, a.record_key, 'koen' AS field, md5(concat_ws(chr(31), s.import_key, a.record_key, 'koen', 'mand', '')) AS noted, CASE WHEN nr % 2 = 0 THEN 'rettet' ELSE 'godkendt' END AS noted_status, 'mand' AS imported, CASE WHEN nr % 2 = 0 THEN 'kvinde' END AS corrected
+  FROM anchor a JOIN source s ON s.id = a.source_id WHERE nr % 3 = 0 AND record_key IS NOT NULL AND s.import_key IS NOT NULL),
+x AS (SELECT p.*, v.field, CASE WHEN v.field = 'koen' THEN p.sex ELSE c.value END AS value, c.candidates, c.date_raw, c.date_min, c.date_max, c.qualifier, c.context, c.page, c.one_id,
+  sh.value AS s_value, sh.date_raw AS s_raw, sh.date_min AS s_min, sh.date_max AS s_max, sh.qualifier AS s_qualifier, j.noted, j.noted_status, j.corrected,
+  coalesce(j.imported, CASE WHEN v.field = 'koen' THEN p.sex WHEN v.field = 'navn' THEN c.value WHEN c.candidates = 1 THEN concat_ws('/', c.date_raw, CAST(c.date_min AS VARCHAR), CAST(c.date_max AS VARCHAR)) END) AS imported
+  FROM people p CROSS JOIN (VALUES ('navn'), ('foedsel'), ('doed'), ('koen')) v(field) LEFT JOIN cand c ON c.person_id = p.person_id AND c.field = v.field
+  LEFT JOIN shown sh ON sh.person_id = p.person_id AND sh.field = v.field LEFT JOIN journal j ON j.import_key = p.import_key AND j.record_key = p.record_key AND j.field = v.field),
+y AS (SELECT *, CASE WHEN anchors = 1 AND stable = 1 AND (field = 'koen' OR candidates = 1) THEN md5(concat_ws(chr(31), coalesce(import_key, ''), coalesce(record_key, ''), field, coalesce(imported, ''), coalesce(context, ''))) END AS print FROM x),
+st AS (SELECT *, CASE WHEN noted_status IS NULL THEN 'aaben' WHEN print IS DISTINCT FROM noted THEN 'stale' ELSE noted_status END AS state,
+  CASE WHEN anchors = 0 THEN 'ingen_importanker' WHEN anchors <> 1 THEN 'flere_importankre' WHEN stable <> 1 AND import_key IS NULL THEN 'import_key_mangler' WHEN stable <> 1 THEN 'record_key_mangler'
+    WHEN field = 'koen' THEN NULL WHEN coalesce(candidates, 0) = 0 THEN 'ingen_kildebelagt_assertion' WHEN candidates > 1 THEN 'flere_importerede_facts' END AS blocker FROM y),
+g AS (SELECT person_id, {', '.join(f"coalesce(max({a}) FILTER (field = '{f}'), max(s_{b}) FILTER (field = '{f}')) AS {out}" for f, out, a, b in [('navn', 'name', 'value', 'value')] + [(f, t + '_' + b, a, b) for f, t in (('foedsel', 'born'), ('doed', 'died')) for a, b in (('date_raw', 'raw'), ('date_min', 'min'), ('date_max', 'max'), ('qualifier', 'qualifier'))])},
+  {', '.join(f"max(one_id) FILTER (field = '{f}') AS {t}_claim" for f, t in (('navn', 'name'), ('foedsel', 'born'), ('doed', 'died')))},
+  {', '.join(f"coalesce(string_agg(field || '=' || {c}, ';' ORDER BY field || '=' || {c}), '') AS {out}" for c, out in (('print', 'fingerprints'), ('imported', 'imported'), ('corrected', 'corrected'), ('context', 'contexts'), ('page', 'pages'), ('state', 'states'), ("CAST(blocker IS NULL AS VARCHAR)", 'editable'), ('blocker', 'blockers')))},
+  bool_or(coalesce(regexp_matches(context, '[?]'), false)) AS r1, coalesce(max(date_min) FILTER (field = 'foedsel') > max(date_max) FILTER (field = 'doed'), false) AS r3, bool_or(field = 'navn' AND coalesce(trim(value) <> trim(context), false)) AS r4,
+  bool_or(anchors = 1 AND stable = 0 AND record_key IS NULL) AS r6, bool_or(coalesce(candidates > 1, false)) AS r8, bool_or(state = 'stale') AS r9 FROM st GROUP BY person_id),
+vague AS (SELECT person_id, bool_or(date_raw IS NOT NULL AND date_min IS NULL AND date_max IS NULL) AS r2 FROM settled WHERE field <> 'navn' GROUP BY person_id),
+untold AS (SELECT person_id, bool_or(NOT coalesce(told, false)) AS r7 FROM at_anchor GROUP BY person_id),
+same AS (SELECT person_id, canonical, CASE prio WHEN 1 THEN 'alias' ELSE 'kanonisk' END AS same_as FROM (SELECT id AS person_id, id - 1 AS canonical, 1 AS prio FROM person WHERE id % 20 = 7
+  UNION ALL SELECT id - 1, id - 1, 2 FROM person WHERE id % 20 = 7) QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY prio, canonical) = 1),
+titles AS (SELECT subject_id AS person_id, count(*) AS titles FROM fact WHERE kind = 'title' GROUP BY subject_id),
+families AS (SELECT person_id, count(DISTINCT family_id) AS families FROM member GROUP BY person_id),
+relations AS (SELECT person_id, count(DISTINCT id) AS relations FROM (SELECT subject_id AS person_id, id FROM relation UNION ALL SELECT object_id, id FROM relation) GROUP BY person_id),
+told AS (SELECT f.subject_id AS person_id, count(DISTINCT a.id) AS cited_claims FROM fact f JOIN claim a ON a.target_id = f.id JOIN citation c ON c.claim_id = a.id GROUP BY f.subject_id),
+q AS (SELECT g.*, canonical, same_as, coalesce(titles, 0) AS titles, coalesce(families, 0) AS families, coalesce(relations, 0) AS relations, CAST(coalesce(cited_claims, 0) AS BIGINT) AS cited_claims,
+  list_sort(list_filter([CASE WHEN r1 THEN 'mistænkeligt_ocr_tegn' END, CASE WHEN coalesce(r2, false) THEN 'dato_ufortolkelig' END, CASE WHEN r3 THEN 'foedt_efter_doed' END, CASE WHEN r4 THEN 'struktureret_afviger_fra_ocr' END,
+   CASE WHEN coalesce(trim(name), '') = '' THEN 'navn_mangler' END, CASE WHEN r6 THEN 'record_key_mangler' END, CASE WHEN coalesce(r7, false) THEN 'ocr_kontekst_mangler' END, CASE WHEN r8 THEN 'flere_importerede_facts' END, CASE WHEN r9 THEN 'kilde_aendret' END], lambda z: z IS NOT NULL)) AS c,
+  coalesce(r2, false) OR r3 OR coalesce(trim(name), '') = '' OR r6 OR r8 AS bad
+  FROM g LEFT JOIN vague USING (person_id) LEFT JOIN untold USING (person_id) LEFT JOIN same USING (person_id) LEFT JOIN titles USING (person_id) LEFT JOIN families USING (person_id) LEFT JOIN relations USING (person_id) LEFT JOIN told USING (person_id)),
+grid AS (SELECT person_id, import_key, record_key, source_id, source_title, source_edition, line, nr, generation, name, name_claim, born_raw, born_min, born_max, born_qualifier, born_claim, died_raw, died_min, died_max, died_qualifier, died_claim,
+  fingerprints, imported, corrected, contexts, pages, sex, living, private, staged, status, canonical, same_as, titles, families, relations, cited_claims, array_to_string(c, ';') AS codes, CASE WHEN bad THEN 'fejl' WHEN len(c) > 0 THEN 'advarsel' END AS severity, states, editable, blockers
+  FROM q JOIN (SELECT person_id, import_key, record_key, source_id, source_title, source_edition, line, nr, generation, sex, living, private, staged, status FROM people) USING (person_id))"""
+_GRID_OF = "person anchor source fact conclusion claim citation member relation"
+
 SQL = {
     "evidence_display": sql("fact conclusion claim", f"""{_CHAIN}, {_CONFLICT}, shown AS ({_SHOWN}),
 bad AS (SELECT subject_id, count(*) AS n_conflicts FROM conflict GROUP BY subject_id)
@@ -115,46 +187,10 @@ SELECT id, CASE k WHEN 0 THEN day WHEN 2 THEN NULL WHEN 6 THEN y || '-05-' || dd
   CASE k WHEN 0 THEN day WHEN 3 THEN NULL WHEN 4 THEN y3 || '-12-31' WHEN 6 THEN y || '-05-' || dd WHEN 7 THEN '1995-12-31' ELSE y || '-12-31' END AS max_day,
   CASE k WHEN 1 THEN 'about' WHEN 2 THEN 'before' WHEN 3 THEN 'after' WHEN 4 THEN 'between' WHEN 5 THEN 'floruit' END AS qualifier,
   CASE WHEN k = 7 THEN 'uncertain' END AS certainty, true AS understood FROM y""",
-    "quality_grid": sql("person anchor source fact conclusion claim citation", f"""{_CHAIN}, {_SETTLED},
-found AS (SELECT person_id, count(*) AS anchors, count(*) FILTER (s.import_key IS NOT NULL AND record_key IS NOT NULL) AS stable, max(s.import_key) AS import_key,
-  max(record_key) AS record_key, max(source_id) AS source_id, max(s.title) AS source_title, max(line) AS line, max(nr) AS nr FROM anchor a LEFT JOIN source s ON s.id = a.source_id GROUP BY person_id),
-people AS (SELECT p.id AS person_id, p.sex, coalesce(anchors, 0) AS anchors, coalesce(stable, 0) AS stable, import_key, record_key, source_id, source_title, f.line, nr FROM person p LEFT JOIN found f ON f.person_id = p.id),
-cited AS (SELECT claim_id, source_id, arg_min_null(quote, id) AS context, arg_min(page, id) AS page, bool_or(coalesce(trim(quote) <> '', false)) AS told FROM citation GROUP BY ALL),
-at_anchor AS (SELECT s.*, c.context, c.page, c.told FROM settled s JOIN people p ON p.person_id = s.person_id AND p.anchors = 1 AND p.stable = 1
-  LEFT JOIN cited c ON c.claim_id = s.claim_id AND c.source_id = p.source_id),
-cand AS (SELECT person_id, field, count(DISTINCT claim_id) AS candidates, {', '.join(_ONE(c) for c in ('value', 'date_raw', 'date_min', 'date_max', 'context', 'page'))},
-  CASE WHEN count(DISTINCT claim_id) = 1 THEN min(claim_id) END AS one_id FROM at_anchor WHERE told IS NOT NULL GROUP BY person_id, field),
-shown AS (SELECT person_id, field, {', '.join(_ONE(c) for c in ('value', 'date_raw', 'date_min', 'date_max'))} FROM settled GROUP BY person_id, field),
-journal AS (SELECT s.import_key, a.record_key, 'koen' AS field, md5(concat_ws(chr(31), s.import_key, a.record_key, 'koen', 'mand', '')) AS noted, CASE WHEN nr % 2 = 0 THEN 'rettet' ELSE 'godkendt' END AS noted_status, 'mand' AS imported
-  FROM anchor a JOIN source s ON s.id = a.source_id WHERE nr % 3 = 0 AND record_key IS NOT NULL AND s.import_key IS NOT NULL),
-x AS (SELECT p.*, v.field, CASE WHEN v.field = 'koen' THEN p.sex ELSE c.value END AS value, c.candidates, c.date_raw, c.date_min, c.date_max, c.context, c.one_id,
-  sh.value AS shown_value, sh.date_raw AS shown_raw, j.noted, j.noted_status,
-  CASE WHEN anchors = 1 AND stable = 1 AND (v.field = 'koen' OR c.candidates = 1) THEN md5(concat_ws(chr(31), coalesce(p.import_key, ''), coalesce(p.record_key, ''), v.field,
-    coalesce(j.imported, CASE WHEN v.field = 'koen' THEN p.sex WHEN v.field = 'navn' THEN c.value ELSE concat_ws('/', c.date_raw, CAST(c.date_min AS VARCHAR), CAST(c.date_max AS VARCHAR)) END, ''), coalesce(c.context, ''))) END AS print
-  FROM people p CROSS JOIN (VALUES ('navn'), ('foedsel'), ('doed'), ('koen')) v(field) LEFT JOIN cand c ON c.person_id = p.person_id AND c.field = v.field
-  LEFT JOIN shown sh ON sh.person_id = p.person_id AND sh.field = v.field LEFT JOIN journal j ON j.import_key = p.import_key AND j.record_key = p.record_key AND j.field = v.field),
-st AS (SELECT *, CASE WHEN noted_status IS NULL THEN 'aaben' WHEN print IS DISTINCT FROM noted THEN 'stale' ELSE noted_status END AS state,
-  CASE WHEN anchors = 0 THEN 'ingen_importanker' WHEN anchors <> 1 THEN 'flere_importankre' WHEN stable <> 1 AND import_key IS NULL THEN 'import_key_mangler' WHEN stable <> 1 THEN 'record_key_mangler'
-    WHEN field = 'koen' THEN NULL WHEN coalesce(candidates, 0) = 0 THEN 'ingen_kildebelagt_assertion' WHEN candidates > 1 THEN 'flere_importerede_facts' END AS blocker FROM x),
-g AS (SELECT person_id, max(anchors) AS anchors, max(import_key) AS import_key, max(record_key) AS record_key, max(source_title) AS source_title, max(line) AS line, max(nr) AS nr,
-  coalesce(max(value) FILTER (field = 'navn'), max(shown_value) FILTER (field = 'navn')) AS name, coalesce(max(date_raw) FILTER (field = 'foedsel'), max(shown_raw) FILTER (field = 'foedsel')) AS born,
-  coalesce(max(date_raw) FILTER (field = 'doed'), max(shown_raw) FILTER (field = 'doed')) AS died, max(one_id) FILTER (field = 'navn') AS name_claim,
-  string_agg(field || '=' || state, ';' ORDER BY field || '=' || state) AS states, coalesce(string_agg(field || '=' || blocker, ';' ORDER BY field || '=' || blocker), '') AS blockers,
-  count(*) FILTER (blocker IS NULL) AS editable, coalesce(string_agg(field || '=' || print, ';' ORDER BY field || '=' || print), '') AS fingerprints,
-  bool_or(coalesce(regexp_matches(context, '[?]'), false)) AS r1, bool_or(coalesce(max_min.lo > max_min.hi, false)) AS r3, bool_or(field = 'navn' AND coalesce(trim(value) <> trim(context), false)) AS r4,
-  bool_or(anchors = 1 AND stable = 0 AND record_key IS NULL) AS r6, bool_or(coalesce(candidates > 1, false)) AS r8, bool_or(state = 'stale') AS r9
-  FROM st LEFT JOIN (SELECT person_id AS pid, max(date_min) FILTER (field = 'foedsel') AS lo, max(date_max) FILTER (field = 'doed') AS hi FROM st GROUP BY person_id) max_min ON max_min.pid = st.person_id GROUP BY person_id),
-vague AS (SELECT person_id, bool_or(date_raw IS NOT NULL AND date_min IS NULL AND date_max IS NULL) AS r2 FROM settled WHERE field <> 'navn' GROUP BY person_id),
-untold AS (SELECT person_id, bool_or(NOT coalesce(told, false)) AS r7 FROM at_anchor GROUP BY person_id),
-same AS (SELECT person_id, canonical, CASE prio WHEN 1 THEN 'alias' ELSE 'kanonisk' END AS same_as FROM (SELECT id AS person_id, id - 1 AS canonical, 1 AS prio FROM person WHERE id % 20 = 7
-  UNION ALL SELECT id - 1, id - 1, 2 FROM person WHERE id % 20 = 7) QUALIFY row_number() OVER (PARTITION BY person_id ORDER BY prio, canonical) = 1),
-titles AS (SELECT subject_id AS person_id, count(*) AS titles FROM fact WHERE kind = 'title' GROUP BY subject_id),
-told AS (SELECT f.subject_id AS person_id, count(DISTINCT a.id) AS cited_claims FROM fact f JOIN claim a ON a.target_id = f.id JOIN citation c ON c.claim_id = a.id GROUP BY f.subject_id),
-q AS (SELECT g.*, canonical, same_as, coalesce(titles, 0) AS titles, coalesce(cited_claims, 0) AS cited_claims,
-  list_sort(list_filter([CASE WHEN r1 THEN 'mistænkeligt_ocr_tegn' END, CASE WHEN coalesce(r2, false) THEN 'dato_ufortolkelig' END, CASE WHEN r3 THEN 'foedt_efter_doed' END, CASE WHEN r4 THEN 'struktureret_afviger_fra_ocr' END,
-   CASE WHEN coalesce(trim(name), '') = '' THEN 'navn_mangler' END, CASE WHEN r6 THEN 'record_key_mangler' END, CASE WHEN coalesce(r7, false) THEN 'ocr_kontekst_mangler' END, CASE WHEN r8 THEN 'flere_importerede_facts' END, CASE WHEN r9 THEN 'kilde_aendret' END], lambda z: z IS NOT NULL)) AS c,
-  coalesce(r2, false) OR r3 OR coalesce(trim(name), '') = '' OR r6 OR r8 AS bad
-  FROM g LEFT JOIN vague USING (person_id) LEFT JOIN untold USING (person_id) LEFT JOIN same USING (person_id) LEFT JOIN titles USING (person_id) LEFT JOIN told USING (person_id))
-SELECT person_id, anchors, import_key, record_key, source_title, line, nr, name, born, died, name_claim, canonical, same_as, titles, cited_claims, states, blockers, editable, fingerprints,
-  array_to_string(c, ';') AS codes, CASE WHEN bad THEN 'fejl' WHEN len(c) > 0 THEN 'advarsel' END AS severity FROM q"""),
+    "quality_grid": sql(_GRID_OF, f"{_GRID} SELECT * FROM grid"),
+    "quality_grid_open": sql(_GRID_OF, f"""{_GRID} SELECT person_id, codes FROM grid WHERE codes <> '' AND regexp_matches(states, '=(aaben|stale)') AND same_as IS NULL AND NOT staged
+ AND (contains(lower(coalesce(name, '')), '#0') OR contains(lower(coalesce(record_key, '')), '#0') OR contains(lower(coalesce(source_title, '')), '#0') OR contains(lower(coalesce(line, '')), '#0') OR contains(CAST(person_id AS VARCHAR), '#0'))"""),
+    "quality_grid_sorted": sql(_GRID_OF, f"{_GRID} SELECT person_id, born_min, row_number() OVER (ORDER BY born_min DESC NULLS LAST, person_id) AS place FROM grid QUALIFY place <= 100"),
+    "parent_conflicts": sql("fact claim conclusion", """n AS (SELECT f.subject_id AS person_id, f.id AS fact_id, count(DISTINCT a.id % 5) AS n_families, count(*) AS n_claims FROM fact f JOIN claim a ON a.target_id = f.id AND a.id % 4 <> 0 WHERE f.kind = 'title' GROUP BY ALL HAVING count(DISTINCT a.id % 5) > 1)
+SELECT n.*, k.status FROM n LEFT JOIN (SELECT target_id, max(status) AS status FROM conclusion GROUP BY target_id) k ON k.target_id = n.fact_id"""),
 }

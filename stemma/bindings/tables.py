@@ -30,7 +30,7 @@ ROLES: dict[str, tuple[str, list[str], str | None, str | None]] = {
         "CASE c_custkey % 3 WHEN 0 THEN 'mand' WHEN 1 THEN 'kvinde' END AS sex",
         "CAST(1700 + (c_custkey * 37) % 200 AS INT) AS born",
         "CASE WHEN c_custkey % 5 <> 0 THEN CAST(1715 + (c_custkey * 37) % 200 + c_custkey % 70 AS INT) END AS died",
-        "c_nationkey AS nation", "c_mktsegment AS line",
+        "c_nationkey AS nation", "c_mktsegment AS line", "CASE WHEN c_custkey % 6 = 0 THEN 'udkast' END AS status",
     ], None, None),
     "fact": ("orders", [
         "o_orderkey AS id", "'person' AS subject_type", "o_custkey AS subject_id",
@@ -42,6 +42,7 @@ ROLES: dict[str, tuple[str, list[str], str | None, str | None]] = {
         "CASE WHEN l_linenumber = 5 THEN NULL ELSE CAST(CAST(min(l_shipdate) AS DATE) AS STRING) END AS date_raw",
         "CASE WHEN l_linenumber >= 5 THEN NULL ELSE CAST(min(l_shipdate) AS DATE) END AS date_min",
         "CASE WHEN l_linenumber >= 5 THEN NULL ELSE CAST(max(l_shipdate) AS DATE) END AS date_max",
+        "CASE WHEN l_linenumber % 3 = 0 THEN 'about' END AS qualifier",
     ], None, "l_orderkey, l_linenumber"),
     "conclusion": ("lineitem", [
         "l_orderkey AS id", "'fact' AS target_type", "l_orderkey AS target_id", f"min({_ID}) AS chosen_id",
@@ -57,7 +58,7 @@ ROLES: dict[str, tuple[str, list[str], str | None, str | None]] = {
         "1900 + s_nationkey AS year", "CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE concat('k', CAST(s_suppkey AS STRING)) END AS import_key",
     ], None, None),
     "anchor": ("orders", [
-        "o_custkey AS person_id", f"{_SOURCE} AS source_id", "min(CAST(o_orderkey AS INT)) AS nr", "min(substring(o_orderpriority, 1, 1)) AS line",
+        "o_custkey AS person_id", f"{_SOURCE} AS source_id", "min(CAST(o_orderkey AS INT)) AS nr", "min(substring(o_orderpriority, 1, 1)) AS line", "CAST(min(o_orderkey) % 12 AS INT) AS generation",
         "CASE WHEN min(o_orderkey) % 9 = 0 THEN NULL ELSE concat('r', CAST(min(o_orderkey) AS STRING)) END AS record_key",
     ], None, f"o_custkey, {_SOURCE}"),
     "parent_child": ("customer", [

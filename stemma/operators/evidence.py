@@ -9,11 +9,13 @@ source_id, page, quote), source (id, title, edition, year, import_key), anchor
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.functions.text import ends_with_words, fingerprint
-from stemma.plans.stages import keep_first
+from stemma.functions.text import danish_key, ends_with_words, fingerprint
+from stemma.plans.stages import keep_first, materialise
 
 # The grid's fields, and rule names with their severity.
 FIELDS = {"name": "navn", "birth": "foedsel", "death": "doed"}
@@ -27,7 +29,7 @@ def concluded(fact: DataFrame, conclusion: DataFrame, claim: DataFrame) -> DataF
     """fact_id, subject_id, kind, status and the chosen claim's columns: the evidence chain."""
     f = fact.select(F.col("id").alias("fact_id"), "subject_id", "kind")
     c = conclusion.where("target_type = 'fact'").select(F.col("target_id").alias("fact_id"), F.col("chosen_id").alias("claim_id"), "status")
-    a = claim.select(F.col("id").alias("claim_id"), "value", "date_raw", "date_min", "date_max")
+    a = claim.select(F.col("id").alias("claim_id"), "value", "date_raw", "date_min", "date_max", "qualifier")
     return f.join(c, "fact_id").join(a, "claim_id")
 
 
@@ -62,7 +64,7 @@ def settled(fact: DataFrame, conclusion: DataFrame, claim: DataFrame) -> DataFra
     """Per subject and field the settled value, where exactly one claim is settled on; null where there are several."""
     rows = concluded(fact, conclusion, claim).where((F.col("status") == "afklaret") & F.col("kind").isin(list(FIELDS)))
     field = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in FIELDS.items()])
-    return rows.select(F.col("subject_id").alias("person_id"), field.alias("field"), "claim_id", "value", "date_raw", "date_min", "date_max")
+    return rows.select(F.col("subject_id").alias("person_id"), field.alias("field"), "claim_id", "value", "date_raw", "date_min", "date_max", "qualifier")
 
 
 def settled_rollup(rows: DataFrame) -> DataFrame:
@@ -111,74 +113,139 @@ def text_versions(narrative: DataFrame) -> DataFrame:
     return rows.groupBy("person_id", "source_id").agg(F.array_join(texts, "\n\n").alias("text"), F.count("*").alias("n_texts"))
 
 
-def quality_grid(person: DataFrame, anchor: DataFrame, source: DataFrame, fact: DataFrame, conclusion: DataFrame, claim: DataFrame, citation: DataFrame, same_as: DataFrame, journal: DataFrame) -> DataFrame:
-    """One row per person: shown values, editability, review state and quality rules.
+def parent_conflicts(fact: DataFrame, claim: DataFrame, conclusion: DataFrame, kind: str = "parents") -> DataFrame:
+    """Facts about the parents whose claims name more than one family: person_id, fact_id, n_families, n_claims, status. claim: target_id, family_id (null: names none)."""
+    named = claim.where("family_id IS NOT NULL").groupBy(F.col("target_id").alias("fact_id")).agg(F.count_distinct("family_id").alias("n_families"), F.count("*").alias("n_claims")).where("n_families > 1")
+    status = conclusion.where("target_type = 'fact'").groupBy(F.col("target_id").alias("fact_id")).agg(F.max("status").alias("status"))
+    rows = fact.where(F.col("kind") == kind).select(F.col("id").alias("fact_id"), F.col("subject_id").alias("person_id")).join(named, "fact_id")
+    return rows.join(status, "fact_id", "left").select("person_id", "fact_id", "n_families", "n_claims", "status")
+
+
+#: What is shown of a field, and what else its candidate has.
+_SHOWN = ["value", "date_raw", "date_min", "date_max", "qualifier"]
+
 
-    same_as: alias, canonical. journal: import_key, record_key, field,
-    fingerprint, imported, status. A field can be corrected only for a person
-    with one anchor, a stable one, and one cited claim of the anchor's source.
-    Sides are aggregated before they are joined, so no join multiplies rows;
-    rules, states and maps all come from one frame of person and field.
+def quality_grid(person: DataFrame, anchor: DataFrame, source: DataFrame, fact: DataFrame, conclusion: DataFrame, claim: DataFrame, citation: DataFrame, same_as: DataFrame, journal: DataFrame, member: DataFrame, relation: DataFrame) -> DataFrame:
+    """One row per person: shown values, editability, review state and quality rules; the columns with a value per field are maps.
+
+    claim has a qualifier, anchor a generation, person a status. same_as:
+    alias, canonical. journal: import_key, record_key, field, fingerprint,
+    imported, corrected, status. member: family_id, person_id. relation: id,
+    subject_id, object_id, of persons. A field can be corrected only for a
+    person with one anchor, a stable one, and one cited claim of the anchor's
+    source. One aggregate per person holds all that claims say about its
+    fields; every other side is aggregated to a row per person before it is
+    joined, so no join multiplies rows.
     """
-    s = source.select(F.col("id").alias("source_id"), "import_key", "title", "edition")
+    c = F.col
+    s = source.select(c("id").alias("source_id"), "import_key", "title", "edition")
     found = anchor.join(s, "source_id", "left").groupBy("person_id").agg(
-        F.count("*").alias("anchors"), F.count_if(F.col("import_key").isNotNull() & F.col("record_key").isNotNull()).alias("stable"),
-        F.max("import_key").alias("import_key"), F.max("record_key").alias("record_key"), F.max("source_id").alias("source_id"), F.max("title").alias("source_title"), F.max("line").alias("line"), F.max("nr").alias("nr"))
-    people = person.select(F.col("id").alias("person_id"), "sex", "living", "private", "staged").join(found, "person_id", "left").fillna(0, ["anchors", "stable"])
-
-    chosen = settled(fact, conclusion, claim)
-    cited = citation.groupBy("claim_id", "source_id").agg(F.min_by("quote", "id").alias("context"), F.min_by("page", "id").alias("page"), F.max(F.coalesce(F.trim("quote") != "", F.lit(False))).alias("told"))
-    stable = people.where("anchors = 1 AND stable = 1").select("person_id", "source_id")
-    at_anchor = chosen.join(stable, "person_id").join(cited, ["claim_id", "source_id"], "left")
-    known = F.col("page").isNotNull() | F.col("context").isNotNull() | F.col("told").isNotNull()
-    candidates = at_anchor.where(known).groupBy("person_id", "field").agg(
-        F.count_distinct("claim_id").alias("candidates"), *[_single(c) for c in ("value", "date_raw", "date_min", "date_max", "context", "page")], F.when(F.count_distinct("claim_id") == 1, F.min("claim_id")).alias("claim_id"))
-    shown = settled_rollup(chosen).select("person_id", "field", *[F.col(c).alias(f"shown_{c}") for c in ("value", "date_raw", "date_min", "date_max")])
-
-    fields = people.withColumn("field", F.explode(F.array(*[F.lit(x) for x in [*FIELDS.values(), "koen"]])))
-    rows = fields.join(candidates, ["person_id", "field"], "left").join(shown, ["person_id", "field"], "left").join(
-        journal.select("import_key", "record_key", "field", F.col("fingerprint").alias("noted"), F.col("status").alias("noted_status"), "imported"), ["import_key", "record_key", "field"], "left")
-    is_sex = F.col("field") == "koen"
-    value = F.when(is_sex, F.col("sex")).otherwise(F.col("value"))
-    base = F.when(is_sex | F.col("field").eqNullSafe("navn"), value).otherwise(F.concat_ws("/", F.col("date_raw"), F.col("date_min").cast("string"), F.col("date_max").cast("string")))
-    print_ = F.when((F.col("anchors") == 1) & (F.col("stable") == 1) & (is_sex | (F.col("candidates") == 1)), fingerprint(F.col("import_key"), F.col("record_key"), F.col("field"), F.coalesce("imported", base), context=F.col("context")))
-    rows = rows.withColumn("value", value).withColumn("print", print_)
-    rows = rows.withColumn("state", F.when(F.col("noted_status").isNull(), "aaben").when(~F.col("print").eqNullSafe(F.col("noted")), "stale").otherwise(F.col("noted_status")))
-    rows = rows.withColumn("blocker", F.when(F.col("anchors") == 0, "ingen_importanker").when(F.col("anchors") != 1, "flere_importankre")
-        .when((F.col("stable") != 1) & F.col("import_key").isNull(), "import_key_mangler").when(F.col("stable") != 1, "record_key_mangler").when(is_sex, F.lit(None))
-        .when(F.coalesce("candidates", F.lit(0)) == 0, "ingen_kildebelagt_assertion").when(F.col("candidates") > 1, "flere_importerede_facts"))
-
-    field = lambda f, c: F.max(F.when(F.col("field") == f, F.col(c)))
-    shown_or = lambda f, c: F.coalesce(field(f, c), field(f, f"shown_{c}"))
-    pairs = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.concat_ws("=", F.col("field"), F.col(c))))), ";")
-    suspicious = F.coalesce(F.col("context").rlike("[?�]"), F.lit(False))
-    differs = (F.col("field") == "navn") & F.coalesce(F.trim("value") != F.trim("context"), F.lit(False))
-    out = rows.groupBy("person_id").agg(
-        F.max("anchors").alias("anchors"), F.max("import_key").alias("import_key"), F.max("record_key").alias("record_key"), F.max("source_title").alias("source_title"), F.max("line").alias("line"), F.max("nr").alias("nr"),
-        shown_or("navn", "value").alias("name"), shown_or("foedsel", "date_raw").alias("born"), shown_or("doed", "date_raw").alias("died"), field("navn", "claim_id").alias("name_claim"),
-        pairs("state").alias("states"), pairs("blocker").alias("blockers"), F.count_if(F.col("blocker").isNull()).alias("editable"), pairs("print").alias("fingerprints"),
-        F.max(suspicious).alias("r_sign"), F.max(differs).alias("r_differs"), F.max(F.coalesce(F.col("candidates") > 1, F.lit(False))).alias("r_several"), F.max(F.col("state") == "stale").alias("r_stale"),
-        F.coalesce(field("foedsel", "date_min") > field("doed", "date_max"), F.lit(False)).alias("r_order"),
-        F.max((F.col("anchors") == 1) & (F.col("stable") == 0) & F.col("record_key").isNull()).alias("r_key"))
-    vague = chosen.where("field <> 'navn'").groupBy("person_id").agg(F.max(F.col("date_raw").isNotNull() & F.col("date_min").isNull() & F.col("date_max").isNull()).alias("r_vague"))
-    untold = at_anchor.groupBy("person_id").agg(F.max(~F.coalesce("told", F.lit(False))).alias("r_untold"))
-    alias = same_as.select(F.col("alias").alias("person_id"), "canonical", F.lit(1).alias("prio")).union(same_as.select("canonical", "canonical", F.lit(2)))
-    identity = keep_first(alias, ["person_id"], "prio", "canonical").select("person_id", "canonical", F.when(F.col("prio") == 1, "alias").otherwise("kanonisk").alias("same_as"))
-    titles = fact.where("kind = 'title'").groupBy(F.col("subject_id").alias("person_id")).agg(F.count("*").alias("titles"))
-    told = fact.select(F.col("id").alias("target_id"), F.col("subject_id").alias("person_id")).join(claim.select("target_id", F.col("id").alias("claim_id")), "target_id").join(citation.select("claim_id").distinct(), "claim_id", "left_semi")
-    told = told.groupBy("person_id").agg(F.count("*").alias("cited_claims"))
-    for side in (vague, untold, identity, titles, told):
-        out = out.join(side, "person_id", "left")
+        F.count("*").alias("anchors"), F.count_if(c("import_key").isNotNull() & c("record_key").isNotNull()).alias("stable"), F.max("import_key").alias("import_key"), F.max("record_key").alias("record_key"), F.max("source_id").alias("source_id"),
+        F.max("title").alias("source_title"), F.max("edition").alias("source_edition"), F.max("line").alias("line"), F.max("nr").alias("nr"), F.max("generation").alias("generation"))
+    people = person.select(c("id").alias("person_id"), "sex", "living", "private", "staged", "status").join(found, "person_id", "left").fillna(0, ["anchors", "stable"])
+    people = materialise(people, "grid-people")
+
+    # What the settled claims say, and what their citations in the anchor's source add.
+    quoted = materialise(citation.groupBy("claim_id", "source_id").agg(F.min_by("quote", "id").alias("context"), F.min_by("page", "id").alias("page"), F.max(F.coalesce(F.trim("quote") != "", F.lit(False))).alias("told")), "grid-cited")
+    chosen = settled(fact, conclusion, claim).join(people.where("anchors = 1 AND stable = 1").select("person_id", c("source_id").alias("anchor_id")), "person_id", "left")
+    at = quoted.select(c("claim_id").alias("_c"), c("source_id").alias("_s"), "context", "page", "told")
+    chosen = chosen.join(at, (c("claim_id") == c("_c")) & (c("anchor_id") == c("_s")), "left")
+    sums = []
+    for f in FIELDS.values():
+        here, cited = c("field") == f, (c("field") == f) & c("told").isNotNull()
+        for tag, when, columns in (("s", here, _SHOWN), ("c", cited, [*_SHOWN, "context", "page"])):
+            sums += [F.min(F.when(when, c("claim_id"))).alias(f"{f}_{tag}_lo"), F.max(F.when(when, c("claim_id"))).alias(f"{f}_{tag}_hi"), *[F.min(F.when(when, c(x))).alias(f"{f}_{tag}_{x}") for x in columns]]
+    vague = (c("field") != "navn") & c("date_raw").isNotNull() & c("date_min").isNull() & c("date_max").isNull()
+    said = chosen.groupBy("person_id").agg(*sums, F.max(vague).alias("vague"), F.max(c("anchor_id").isNotNull() & ~F.coalesce("told", F.lit(False))).alias("untold"))
+
+    alias = same_as.select(c("alias").alias("person_id"), "canonical", F.lit(1).alias("prio")).union(same_as.select("canonical", "canonical", F.lit(2)))
+    identity = alias.groupBy("person_id").agg(F.min(F.struct("prio", "canonical")).alias("x")).select("person_id", "x.canonical", F.when(c("x.prio") == 1, "alias").otherwise("kanonisk").alias("same_as"))
+    titles = fact.where("kind = 'title'").groupBy(c("subject_id").alias("person_id")).agg(F.count("*").alias("titles"))
+    families = member.groupBy("person_id").agg(F.count_distinct("family_id").alias("families"))
+    ends = relation.select("id", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("person_id")).where("person_id IS NOT NULL")
+    relations = ends.groupBy("person_id").agg(F.count_distinct("id").alias("relations"))
+    told = claim.select("target_id", c("id").alias("claim_id")).join(quoted.select("claim_id"), "claim_id", "left_semi").groupBy("target_id").agg(F.count("*").alias("n"))
+    told = told.join(fact.select(c("id").alias("target_id"), c("subject_id").alias("person_id")), "target_id").groupBy("person_id").agg(F.sum("n").alias("cited_claims"))
+    notes = journal.groupBy("import_key", "record_key").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("fingerprint", "imported", "corrected", "status")))).alias("notes"))
+    rows = people
+    for side in (said, identity, titles, families, relations, told):
+        rows = rows.join(side, "person_id", "left")
+    rows = rows.join(notes, ["import_key", "record_key"], "left")
+
+    one = lambda f, tag: c(f"{f}_{tag}_lo") == c(f"{f}_{tag}_hi")
+    own = lambda f, x: F.when(one(f, "c"), c(f"{f}_c_{x}"))
+    shown = lambda f, x: F.coalesce(own(f, x), F.when(one(f, "s"), c(f"{f}_s_{x}")))
+    anchored = (c("anchors") == 1) & (c("stable") == 1)
+    states, blockers, prints, imported, corrected, contexts, pages = {}, {}, {}, {}, {}, {}, {}
+    for f in [*FIELDS.values(), "koen"]:
+        sex, note = f == "koen", F.try_element_at("notes", F.lit(f))
+        contexts[f], pages[f] = (F.lit(None).cast("string"),) * 2 if sex else (own(f, "context"), own(f, "page"))
+        dates = None if sex or f == "navn" else F.concat_ws("/", own(f, "date_raw"), own(f, "date_min").cast("string"), own(f, "date_max").cast("string"))
+        base = c("sex") if sex else own(f, "value") if f == "navn" else F.when(one(f, "c"), dates)
+        imported[f] = F.coalesce(note["imported"], base)
+        corrected[f] = note["corrected"]
+        ready = anchored if sex else anchored & one(f, "c")
+        prints[f] = F.when(ready, fingerprint(c("import_key"), c("record_key"), F.lit(f), imported[f], context=contexts[f]))
+        states[f] = F.when(note["status"].isNull(), "aaben").when(~prints[f].eqNullSafe(note["fingerprint"]), "stale").otherwise(note["status"])
+        block = F.when(c("anchors") == 0, "ingen_importanker").when(c("anchors") != 1, "flere_importankre").when((c("stable") != 1) & c("import_key").isNull(), "import_key_mangler").when(c("stable") != 1, "record_key_mangler")
+        blockers[f] = block if sex else block.when(c(f"{f}_c_lo").isNull(), "ingen_kildebelagt_assertion").when(~one(f, "c"), "flere_importerede_facts")
+
+    no = lambda x: F.coalesce(x, F.lit(False))
+    any_ = lambda xs: reduce(lambda x, y: x | y, map(no, xs))
     hits = {
-        "mistænkeligt_ocr_tegn": F.col("r_sign"), "dato_ufortolkelig": F.coalesce("r_vague", F.lit(False)), "foedt_efter_doed": F.col("r_order"), "struktureret_afviger_fra_ocr": F.col("r_differs"),
-        "navn_mangler": F.coalesce(F.trim("name"), F.lit("")) == "", "record_key_mangler": F.col("r_key"), "ocr_kontekst_mangler": F.coalesce("r_untold", F.lit(False)),
-        "flere_importerede_facts": F.col("r_several"), "kilde_aendret": F.col("r_stale"),
+        "mistænkeligt_ocr_tegn": any_(x.rlike("[?�]") for x in contexts.values()), "dato_ufortolkelig": no(c("vague")), "foedt_efter_doed": no(own("foedsel", "date_min") > own("doed", "date_max")),
+        "struktureret_afviger_fra_ocr": no(F.trim(own("navn", "value")) != F.trim(contexts["navn"])), "navn_mangler": F.coalesce(F.trim(shown("navn", "value")), F.lit("")) == "",
+        "record_key_mangler": (c("anchors") == 1) & (c("stable") == 0) & c("record_key").isNull(), "ocr_kontekst_mangler": no(c("untold")),
+        "flere_importerede_facts": any_(~one(f, "c") for f in FIELDS.values()), "kilde_aendret": any_(x == "stale" for x in states.values()),
     }
     codes = F.array_sort(F.array_compact(F.array(*[F.when(hit, F.lit(code)) for code, hit in hits.items()])))
-    bad = F.lit(False)
-    for code, hit in hits.items():
-        bad = bad | hit if RULES[code] == "fejl" else bad
-    return out.select(
-        "person_id", "anchors", "import_key", "record_key", "source_title", "line", "nr", "name", "born", "died", "name_claim", "canonical", "same_as",
-        F.coalesce("titles", F.lit(0)).alias("titles"), F.coalesce("cited_claims", F.lit(0)).alias("cited_claims"), "states", "blockers", "editable", "fingerprints",
-        F.array_join(codes, ";").alias("codes"), F.when(bad, "fejl").when(F.size(codes) > 0, "advarsel").alias("severity"))
+    bad = any_(hit for code, hit in hits.items() if RULES[code] == "fejl")
+    by_field = lambda values: F.create_map(*[x for f, v in values.items() for x in (F.lit(f), v)])
+    known = lambda values: F.map_filter(by_field(values), lambda _, v: v.isNotNull())
+    number = lambda x: F.coalesce(x, F.lit(0))
+    day = lambda f, tag: [shown(f, x).alias(f"{tag}_{y}") for x, y in (("date_raw", "raw"), ("date_min", "min"), ("date_max", "max"), ("qualifier", "qualifier"))]
+    claim_of = lambda f: F.when(one(f, "c"), c(f"{f}_c_lo"))
+    return rows.select(
+        "person_id", "import_key", "record_key", "source_id", "source_title", "source_edition", "line", "nr", "generation", shown("navn", "value").alias("name"), claim_of("navn").alias("name_claim"),
+        *day("foedsel", "born"), claim_of("foedsel").alias("born_claim"), *day("doed", "died"), claim_of("doed").alias("died_claim"),
+        known(prints).alias("fingerprints"), known(imported).alias("imported"), known(corrected).alias("corrected"), known(contexts).alias("contexts"), known(pages).alias("pages"),
+        "sex", "living", "private", "staged", "status", "canonical", "same_as", number(c("titles")).alias("titles"), number(c("families")).alias("families"), number(c("relations")).alias("relations"), number(c("cited_claims")).alias("cited_claims"),
+        codes.alias("codes"), F.when(bad, "fejl").when(F.size(codes) > 0, "advarsel").alias("severity"),
+        by_field(states).alias("states"), by_field({f: b.isNull() for f, b in blockers.items()}).alias("editable"), known(blockers).alias("blockers"))
+
+
+def filter_grid(grid: DataFrame, preset: str = "alle", query: str = "", source: str | None = None, line: str | None = None, staged: bool | None = None, same_as: bool | None = None, field: str | None = None, status: str | None = None) -> DataFrame:
+    """Rows of the grid that meet all conditions; None asks for nothing.
+
+    preset: alle, aabne (rules are broken and not every recorded field is
+    settled), rettede, godkendte, udskudte, stale. query is looked for in name,
+    record key, source title, line and id, without regard to case.
+    """
+    c, ok = F.col, F.lit(True)
+    has = lambda x: F.exists(F.map_values("states"), lambda v: v == x)
+    presets = {
+        "aabne": (F.size("codes") > 0) & ((F.size("states") == 0) | F.exists(F.map_values("states"), lambda v: ~v.isin("rettet", "godkendt", "udskudt"))),
+        "rettede": has("rettet"), "godkendte": has("godkendt"), "udskudte": has("udskudt"), "stale": has("stale"),
+    }
+    ok = presets.get(preset, ok)
+    if q := query.strip().lower():
+        told = [F.lower(c(x).cast("string")).contains(q) for x in ("name", "record_key", "source_title", "line", "person_id")]
+        ok = ok & reduce(lambda x, y: x | y, [F.coalesce(x, F.lit(False)) for x in told])
+    for column, value in (("source_title", source), ("line", line), ("staged", staged)):
+        ok = ok if value is None else ok & (c(column) == value)
+    if same_as is not None:
+        ok = ok & (c("same_as").isNotNull() == same_as)
+    if field is not None:
+        state = F.try_element_at("states", F.lit(field))
+        ok = ok & (state.isNotNull() if status is None else state == status)
+    elif status is not None:
+        ok = ok & has(status)
+    return grid.where(ok)
+
+
+def sort_grid(grid: DataFrame, key: str, descending: bool = False) -> DataFrame:
+    """The grid in the order of name, born_min, died_min, sex, line or severity; nulls last in both directions, then the smaller id."""
+    rank = F.when(F.col("severity") == "fejl", 0).when(F.col("severity") == "advarsel", 1).when(F.col("severity") == "info", 2).when(F.col("severity").isNotNull(), 3)
+    by = rank if key == "severity" else danish_key(F.col(key)) if key in ("name", "sex", "line") else F.col(key)
+    by = F.when(F.col(key).isNotNull(), by)
+    return grid.orderBy(F.desc_nulls_last(by) if descending else F.asc_nulls_last(by), "person_id")
