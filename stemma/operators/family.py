@@ -74,17 +74,29 @@ def lineage_paths(lineage: DataFrame, max_depth: int = 50) -> DataFrame:
     raise ValueError(f"lineages deeper than {max_depth}")
 
 
-def effective_surnames(lineage: DataFrame) -> DataFrame:
-    """id, surname, depth: the nearest surname on the way to the root; blank is none."""
-    steps = lineage_paths(lineage).select("id", F.posexplode("path").alias("depth", "at"))
-    named = lineage.where("trim(surname) <> ''").select(F.col("id").alias("at"), "surname")
-    best = steps.join(named, "at").groupBy("id").agg(F.min_by("surname", "depth").alias("surname"), F.min("depth").alias("depth"))
-    return lineage.select("id").join(best, "id", "left")
+def effective_surnames(lineage: DataFrame, max_depth: int = 50) -> DataFrame:
+    """id, surname, depth: the nearest surname on the way to the root; blank is none.
+
+    Pointer jumping: a lineage without a name points at its parent, and every
+    round takes over the name or the pointer of what it points at, so the
+    rounds grow with the logarithm of the depth. Longer ways than max_depth,
+    and so all cycles without a name, fail the job.
+    """
+    name = F.when(F.trim("surname") != "", F.col("surname"))
+    rows = lineage.select("id", name.alias("surname"), F.when(name.isNull(), F.col("parent_id")).alias("at"), F.when(name.isNull(), 1).otherwise(0).alias("depth"))
+    rows = materialise(rows, "surnames")
+    while not rows.where("at IS NOT NULL").isEmpty():
+        ahead = rows.select(F.col("id").alias("at"), F.col("surname").alias("_s"), F.col("at").alias("_a"), F.col("depth").alias("_d"))
+        far = F.col("depth") + F.coalesce("_d", F.lit(0))
+        checked = F.when(F.col("_a").isNotNull() & (far > max_depth), F.raise_error(F.concat(F.lit("cycle or too long a way from lineage "), F.col("id").cast("string"))).cast("int")).otherwise(far)
+        moved = rows.where("at IS NOT NULL").join(ahead, "at", "left").select("id", F.col("_s").alias("surname"), F.col("_a").alias("at"), checked.alias("depth"))
+        rows = materialise(rows.where("at IS NULL").unionByName(moved), "surnames")
+    return rows.select("id", "surname", F.when(F.col("surname").isNotNull(), F.col("depth")).alias("depth"))
 
 
-def ancestors(edges: DataFrame, max_depth: int = 50) -> DataFrame:
-    """id, ancestor, depth (least)."""
-    return closure(edges, "child", "parent", max_depth).select(F.col("node").alias("id"), F.col("reached").alias("ancestor"), "depth")
+def ancestors(edges: DataFrame, max_depth: int = 50, of: DataFrame | None = None) -> DataFrame:
+    """id, ancestor, depth (least), for the persons in ``of`` (one column) or for all."""
+    return closure(edges, "child", "parent", max_depth, of).select(F.col("node").alias("id"), F.col("reached").alias("ancestor"), "depth")
 
 
 # Kinship words by sex (m, f, unknown).
@@ -123,12 +135,14 @@ def relationships(pairs: DataFrame, edges: DataFrame, person: DataFrame) -> Data
     d1 + d2, then the larger distance, then id names the relationship, and
     n_lines counts the couples. Pairs without a common ancestor are left out.
     """
-    anc = ancestors(edges)
-    self_ = person.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    anc = ancestors(edges, of=asked)
+    self_ = asked.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
     reach = materialise(anc.unionByName(self_), "reach")
     common = pairs.select("a", "b").join(reach.select(F.col("id").alias("a"), "ancestor", F.col("depth").alias("d1")), "a")
     common = materialise(common.join(reach.select(F.col("id").alias("b"), "ancestor", F.col("depth").alias("d2")), ["b", "ancestor"]), "common")
-    covered = common.select("a", "b", F.col("ancestor").alias("id")).join(anc.select("id", "ancestor"), "id").select("a", "b", "ancestor").distinct()
+    # If a descendant is common, so is the child on the way to it: one step down tells.
+    covered = common.select("a", "b", F.col("ancestor").alias("child")).join(edges.select("child", F.col("parent").alias("ancestor")).distinct(), "child").select("a", "b", "ancestor").distinct()
     near = common.join(covered, ["a", "b", "ancestor"], "left_anti")
     # The child of the ancestor on each side's line: the smallest on a shortest one.
     e = edges.select("child", F.col("parent").alias("ancestor")).distinct()
@@ -147,11 +161,21 @@ def relationships(pairs: DataFrame, edges: DataFrame, person: DataFrame) -> Data
     return rows.select("a", "b", "ancestor", "d1", "d2", "n_lines", "half", kinship_label(F.col("d1"), F.col("d2"), F.col("sa"), F.col("sb"), F.col("half")).alias("label"))
 
 
-def living_roster(edges: DataFrame, person: DataFrame) -> DataFrame:
-    """id, living, via: the living and everyone with a living descendant (via: the smallest of them)."""
-    alive = person.where("living").select("id")
-    up = ancestors(edges).join(alive, "id", "left_semi").groupBy(F.col("ancestor").alias("id")).agg(F.min("id").alias("via"))
-    return person.select("id", F.coalesce("living", F.lit(False)).alias("living")).join(up, "id", "left").where("living OR via IS NOT NULL")
+def living_roster(edges: DataFrame, person: DataFrame, max_depth: int = 50) -> DataFrame:
+    """id, living, via: the living and everyone with a living descendant (via: the smallest of them). The smallest id climbs from child to parent, one row per person; a cycle ends when nothing gets smaller."""
+    e = materialise(edges.select(F.col("child").alias("id"), "parent").distinct(), "roster-edges")
+    news = person.where("living").select("id", F.col("id").alias("via"))
+    best = None
+    for _ in range(max_depth * 2):
+        told = news.join(e, "id").groupBy(F.col("parent").alias("id")).agg(F.min("via").alias("via"))
+        if best is not None:
+            told = told.join(best.select("id", F.col("via").alias("old")), "id", "left").where("old IS NULL OR via < old").drop("old")
+        news = materialise(told, "roster-news")
+        if news.isEmpty():
+            break
+        best = news if best is None else materialise(best.unionByName(news).groupBy("id").agg(F.min("via").alias("via")), "roster")
+    best = news if best is None else best
+    return person.select("id", F.coalesce("living", F.lit(False)).alias("living")).join(best, "id", "left").where("living OR via IS NOT NULL")
 
 
 def generation_neighbours(marks: DataFrame) -> DataFrame:

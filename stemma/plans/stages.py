@@ -77,15 +77,19 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
             return label
 
 
-def closure(edges: DataFrame, start: str, end: str, max_depth: int = 50) -> DataFrame:
+def closure(edges: DataFrame, start: str, end: str, max_depth: int = 50, sources: DataFrame | None = None) -> DataFrame:
     """node, reached, depth: everything reachable along the edges, at its least depth (1 and up).
 
     The frontier holds only pairs that are new at a depth, so a graph in which
     paths meet again costs its pairs, not its paths. A pair that returns to its
     own node is kept: it shows a cycle. Deeper than max_depth fails the job.
+    sources: the nodes (one column) to start from; without it, all.
     """
     edges = materialise(edges.select(F.col(start).alias("node"), F.col(end).alias("reached")).where("node is not null and reached is not null").distinct(), "edges")
     frontier = edges.withColumn("depth", F.lit(1))
+    if sources is not None:
+        nodes = sources.select(F.col(sources.columns[0]).alias("node")).distinct()
+        frontier = materialise(frontier.join(nodes, "node", "left_semi"), "frontier")
     found, depth = frontier, 1
     step = edges.select(F.col("node").alias("via"), F.col("reached").alias("further"))
     while True:
