@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, feed, family, linkage, media, visibility
+from . import evidence, feed, family, linkage, media, readmodel, visibility
 
-_MODULES = (evidence, visibility, family, linkage, media, feed)
+_MODULES = (evidence, visibility, family, linkage, media, feed, readmodel)
 
 
 def queries() -> dict:

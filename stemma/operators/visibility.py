@@ -96,3 +96,53 @@ def visibility_level(person: DataFrame) -> DataFrame:
     """id, level: private before living before public."""
     level = F.when(F.coalesce("private", F.lit(False)), "privat").when(F.coalesce("living", F.lit(True)), "levende").otherwise("offentlig")
     return person.select("id", level.alias("level"))
+
+
+# ---- policies of the tables that hang on entities; readers are visitors and members alike, editors see everything ----
+
+
+def visible_narratives(narrative: DataFrame, visible: dict[str, DataFrame], editor: bool = False) -> DataFrame:
+    """Narratives that are not private, of visible subjects. narrative: subject_type, subject_id, private; visible as in ``visible_entities``."""
+    return narrative if editor else visible_entities(narrative.where(~F.coalesce("private", F.lit(False))), visible, "subject_type", "subject_id")
+
+
+def visible_events(event: DataFrame, narratives: DataFrame, visible: dict[str, DataFrame], editor: bool = False) -> DataFrame:
+    """Events that are not hidden, of visible subjects and visible narratives. event: subject_type, subject_id, narrative_id, feed_status; an unknown status hides."""
+    if editor:
+        return event
+    seen = visible_entities(event.where("feed_status <> 'skjult'"), visible, "subject_type", "subject_id")
+    return seen.join(narratives.select(F.col("id").alias("narrative_id")), "narrative_id", "left_semi").select(*event.columns)
+
+
+def visible_targets(rows: DataFrame, facts: DataFrame, relations: DataFrame, editor: bool = False) -> DataFrame:
+    """Claims or conclusions on visible facts and relations (their visible ids); any other target hides. rows: target_type, target_id."""
+    if editor:
+        return rows
+    keys = facts.select(F.lit("fact").alias("target_type"), F.col("id").alias("target_id")).unionByName(relations.select(F.lit("relation").alias("target_type"), F.col("id").alias("target_id")))
+    return rows.join(keys, ["target_type", "target_id"], "left_semi").select(*rows.columns)
+
+
+def visible_notes(note: DataFrame, facts: DataFrame, relations: DataFrame, visible: dict[str, DataFrame], editor: bool = False) -> DataFrame:
+    """Notes that are not private, on visible facts, relations or entities. note: target_type, target_id, private."""
+    if editor:
+        return note
+    both = visible | {"fact": facts, "relation": relations}
+    return visible_entities(note.where(~F.coalesce("private", F.lit(False))), both, "target_type", "target_id")
+
+
+def visible_stories(story: DataFrame, visible: dict[str, DataFrame], editor: bool = False) -> DataFrame:
+    """Published stories that are not private, of visible subjects. story: status, private, subject_type, subject_id."""
+    return story if editor else visible_entities(story.where("status = 'publiceret' AND NOT coalesce(private, false)"), visible, "subject_type", "subject_id")
+
+
+def media_of_objects(path: DataFrame, media: DataFrame, variant: DataFrame) -> DataFrame:
+    """path, media_id: the medium that a stored object belongs to, by its own path first, then by that of a variant; null if to none."""
+    own = media.groupBy("path").agg(F.min("id").alias("_own"))
+    part = variant.groupBy("path").agg(F.min("media_id").alias("_part"))
+    return path.join(own, "path", "left").join(part, "path", "left").select("path", F.coalesce("_own", "_part").alias("media_id"))
+
+
+def app_persons(person: DataFrame, text: DataFrame, with_private: bool = False) -> DataFrame:
+    """id, name, sex, text of the persons an application shows: no private ones unless asked for, defaults in place of nulls. text: person_id, text (one row each)."""
+    rows = person if with_private else person.where(~F.coalesce("private", F.lit(False)))
+    return rows.join(text.select(F.col("person_id").alias("id"), "text"), "id", "left").select("id", F.coalesce("name", F.lit("Ukendt")).alias("name"), F.coalesce("sex", F.lit("ukendt")).alias("sex"), F.coalesce("text", F.lit("")).alias("text"))
