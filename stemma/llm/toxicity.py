@@ -315,7 +315,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(held.value.features(batch.column(0), memory)), batch.column(1)], ["peak", "toxic"])
 
-    got = joined.where("curve").select("text", "toxic").mapInArrow(features, "peak double, toxic int").orderBy("peak", "toxic").toArrow().to_pandas()
+    got = joined.where("curve").select("text", "toxic").mapInArrow(features, "peak double, toxic int").toArrow().to_pandas().sort_values(["peak", "toxic"])
     model.fit_curve(got["peak"].to_numpy(), got["toxic"].to_numpy() > 0)
     held.unpersist()
     return model
