@@ -6,9 +6,15 @@ from pyspark.sql import functions as F
 
 from stemma.functions import display as D
 from stemma.operators import family as A
+from stemma.operators import feed as K
+from stemma.operators import linkage as L
 from stemma.operators import readmodel as Q
 from stemma.operators import visibility as V
 
+from stemma.operators.evidence import correct_fields as corrections
+from stemma.plans.stages import materialise
+
+from . import evidence as E
 from .tables import read, role, sql
 
 
@@ -230,10 +236,68 @@ def name_ratios(spark, d):
     return read(spark, d, "part").select("p_partkey", F.round(D.name_ratio(F.col("p_name"), F.col("p_brand")), 9).alias("ratio"))
 
 
+def archive_cards(spark, d):
+    event = role(spark, d, "claim").select("id", (F.col("target_id") % 700).alias("person_id"), F.when(F.col("id") % 3 != 0, F.col("id") % 2 == 0).alias("backbone"), "date_raw", "date_min")
+    return K.archive_cards(event, V.visible_persons(role(spark, d, "person")), role(spark, d, "claim").where("id % 5 = 0"))
+
+
+def estate_cards(spark, d):
+    estate = role(spark, d, "place").select("id", F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "Hovedgård").alias("type"))
+    return K.estate_cards(estate, role(spark, d, "relation").groupBy(F.col("object_id").alias("id")).agg(F.count("*").alias("n")))
+
+
+def union_cards(spark, d):
+    union = role(spark, d, "parent_child").select(F.col("child").alias("id"), F.col("father").alias("p1"), F.when(F.col("child") % 5 != 0, F.col("mother")).alias("p2"), F.when(F.col("child") % 2 == 0, 1850).alias("year"))
+    return K.union_cards(union, V.visible_persons(role(spark, d, "person")))
+
+
+def office_cards(spark, d):
+    return K.office_cards(role(spark, d, "relation").select(F.col("subject_id").alias("person_id"), F.col("role").alias("label"), "year"), V.visible_persons(role(spark, d, "person")))
+
+
+def arms_cards(spark, d):
+    return K.arms_cards(role(spark, d, "narrative").select("id", F.col("text").alias("blazon")))
+
+
+def kinship_cards(spark, d):
+    pairs = role(spark, d, "person").where("id > 3 AND id < 200").select(F.col("id").alias("a"), (F.col("id") % 50 + 1).alias("b"))
+    return K.kinship_cards(A.relationships(pairs, A.parent_edges(role(spark, d, "parent_child")), role(spark, d, "person")))
+
+
+def partner_faults(spark, d):
+    return A.partner_faults(role(spark, d, "member").withColumn("family_id", F.floor(F.col("person_id") / 5)), _aliases(spark, d))
+
+
+def collapsed_edges(spark, d):
+    return A.collapse_edges(A.parent_edges(role(spark, d, "parent_child")), _aliases(spark, d))
+
+
+def child_faults(spark, d):
+    member = role(spark, d, "member").withColumn("family_id", F.floor(F.col("person_id") / 5))
+    return A.child_faults(member, role(spark, d, "person").select(F.floor((F.col("id") * 3) / 5 - 20).alias("family_id"), F.col("id").alias("child")))
+
+
+def compare_parent_child(spark, d):
+    ours = A.parent_edges(role(spark, d, "parent_child")).select("child", "parent").distinct()
+    theirs = ours.where("(child + parent) % 3 <> 0").select((F.col("child") + 10_000).alias("child"), (F.col("parent") + 10_000).alias("parent"))
+    links = role(spark, d, "person").where("id % 4 <> 0").select(F.col("id").alias("a_id"), (F.col("id") + 10_000).alias("b_id"))
+    return L.compare_sets(ours, theirs, links, ["child", "parent"])
+
+
+def corrected_fields(spark, d):
+    grid = E._grid(spark, d).select("person_id", "import_key", "record_key", "fingerprints", "imported", "editable")
+    grid = materialise(grid, "grid")
+    right = F.when(F.col("person_id") % 3 != 0, F.try_element_at("fingerprints", F.lit("koen"))).otherwise("x")
+    commands = grid.select("person_id", right.alias("fingerprint")).unionByName(spark.createDataFrame([(-1, "x")], "person_id long, fingerprint string"))
+    commands = commands.withColumns({"field": F.lit("koen"), "value": F.lit("kvinde"), "status": F.lit("rettet")})
+    return corrections(grid, commands).select("person_id", "outcome")
+
+
 QUERIES = {f.__name__: f for f in (
     visible_narratives, visible_events, visible_conclusions, visible_notes, visible_stories, media_of_objects, app_persons, canonical_relations, lineage_descendants, would_cycle, surname_root, line_markings, latest_intro,
     family_rows, nudged_children, sex_composition, founders, geo_points, busiest_estate, row_counts, review_progress, family_status, one_to_one, annotated_queue, stratified_sample, tier_changes, decision_audit, parent_coverage,
-    weighted_pick, identity_faults, published, person_deleted, media_merge_plan, era_warnings, media_ages, field_statuses, pair_keys, verbatim_spans, name_ratios)}
+    weighted_pick, identity_faults, published, person_deleted, media_merge_plan, era_warnings, media_ages, field_statuses, pair_keys, verbatim_spans, name_ratios,
+    archive_cards, estate_cards, union_cards, office_cards, arms_cards, kinship_cards, partner_faults, collapsed_edges, child_faults, compare_parent_child, corrected_fields)}
 
 _SEEN = "seen AS (SELECT id FROM person WHERE living = false AND NOT coalesce(private, false) AND NOT coalesce(staged, false))"
 _NARR = f"""{_SEEN}, nn AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'estate' WHEN id % 7 = 0 THEN 'secret' ELSE 'person' END AS subject_type, person_id AS subject_id, CASE WHEN id % 4 <> 0 THEN id % 3 = 0 END AS private, length(text) AS n FROM narrative),
@@ -314,4 +378,29 @@ SELECT id, CASE WHEN s IS NULL OR s < 0 THEN 'ukendt alder' WHEN s < 3600 THEN '
     "field_statuses": sql("person", "SELECT id, CASE WHEN id % 20 IN (15) THEN 'neutral' WHEN id % 5 <> 0 AND id % 4 < 2 THEN 'enig' ELSE 'afvigende' END AS status FROM person"),
     "pair_keys": sql("relation", "SELECT id, least(CAST(subject_id AS VARCHAR), CAST(object_id AS VARCHAR)) || '|' || greatest(CAST(subject_id AS VARCHAR), CAST(object_id AS VARCHAR)) AS pair FROM relation"),
     "verbatim_spans": f"""SELECT doc_id, CAST(CASE WHEN contains(text, substr(text, 1, 9) || '#') THEN 0 ELSE 1 END AS INT) AS missing, {' OR '.join(f"contains(text, '{w}')" for w in D.NAME_NOISE)} AS noisy FROM documents""",
+    "archive_cards": sql("person claim", f"""{_SEEN} SELECT 'arkiv:' || id AS card, 'arkiv' AS kind, target_id % 700 AS person_id, coalesce(nullif(date_raw, ''), CAST(year(date_min) AS VARCHAR)) AS year FROM claim
+WHERE NOT coalesce(CASE WHEN id % 3 <> 0 THEN id % 2 = 0 END, false) AND id % 5 <> 0 AND target_id % 700 IN (SELECT id FROM seen)"""),
+    "estate_cards": sql("place relation", """o AS (SELECT object_id AS id, count(*) AS n FROM relation GROUP BY object_id), e AS (SELECT p.id, coalesce(n, 0) AS n, CASE WHEN p.id % 3 = 1 THEN 'Hovedgård' ELSE 'Gods' END AS t FROM place p LEFT JOIN o ON o.id = p.id)
+SELECT 'gods:' || id AS card, 'gods' AS kind, t || CASE WHEN n > 0 THEN ' · ' || n || ' ejere' ELSE '' END AS meta, least(n, 7) AS dots FROM e"""),
+    "union_cards": sql("person parent_child", f"""{_SEEN} SELECT 'forbundet:' || child AS card, 'forbundet' AS kind, a.name AS a_name, b.name AS b_name, CASE WHEN child % 2 = 0 THEN 'gift 1850' ELSE 'gift' END AS foot
+FROM parent_child JOIN person a ON a.id = father JOIN person b ON b.id = mother WHERE child % 5 <> 0 AND father IN (SELECT id FROM seen) AND mother IN (SELECT id FROM seen)"""),
+    "office_cards": sql("person relation", f"{_SEEN} SELECT 'embede:' || subject_id || ':' || role || ':' || coalesce(CAST(year AS VARCHAR), '') AS card, 'embede' AS kind, subject_id AS person_id, role AS label FROM relation WHERE subject_id IN (SELECT id FROM seen)"),
+    "arms_cards": sql("narrative", "SELECT 'vaaben:' || id AS card, 'vaaben' AS kind, CASE WHEN trim(text) <> '' THEN text ELSE 'Blasoneringen indlæses fra Aarbogen, når våbenet knyttes.' END AS blazon FROM narrative"),
+    "partner_faults": sql("person member", f"""{_ALIAS}, p AS (SELECT DISTINCT CAST(floor(person_id / 5) AS BIGINT) AS family_id, person_id FROM member WHERE role = 'partner'),
+g AS (SELECT family_id, count(*) AS n, count(DISTINCT coalesce(canonical, person_id)) AS m FROM p LEFT JOIN alias ON alias.id = person_id GROUP BY family_id)
+SELECT family_id, 'for mange' AS fault FROM g WHERE n > 2 UNION ALL SELECT family_id, 'samme identitet' FROM g WHERE m < n"""),
+    "collapsed_edges": sql("person parent_child", f"""{_ALIAS}, e AS (SELECT DISTINCT child, parent, confidence FROM (SELECT child, unnest([father, mother]) AS parent, confidence FROM parent_child) WHERE child <> parent),
+c AS (SELECT coalesce(x.canonical, child) AS child, coalesce(y.canonical, parent) AS parent, confidence, CASE confidence WHEN 'omstridt' THEN 0 WHEN 'formodet' THEN 1 WHEN 'sandsynlig' THEN 2 WHEN 'sikker' THEN 3 ELSE -1 END AS r
+ FROM e LEFT JOIN alias x ON x.id = child LEFT JOIN alias y ON y.id = parent)
+SELECT child, parent, arg_max_null(confidence, r) AS confidence FROM c WHERE child <> parent GROUP BY child, parent"""),
+    "child_faults": sql("person member", """m AS (SELECT CAST(floor(person_id / 5) AS BIGINT) AS family_id, person_id, role, ordinal FROM member), c AS (SELECT CAST(floor((id * 3) / 5 - 20) AS BIGINT) AS family_id, id AS child FROM person),
+pr AS (SELECT * FROM m WHERE role = 'partner' QUALIFY row_number() OVER (PARTITION BY family_id ORDER BY ordinal, person_id) <= 2), e AS (SELECT DISTINCT p.person_id AS p, k.person_id AS k FROM pr p JOIN m k ON k.family_id = p.family_id AND k.role = 'barn'),
+w AS (SELECT p, k FROM e UNION SELECT w.p, e.k FROM w JOIN e ON e.p = w.k)
+SELECT family_id, child, CASE WHEN family_id NOT IN (SELECT family_id FROM m) THEN 'ukendt familie' WHEN (family_id, child) IN (SELECT (family_id, person_id) FROM m WHERE role = 'partner') THEN 'partner'
+ WHEN child IN (SELECT person_id FROM m WHERE role = 'barn') THEN 'har fødselsfamilie' WHEN EXISTS (SELECT 1 FROM w JOIN m ON m.person_id = w.k AND m.role = 'partner' WHERE w.p = c.child AND m.family_id = c.family_id) THEN 'kreds' END AS fault FROM c""", recursive=True),
+    "compare_parent_child": sql("person parent_child", f"""{_EDGE}, link AS (SELECT id AS a_id, id + 10000 AS b_id FROM person WHERE id % 4 <> 0), t AS (SELECT child + 10000 AS child, parent + 10000 AS parent FROM edge WHERE (child + parent) % 3 <> 0),
+m AS (SELECT x.b_id AS child, y.b_id AS parent FROM edge LEFT JOIN link x ON x.a_id = child LEFT JOIN link y ON y.a_id = parent)
+SELECT 'uden_for_scope' AS category, child, parent FROM m WHERE child IS NULL OR parent IS NULL
+UNION ALL SELECT CASE WHEN m.child IS NULL THEN 'mangler_hos_os' WHEN t.child IS NULL THEN 'ekstra_hos_os' ELSE 'enig' END, coalesce(m.child, t.child), coalesce(m.parent, t.parent) FROM (SELECT * FROM m WHERE child IS NOT NULL AND parent IS NOT NULL) m FULL JOIN t ON m.child = t.child AND m.parent = t.parent"""),
+    "corrected_fields": sql(E._GRID_OF, f"""{E._GRID} SELECT person_id, CASE WHEN NOT contains(editable, 'koen=true') THEN 'spærret' WHEN person_id % 3 = 0 THEN 'forældet' ELSE 'ok' END AS outcome FROM grid UNION ALL SELECT -1, 'ukendt person'"""),
 }

@@ -249,3 +249,11 @@ def sort_grid(grid: DataFrame, key: str, descending: bool = False) -> DataFrame:
     by = rank if key == "severity" else danish_key(F.col(key)) if key in ("name", "sex", "line") else F.col(key)
     by = F.when(F.col(key).isNotNull(), by)
     return grid.orderBy(F.desc_nulls_last(by) if descending else F.asc_nulls_last(by), "person_id")
+
+
+def correct_fields(grid: DataFrame, commands: DataFrame) -> DataFrame:
+    """commands (person_id, field, fingerprint, value, status) with the journal row that each would write, and outcome: ok, ukendt person, spærret (the field cannot be corrected) or forældet (the row has changed since it was read)."""
+    rows = commands.join(grid.select("person_id", "import_key", "record_key", "fingerprints", "imported", "editable"), "person_id", "left")
+    now, open_ = F.try_element_at("fingerprints", F.col("field")), F.try_element_at("editable", F.col("field"))
+    outcome = F.when(F.col("editable").isNull(), "ukendt person").when(~F.coalesce(open_, F.lit(False)), "spærret").when(~now.eqNullSafe(F.col("fingerprint")), "forældet").otherwise("ok")
+    return rows.select("person_id", "field", "import_key", "record_key", F.try_element_at("imported", F.col("field")).alias("imported"), F.col("value").alias("corrected"), "status", outcome.alias("outcome"))

@@ -247,3 +247,53 @@ def collapse(person: DataFrame, groups: DataFrame, verdict: DataFrame) -> DataFr
 def partner_limit(member: DataFrame, limit: int = 2) -> DataFrame:
     """Families with more partners than allowed: family_id, n."""
     return member.where("role = 'partner'").groupBy("family_id").agg(F.count_distinct("person_id").alias("n")).where(F.col("n") > limit)
+
+
+def partner_faults(member: DataFrame, aliases: DataFrame, limit: int = 2) -> DataFrame:
+    """family_id, fault: families with more partners than allowed (for mange), or with two partners of one identity (samme identitet). aliases: id, canonical."""
+    p = member.where("role = 'partner'").select("family_id", F.col("person_id").alias("id")).distinct().join(aliases.select("id", "canonical"), "id", "left")
+    sums = p.groupBy("family_id").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("canonical", "id")).alias("m"))
+    return sums.select("family_id", F.explode(F.array_compact(F.array(F.when(F.col("n") > limit, "for mange"), F.when(F.col("m") < F.col("n"), "samme identitet")))).alias("fault"))
+
+
+def collapse_edges(edges: DataFrame, aliases: DataFrame) -> DataFrame:
+    """child, parent, confidence of the identities: ends become canonical, an edge onto itself goes, and of equal edges the strongest confidence stays. aliases: id, canonical."""
+    to = lambda c: aliases.select(F.col("id").alias(c), F.col("canonical").alias(f"_{c}"))
+    e = edges.join(to("child"), "child", "left").join(to("parent"), "parent", "left")
+    e = e.select(F.coalesce("_child", "child").alias("child"), F.coalesce("_parent", "parent").alias("parent"), "confidence").where("child <> parent")
+    rank = F.coalesce(confidence_rank(F.col("confidence")), F.lit(-1))
+    return e.groupBy("child", "parent").agg(F.max_by("confidence", rank).alias("confidence"))
+
+
+def preview_same_as(edges: DataFrame, known: DataFrame, person: DataFrame, parents: DataFrame, alias: int, canonical: int) -> DataFrame:
+    """component, member, canonical, reason of the group that one more edge alias -> canonical would make, judged among all groups."""
+    one = edges.sparkSession.createDataFrame([(alias, canonical)], "alias long, canonical long")
+    groups = materialise(same_as_groups(edges.select("alias", "canonical").unionByName(one), known), "preview")
+    verdict = validate_groups(groups, person, parents).withColumnRenamed("reason", "rejected")
+    mine = groups.where(F.col("member") == alias).select("component")
+    return groups.join(mine, "component", "left_semi").join(verdict, "component", "left").select("component", "member", "canonical", F.coalesce("reason", "rejected").alias("reason"))
+
+
+def quarantine_cascade(groups: DataFrame, verdict: DataFrame, edges: DataFrame) -> DataFrame:
+    """component, reason, cascade for rejected groups: cascade is true where the parents that differ would agree if no group had been rejected, so that another rejection caused this one."""
+    bad = verdict.where("reason IS NOT NULL")
+    all_ = groups.where("reason IS NULL").select(F.col("member").alias("id"), "canonical", "component")
+    e = edges.select("child", "parent").distinct().join(all_.select(F.col("id").alias("child"), "component"), "child").join(all_.select(F.col("id").alias("parent"), F.col("canonical").alias("to")), "parent", "left")
+    sets = e.groupBy("component", "child").agg(F.array_join(F.array_sort(F.collect_set(F.coalesce("to", "parent"))), ",").alias("set"))
+    agree = sets.groupBy("component").agg((F.count_distinct("set") == 1).alias("agree"))
+    return bad.join(agree, "component", "left").select("component", "reason", ((F.col("reason") == "forældre") & F.coalesce("agree", F.lit(False))).alias("cascade"))
+
+
+def child_faults(member: DataFrame, commands: DataFrame) -> DataFrame:
+    """commands (family_id, child) and fault: why a child cannot be added, or null. ukendt familie, partner, har fødselsfamilie, or kreds (a partner descends from the child)."""
+    partner = member.where("role = 'partner'").select("family_id", F.col("person_id").alias("partner")).distinct()
+    birth = member.where("role = 'barn'").select(F.col("person_id").alias("child"), F.col("family_id").alias("_f")).distinct()
+    _, edges = family_edges(member)
+    below = closure(edges.select(F.col("parent").alias("p"), F.col("child").alias("c")), "p", "c", sources=commands.select("child"))
+    near = commands.select("family_id", "child").distinct().join(partner, "family_id")
+    ring = near.join(below.select(F.col("node").alias("child"), F.col("reached").alias("partner")), ["child", "partner"], "left_semi").select("family_id", "child").distinct().withColumn("ring", F.lit(True))
+    self_ = near.where("partner = child").select("family_id", "child").distinct().withColumn("self", F.lit(True))
+    there = member.select("family_id").distinct().withColumn("there", F.lit(True))
+    has = birth.groupBy("child").agg(F.lit(True).alias("born"))
+    rows = commands.join(there, "family_id", "left").join(self_, ["family_id", "child"], "left").join(has, "child", "left").join(ring, ["family_id", "child"], "left")
+    return rows.select("family_id", "child", F.when(F.col("there").isNull(), "ukendt familie").when(F.col("self"), "partner").when(F.col("born"), "har fødselsfamilie").when(F.col("ring"), "kreds").alias("fault"))

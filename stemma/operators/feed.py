@@ -21,6 +21,45 @@ def portrait_or_quote(texts: DataFrame, min_bio: int = 120) -> DataFrame:
     return rows.select(F.concat_ws(":", kind, "person_id").alias("card"), kind.alias("kind"), "person_id", "quote")
 
 
+def archive_cards(event: DataFrame, person: DataFrame, used: DataFrame) -> DataFrame:
+    """Events that no fact stands for and no other card tells: card, kind, person_id, year. event: id, person_id, backbone, date_raw, date_min; used: id."""
+    rows = event.where(~F.coalesce("backbone", F.lit(False))).join(used.select("id"), "id", "left_anti").join(person.select(F.col("id").alias("person_id")), "person_id", "left_semi")
+    year = F.coalesce(F.when(F.col("date_raw") != "", F.col("date_raw")), F.date_format("date_min", "yyyy"))
+    return rows.select(F.concat_ws(":", F.lit("arkiv"), "id").alias("card"), F.lit("arkiv").alias("kind"), "person_id", year.alias("year"))
+
+
+def estate_cards(estate: DataFrame, owners: DataFrame) -> DataFrame:
+    """card, kind, meta, dots. estate: id, type; owners: id, n."""
+    rows = estate.join(owners, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    label = F.coalesce(F.nullif("type", F.lit("")), F.lit("Gods"))
+    meta = F.when(F.col("n") > 0, F.concat(label, F.lit(" · "), F.col("n").cast("string"), F.lit(" ejere"))).otherwise(label)
+    return rows.select(F.concat_ws(":", F.lit("gods"), "id").alias("card"), F.lit("gods").alias("kind"), meta.alias("meta"), F.least("n", F.lit(7)).alias("dots"))
+
+
+def union_cards(union: DataFrame, person: DataFrame) -> DataFrame:
+    """card, kind, a_name, b_name, foot: marriages of two known persons. union: id, p1, p2, year."""
+    named = lambda c, out: person.select(F.col("id").alias(c), F.col("name").alias(out))
+    rows = union.where("p2 IS NOT NULL").join(named("p1", "a_name"), "p1").join(named("p2", "b_name"), "p2")
+    return rows.select(F.concat_ws(":", F.lit("forbundet"), "id").alias("card"), F.lit("forbundet").alias("kind"), "a_name", "b_name", F.concat_ws(" ", F.lit("gift"), F.col("year").cast("string")).alias("foot"))
+
+
+def office_cards(office: DataFrame, person: DataFrame) -> DataFrame:
+    """card, kind, person_id, label. office: person_id, label, year."""
+    rows = office.join(person.select(F.col("id").alias("person_id")), "person_id", "left_semi")
+    return rows.select(F.concat_ws(":", F.lit("embede"), "person_id", "label", F.coalesce(F.col("year").cast("string"), F.lit(""))).alias("card"), F.lit("embede").alias("kind"), "person_id", "label")
+
+
+def arms_cards(arms: DataFrame) -> DataFrame:
+    """card, kind, blazon. arms: id, blazon."""
+    told = F.when(F.trim("blazon") != "", F.col("blazon")).otherwise(F.lit("Blasoneringen indlæses fra Aarbogen, når våbenet knyttes."))
+    return arms.select(F.concat_ws(":", F.lit("vaaben"), "id").alias("card"), F.lit("vaaben").alias("kind"), told.alias("blazon"))
+
+
+def kinship_cards(relationships: DataFrame) -> DataFrame:
+    """card, kind, label for pairs (a, b, label) that are related."""
+    return relationships.where("a <> b").select(F.concat_ws(":", F.lit("slaegt"), "a", "b").alias("card"), F.lit("slaegt").alias("kind"), "label")
+
+
 def anniversaries(person: DataFrame, year: int) -> DataFrame:
     """Round jubilees: births and deaths at least 100 years ago, by fifties."""
     rows = person.select("id", F.explode(F.array(F.struct(F.lit("født").alias("what"), F.col("born").alias("y")), F.struct(F.lit("død").alias("what"), F.col("died").alias("y")))).alias("x"))
@@ -67,12 +106,37 @@ def weighted_order(cards: DataFrame, seed: int) -> DataFrame:
     return cards.where("score > 0").withColumn("draw", -F.log(1 - u) / F.col("score"))
 
 
-def walk(cards: list[dict], recent: int = 8, probes: int = 20) -> list[str]:
-    """The last step over one page's cards in order of draw: no kind twice in a row and no person within the last ``recent`` cards, looking at ``probes`` cards at most; then the person rule gives way, then the other."""
-    left, out = list(cards), []
-    while left:
+# Kinds that count as a portrait of a person.
+_PORTRAITS = ("portrait", "dagensperson")
+
+
+def walk(cards: list[dict], lead: list[dict] | None = None, locked: list[tuple[int, dict]] | None = None, recent: int = 8, probes: int = 20, lookback: int = 5) -> list[str]:
+    """The last step over one page's cards in order of draw.
+
+    lead comes first; locked cards take their positions (from 0) or, where the
+    others have run out, the end. Else a card must not be of the kind before
+    it, and its person not among the last ``recent``, looking at ``probes``
+    cards at most; the person rule gives way first, then the other. Without a
+    portrait in the last ``lookback`` cards only portraits may be drawn; so too
+    one place before a locked card that is none. Until it is placed, a locked
+    person's other cards wait.
+    """
+    left, out, locked = list(cards), list(lead or []), sorted(locked or [], key=lambda x: x[0])
+    while left or locked:
+        due = next((x for x in locked if x[0] == len(out)), locked[0] if locked and not left else None)
+        if due:
+            locked.remove(due)
+            out.append(due[1])
+            continue
         last, people = (out[-1]["kind"] if out else None), {c["person_id"] for c in out[-recent:] if c["person_id"] is not None}
-        near = left[:probes]
+        seen = lambda n: any(c["kind"] in _PORTRAITS for c in out[-n:])
+        ahead = any(at == len(out) + 1 and c["kind"] not in _PORTRAITS for at, c in locked)
+        pool = left
+        if not seen(lookback) or (ahead and not seen(lookback - 1)):
+            pool = [c for c in left if c["kind"] == "portrait"] or left
+        waiting = {c["person_id"] for _, c in locked if c["kind"] == "dagensperson"}
+        pool = [c for c in pool if c["person_id"] is None or c["person_id"] not in waiting] or pool
+        near = pool[:probes]
         pick = next((c for c in near if c["kind"] != last and c["person_id"] not in people), None) or next((c for c in near if c["kind"] != last), None) or near[0]
         left.remove(pick)
         out.append(pick)
@@ -80,13 +144,23 @@ def walk(cards: list[dict], recent: int = 8, probes: int = 20) -> list[str]:
 
 
 def feed_page(cards: DataFrame, pins: DataFrame, seed: int, size: int = 60, probes: int = 20) -> DataFrame:
-    """place, card: a page of the feed. Pinned cards lead, hidden ones are left out; the rest is a top-k by draw, of a page's length, in which the rules are walked. pins: card, action, created."""
+    """place, card: a page of the feed. Pinned cards lead, hidden ones are left out; the person of the day and the kinship card have a slot each, drawn by the seed (0 to 2 and 3 to 9 places after the pins); the rest is a top-k by draw, of a page's length, and as many portraits, in which the rules are walked. pins: card, action, created."""
     hidden = pins.where("action = 'skjul'").select("card")
-    first = pins.where("action = 'pin'").join(cards.select("card"), "card", "left_semi").orderBy(F.asc_nulls_last("created"), "card").limit(size)
+    columns = ["card", "kind", "person_id"]
+    first = pins.where("action = 'pin'").join(cards, "card").orderBy(F.asc_nulls_last("created"), "card").select(*columns).limit(size)
     rest = weighted_order(cards.join(pins.select("card"), "card", "left_anti").join(hidden, "card", "left_anti"), seed)
-    top = rest.orderBy("draw", "card").limit(size).select("card", "kind", "person_id").collect()  # a page
-    lead = [r["card"] for r in first.select("card").collect()]
-    order = (lead + walk([r.asDict() for r in top], probes=probes))[:size]
+    slots = ["dagensperson", "slaegt"]
+    free = rest.where(~F.col("kind").isin(slots))
+    by_draw = lambda df, n: [r.asDict() for r in df.orderBy("draw", "card").select(*columns, "draw").limit(n).collect()]
+    top = by_draw(free, size)  # a page
+    top += [c for c in by_draw(free.where("kind = 'portrait'"), size) if c["draw"] > top[-1]["draw"]] if len(top) == size else []
+    lead = [r.asDict() for r in first.collect()]
+    u = cards.sparkSession.range(1).select(draw(F.lit(seed), F.lit((1 << 32) - 1)).alias("a"), draw(F.lit(seed), F.lit((1 << 32) - 2)).alias("b")).first()
+    locked, spans = [], {"dagensperson": int(u["a"] * 3), "slaegt": 3 + int(u["b"] * 7)}
+    for kind in slots:
+        if card := by_draw(rest.where(F.col("kind") == kind), 1):
+            locked.append((len(lead) + spans[kind], card[0]))
+    order = walk(top, lead, locked, probes=probes)[:size]
     return cards.sparkSession.createDataFrame([(i + 1, c) for i, c in enumerate(order)], "place long, card string")
 
 

@@ -182,3 +182,27 @@ def test_hash_over_utf16_units(spark):
     texts = ["", "a", "Øre", "😀 x", "\n"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", fnv1a(F.col("t")).alias("h"))
     assert {r["t"]: r["h"] for r in df.collect()} == {t: want(t) for t in texts}
+
+
+def test_walk_with_slots_and_portraits():
+    card = lambda i, kind, person=None: {"card": f"c{i}", "kind": kind, "person_id": person}
+    cards = [card(i, "gods") for i in range(4)] + [card(10 + i, "embede") for i in range(4)] + [card(20 + i, "portrait", i) for i in range(3)]
+    day, kin = card(90, "dagensperson", 1), card(91, "slaegt")
+    order = feed.walk(cards, [card(80, "historie")], [(2, day), (5, kin)])
+    assert order[0] == "c80" and order[2] == "c90" and order[5] == "c91" and sorted(order) == sorted([c["card"] for c in cards] + ["c80", "c90", "c91"])
+    assert order[1] in ("c20", "c22")  # a portrait is due, but not of the person of the day
+    assert feed.walk([], [], [(3, kin)]) == ["c91"]
+
+
+def test_cascade_and_preview(spark):
+    known = spark.range(1, 20).selectExpr("id")
+    person = known.selectExpr("id", "cast(null as string) sex", "cast(if(id = 3, 1700, if(id = 4, 1850, null)) as int) born", "cast(null as int) died")
+    parents = spark.createDataFrame([(1, 3), (2, 4)], "child long, parent long")
+    edges = spark.createDataFrame([(2, 1), (4, 3)], "alias long, canonical long")
+    groups = family.same_as_groups(edges, known)
+    verdict = family.validate_groups(groups, person, parents)
+    got = {r["component"]: (r["reason"], r["cascade"]) for r in family.quarantine_cascade(groups, verdict, parents).collect()}
+    assert got == {3: ("fødselsår", False), 1: ("forældre", True)}
+    rows = {r["member"]: (r["canonical"], r["reason"]) for r in family.preview_same_as(edges, known, person, parents, 7, 8).collect()}
+    assert rows == {7: (8, None), 8: (8, None)}
+    assert {r["reason"] for r in family.preview_same_as(edges, known, person, parents, 7, 99).collect()} == {"ukendt medlem"}
