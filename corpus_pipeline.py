@@ -2,7 +2,7 @@
 
 toxicity -> exact dedup -> SimHash near-dedup -> mixing -> packing. All stages
 but the last return the columns of documents; the last returns the packed
-pieces. Verdicts are joined back by id, nulls included; rows that share an id
+pieces. Columns beyond these, whatever their names, are left out. Verdicts are joined back by id, nulls included; rows that share an id
 share a verdict where their texts are equal, and stay if one of them stays.
 """
 
@@ -26,28 +26,28 @@ def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models predict as toxic go. The models learn from the labels of the documents at hand; a row is judged by its own text."""
+    """Documents that the toxicity models predict as toxic go. The models learn from the labels of the documents at hand; a row is judged by its own text, whatever its id and other columns hold. Null text counts as empty and stays; without labels everything stays; no rows give no rows."""
     model = toxic.fit(docs, table(spark, sf_dir, "labels"))
     return toxic.score(docs.select(*COLUMNS), model).where("score < 0.5").select(*COLUMNS)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts (but for ASCII white space) the longest stays, then the smallest id."""
+    """Of documents with equal texts (but for ASCII white space) the longest stays, then the smallest id; null text counts as empty, a null id comes first, and rows that repeat the id that stays stay too."""
     return _keep(docs, dedup.exact_dedup(docs).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles the one with the smallest id stays."""
+    """Of each group of documents linked by a Jaccard similarity of 0.8 or more over five-word shingles the one with the smallest id stays. Null and empty texts, and those without words, are one group; shorter texts are one shingle; a null id comes first; rows that repeat the id that stays stay too."""
     return _keep(docs, simhash.similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn with the probabilities that bring source, language and topic to their target weights."""
+    """Documents are drawn with the probabilities that bring source, language and topic to their target weights. Null source and language are a value of their own, null text is one token; rows that repeat an id are drawn together."""
     return _keep(docs, mixing.mix(docs).where("kept"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences, each row's by itself: null text is the end token alone, a null id is packed under null, a very long text fills sequences of its own."""
     return packing.pack(docs)
 
 
