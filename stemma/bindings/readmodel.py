@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stemma.functions import display as D
+from stemma.functions import text as T
 from stemma.operators import family as A
 from stemma.operators import feed as K
 from stemma.operators import linkage as L
@@ -293,11 +294,59 @@ def corrected_fields(spark, d):
     return corrections(grid, commands).select("person_id", "outcome")
 
 
+def parent_slots(spark, d):
+    fact = role(spark, d, "fact").where("kind = 'title'")
+    claim = role(spark, d, "claim").select("id", "target_id", F.when(F.col("id") % 4 != 0, F.col("id") % 150).alias("family_id"))
+    partner = role(spark, d, "member").where("role = 'partner'").select(F.floor(F.col("person_id") / 5).alias("family_id"), "person_id").join(role(spark, d, "person").select(F.col("id").alias("person_id"), F.when(F.col("id") % 9 != 0, F.col("name")).alias("name")), "person_id")
+    return Q.parent_slots(fact, claim, role(spark, d, "citation"), role(spark, d, "source"), role(spark, d, "conclusion"), partner)
+
+
+def grouped_events(spark, d):
+    event = role(spark, d, "relation").select("id", F.col("subject_id").alias("person_id"), F.col("year").alias("date_min"), F.col("role").alias("text"))
+    rows = Q.grouped_events(event, _aliases(spark, d))
+    return rows.select("person_id", F.array_join(F.transform("events", lambda x: F.concat_ws(":", x["id"].cast("string"), x["text"])), ",").alias("events"))
+
+
+def texts_of(spark, d):
+    preferred = role(spark, d, "narrative").where("person_id % 3 <> 0").groupBy("person_id").agg(F.min("text").alias("text"))
+    return Q.texts_of(role(spark, d, "person"), _aliases(spark, d), preferred)
+
+
+def default_edition(spark, d):
+    return Q.default_edition(role(spark, d, "source"))
+
+
+def enriched_queue(spark, d):
+    names = role(spark, d, "person").where("id % 5 <> 0").select("id", "name")
+    queue = role(spark, d, "relation").groupBy(F.col("subject_id").alias("a_id"), F.col("object_id").alias("b_id")).agg(F.min("id").alias("k"))
+    queue = queue.select("a_id", "b_id", F.concat(F.lit("forælder "), (F.col("k") % 900).cast("string"), F.lit("; barn "), (F.col("k") % 70).cast("string"), F.lit("; uden")).alias("detail"))
+    return Q.enriched_queue(queue, names, names)
+
+
+def completeness(spark, d):
+    return Q.completeness(role(spark, d, "person").withColumn("note", F.when(F.col("id") % 2 == 0, " ")), ["sex", "died", "status", "note"], "name")
+
+
+def extraction_score(spark, d):
+    t = read(spark, d, "documents")
+    extract = t.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 != 0, F.col("doc_id") % 2 == 0).alias("mention"), F.when(F.col("doc_id") % 6 == 0, "Greve X").otherwise("X").alias("name"), F.array(F.substring("text", 3, 20), F.when(F.col("doc_id") % 4 == 0, F.lit("\x01#")), F.lit("")).alias("spans"))
+    truth = t.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 4 == 0).alias("mention"))
+    return Q.extraction_score(extract, truth, t.select(F.col("doc_id").alias("id"), "text"))
+
+
+def place_keys(spark, d):
+    raw = F.concat(F.lit("  Gård  Ø"), (F.col("id") % 7).cast("string"), F.lit(".,  Sønder  Herred; "))
+    rows = role(spark, d, "place").select("id", T.place_key(raw).alias("key"), T.place_key(T.place_leaf(raw)).alias("leaf"), T.ascii_form(T.place_key(raw)).alias("ascii"))
+    at = F.when(F.col("id") % 4 == 0, "0").when(F.col("id") % 4 == 1, "x").when(F.col("id") % 4 == 2, "95.5").otherwise("55.25")
+    return rows.withColumn("lat", T.coordinate(at, 90.0))
+
+
 QUERIES = {f.__name__: f for f in (
     visible_narratives, visible_events, visible_conclusions, visible_notes, visible_stories, media_of_objects, app_persons, canonical_relations, lineage_descendants, would_cycle, surname_root, line_markings, latest_intro,
     family_rows, nudged_children, sex_composition, founders, geo_points, busiest_estate, row_counts, review_progress, family_status, one_to_one, annotated_queue, stratified_sample, tier_changes, decision_audit, parent_coverage,
     weighted_pick, identity_faults, published, person_deleted, media_merge_plan, era_warnings, media_ages, field_statuses, pair_keys, verbatim_spans, name_ratios,
-    archive_cards, estate_cards, union_cards, office_cards, arms_cards, kinship_cards, partner_faults, collapsed_edges, child_faults, compare_parent_child, corrected_fields)}
+    archive_cards, estate_cards, union_cards, office_cards, arms_cards, kinship_cards, partner_faults, collapsed_edges, child_faults, compare_parent_child, corrected_fields,
+    parent_slots, grouped_events, texts_of, default_edition, enriched_queue, completeness, extraction_score, place_keys)}
 
 _SEEN = "seen AS (SELECT id FROM person WHERE living = false AND NOT coalesce(private, false) AND NOT coalesce(staged, false))"
 _NARR = f"""{_SEEN}, nn AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'estate' WHEN id % 7 = 0 THEN 'secret' ELSE 'person' END AS subject_type, person_id AS subject_id, CASE WHEN id % 4 <> 0 THEN id % 3 = 0 END AS private, length(text) AS n FROM narrative),
@@ -403,4 +452,22 @@ m AS (SELECT x.b_id AS child, y.b_id AS parent FROM edge LEFT JOIN link x ON x.a
 SELECT 'uden_for_scope' AS category, child, parent FROM m WHERE child IS NULL OR parent IS NULL
 UNION ALL SELECT CASE WHEN m.child IS NULL THEN 'mangler_hos_os' WHEN t.child IS NULL THEN 'ekstra_hos_os' ELSE 'enig' END, coalesce(m.child, t.child), coalesce(m.parent, t.parent) FROM (SELECT * FROM m WHERE child IS NOT NULL AND parent IS NOT NULL) m FULL JOIN t ON m.child = t.child AND m.parent = t.parent"""),
     "corrected_fields": sql(E._GRID_OF, f"""{E._GRID} SELECT person_id, CASE WHEN NOT contains(editable, 'koen=true') THEN 'spærret' WHEN person_id % 3 = 0 THEN 'forældet' ELSE 'ok' END AS outcome FROM grid UNION ALL SELECT -1, 'ukendt person'"""),
+    "parent_slots": sql("fact claim citation source conclusion member person", """f AS (SELECT id FROM fact WHERE kind = 'title'), a AS (SELECT id, target_id, id % 150 AS family_id FROM claim WHERE id % 4 <> 0 AND target_id IN (SELECT id FROM f)),
+p AS (SELECT CAST(floor(person_id / 5) AS BIGINT) AS family_id, string_agg(CASE WHEN person_id % 9 <> 0 THEN name ELSE '(ukendt)' END, ' · ' ORDER BY person_id) AS parents FROM member JOIN person ON person.id = person_id WHERE role = 'partner' GROUP BY 1),
+c AS (SELECT claim_id, coalesce(edition, title) AS edition, page, quote FROM citation LEFT JOIN source s ON s.id = source_id QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY citation.id, edition NULLS FIRST, page NULLS FIRST, quote NULLS FIRST) = 1)
+SELECT a.target_id AS fact_id, k.status, a.id AS claim_id, a.family_id, coalesce(parents, '') AS parents, edition, page, quote, coalesce(a.id = chosen_id, false) AS chosen
+FROM a LEFT JOIN p USING (family_id) LEFT JOIN c ON c.claim_id = a.id LEFT JOIN conclusion k ON k.target_id = a.target_id"""),
+    "grouped_events": sql("person relation", f"""{_ALIAS} SELECT coalesce(canonical, subject_id) AS person_id, string_agg(r.id || ':' || role, ',' ORDER BY year NULLS LAST, r.id) AS events FROM relation r LEFT JOIN alias a ON a.id = subject_id GROUP BY 1"""),
+    "texts_of": sql("person narrative", f"""{_ALIAS}, t AS (SELECT person_id, min(text) AS text FROM narrative WHERE person_id % 3 <> 0 GROUP BY person_id),
+n AS (SELECT id, canonical FROM alias UNION SELECT id, id FROM person), h AS (SELECT canonical, text FROM n JOIN t ON t.person_id = n.id QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY n.id <> canonical, n.id) = 1)
+SELECT id, text FROM person LEFT JOIN h ON canonical = id"""),
+    "default_edition": sql("source", "SELECT id, year FROM source ORDER BY coalesce(year, -1) DESC, id LIMIT 1"),
+    "enriched_queue": sql("person relation", """q AS (SELECT subject_id AS a_id, object_id AS b_id, min(id) AS k FROM relation GROUP BY ALL), n AS (SELECT id, name FROM person WHERE id % 5 <> 0)
+SELECT a_id, b_id, a.name AS a_name, b.name AS b_name, 'forælder ' || coalesce(x.name, CAST(k % 900 AS VARCHAR)) || '; barn ' || coalesce(y.name, CAST(k % 70 AS VARCHAR)) || '; uden' AS detail
+FROM q LEFT JOIN n a ON a.id = a_id LEFT JOIN n b ON b.id = b_id LEFT JOIN n x ON x.id = k % 900 LEFT JOIN n y ON y.id = k % 70"""),
+    "completeness": sql("person", "SELECT id, CAST((sex IS NOT NULL)::INT + (died IS NOT NULL)::INT + (status IS NOT NULL)::INT AS INT) AS filled, CAST(length(name) AS INT) AS length FROM person"),
+    "extraction_score": """WITH e AS (SELECT doc_id, text, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 2 = 0 END AS mention, CASE WHEN doc_id % 5 <> 0 THEN doc_id % 4 = 0 END AS truth FROM documents)
+SELECT count(*) AS records, count(truth) AS judged, count(*) FILTER (coalesce(mention, false) = truth) AS "right", count(*) FILTER (coalesce(mention, false) <> truth) AS wrong,
+ CAST(sum((substr(text, 3, 20) <> '')::INT + (doc_id % 4 = 0)::INT) AS BIGINT) AS spans, CAST(sum((doc_id % 4 = 0)::INT) AS BIGINT) AS lost, count(*) FILTER (doc_id % 6 = 0) AS impure FROM e""",
+    "place_keys": sql("place", """k AS (SELECT id, id % 7 AS n FROM place) SELECT id, 'gård ø' || n || '., sønder herred' AS key, 'gård ø' || n AS leaf, 'gaard oe' || n || '., soender herred' AS ascii, CASE WHEN id % 4 = 3 THEN 55.25::DOUBLE END AS lat FROM k"""),
 }

@@ -132,3 +132,30 @@ def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius:
     half = lambda d: F.pow(F.sin(F.radians(d) / 2), F.lit(2.0))
     h = half(lat2 - lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon2 - lon1)
     return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+
+# Letters and the ASCII that stands for them in older dumps.
+ASCII_FORMS = {"æ": "ae", "ø": "oe", "å": "aa", "ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}
+
+
+def place_key(name: Column) -> Column:
+    """Lower case, single blanks, no punctuation at the end."""
+    bare = F.regexp_replace(F.lower(F.regexp_replace(name, r"^\s+|\s+$", "")), r"\s+", " ")
+    return F.trim(F.regexp_replace(bare, "[.,;:]+$", ""))
+
+
+def place_leaf(name: Column) -> Column:
+    """The first part of a place from small to large."""
+    return F.trim(F.substring_index(name, ",", 1))
+
+
+def ascii_form(text: Column) -> Column:
+    for letter, ascii_ in ASCII_FORMS.items():
+        text = F.replace(text, F.lit(letter), F.lit(ascii_))
+    return text
+
+
+def coordinate(raw: Column, limit: float) -> Column:
+    """A coordinate as written, or null: no number, zero, or beyond the limit."""
+    v = raw.try_cast("double")
+    return F.when((v != 0) & (F.abs(v) <= limit), v)

@@ -235,3 +235,68 @@ def media_merge_plan(media: DataFrame, depiction: DataFrame) -> DataFrame:
     moved = moved.select("keep_id", "drop_id", "object_type", "object_id", F.when(F.col("has") | (F.col("drop_id") != F.col("first")), "slet").otherwise("flyt").alias("step"))
     last = drop.select("keep_id", "drop_id", F.lit(None).cast("string").alias("object_type"), F.lit(None).cast("long").alias("object_id"), F.lit("slet medie").alias("step"))
     return moved.unionByName(last)
+
+
+# ---- evidence and editions ----
+
+
+def parent_slots(fact: DataFrame, claim: DataFrame, citation: DataFrame, source: DataFrame, conclusion: DataFrame, partner: DataFrame) -> DataFrame:
+    """fact_id, status, claim_id, family_id, parents, edition, page, quote, chosen: every claim about a person's parents.
+
+    claim: id, target_id, family_id; the first citation by id counts; the
+    edition is the source's, or else its title; partner: family_id, person_id,
+    name, whose families' parents are listed by id.
+    """
+    parents = partner.groupBy("family_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("person_id", F.coalesce("name", F.lit("(ukendt)")).alias("name")))), lambda x: x["name"]), " · ").alias("parents"))
+    said = citation.join(source.select(F.col("id").alias("source_id"), F.coalesce("edition", "title").alias("edition")), "source_id", "left")
+    said = said.groupBy(F.col("claim_id")).agg(F.min(F.struct("id", "edition", "page", "quote")).alias("c"))
+    said = said.select("claim_id", "c.edition", "c.page", "c.quote")
+    done = conclusion.where("target_type = 'fact'").select(F.col("target_id").alias("fact_id"), "status", "chosen_id")
+    rows = claim.where("family_id IS NOT NULL").select(F.col("target_id").alias("fact_id"), F.col("id").alias("claim_id"), "family_id").join(fact.select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
+    rows = rows.join(parents, "family_id", "left").join(said, "claim_id", "left").join(done, "fact_id", "left")
+    return rows.select("fact_id", "status", "claim_id", "family_id", F.coalesce("parents", F.lit("")).alias("parents"), "edition", "page", "quote", F.coalesce(F.col("claim_id") == F.col("chosen_id"), F.lit(False)).alias("chosen"))
+
+
+def grouped_events(event: DataFrame, aliases: DataFrame) -> DataFrame:
+    """person_id, events: each person's events under the canonical id, earliest first (unknown dates last), then by id. event: id, person_id, date_min, text."""
+    rows = canonical_ids(event, aliases, ["person_id"])
+    item = F.struct(F.col("date_min").isNull().alias("a"), F.col("date_min").alias("b"), F.col("id").alias("id"), "text")
+    return rows.groupBy("person_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"))).alias("events"))
+
+
+def texts_of(people: DataFrame, aliases: DataFrame, preferred: DataFrame) -> DataFrame:
+    """id, text: the preferred text of each person, or of the first alias (by id) that has one. people: id; preferred: person_id, text."""
+    names = aliases.select("id", "canonical").unionByName(people.select("id", F.col("id").alias("canonical"))).distinct()
+    held = names.join(preferred.select(F.col("person_id").alias("id"), "text"), "id").groupBy("canonical").agg(F.min(F.struct((F.col("id") != F.col("canonical")).alias("a"), F.col("id").alias("b"), "text")).alias("x"))
+    return people.select("id").join(held.select(F.col("canonical").alias("id"), F.col("x.text").alias("text")), "id", "left")
+
+
+def default_edition(source: DataFrame) -> DataFrame:
+    """One row: the source of the newest year, or without any year the first by id."""
+    return source.agg(F.max(F.struct(F.coalesce("year", F.lit(-1)).alias("y"), (-F.col("id")).alias("i"))).alias("x")).select((-F.col("x.i")).alias("id"), F.nullif(F.col("x.y"), F.lit(-1)).alias("year"))
+
+
+def enriched_queue(queue: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """A review queue with the names of both sides, and the ids in its detail text (kind id; kind id) replaced by names. a, b: id, name."""
+    rows = queue.join(a.select(F.col("id").alias("a_id"), F.col("name").alias("a_name")), "a_id", "left").join(b.select(F.col("id").alias("b_id"), F.col("name").alias("b_name")), "b_id", "left")
+    parts = rows.select("a_id", "b_id", F.posexplode(F.split("detail", "; ")).alias("i", "part")).withColumn("id", F.regexp_extract("part", r"(\d+)$", 1).try_cast("long"))
+    parts = parts.join(a.select("id", "name"), "id", "left").withColumn("part", F.when(F.col("name").isNotNull(), F.concat(F.regexp_replace("part", r"\d+$", ""), "name")).otherwise(F.col("part")))
+    said = parts.groupBy("a_id", "b_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "part"))), lambda x: x["part"]), "; ").alias("told"))
+    return rows.join(said, ["a_id", "b_id"], "left").select("a_id", "b_id", "a_name", "b_name", F.coalesce("told", F.lit("")).alias("detail"))
+
+
+def completeness(record: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """id, filled, length: what is compared to decide which of two copies is kept: filled columns first, then the length of the text."""
+    filled = reduce(lambda x, y: x + y, [F.when(F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) != "", 1).otherwise(0) for c in columns])
+    return record.select("id", filled.alias("filled"), F.char_length(F.coalesce(text, F.lit(""))).alias("length"))
+
+
+def extraction_score(extract: DataFrame, truth: DataFrame, batch: DataFrame) -> DataFrame:
+    """One row of counts over extracted records: right and wrong mentions against the truth, spans that are not in the text, impure names. extract: id, mention, name, spans; truth: id, mention; batch: id, text."""
+    from stemma.functions.display import noisy_name, spans_not_verbatim
+
+    rows = extract.join(truth.select("id", F.col("mention").alias("true")), "id", "left").join(batch.select("id", "text"), "id", "left")
+    lost = spans_not_verbatim(F.col("spans"), F.coalesce("text", F.lit("")))
+    said = F.size(F.filter("spans", lambda x: F.coalesce(x, F.lit("")) != ""))
+    known, same = F.col("true").isNotNull(), F.coalesce("mention", F.lit(False)) == F.col("true")
+    return rows.agg(F.count("*").alias("records"), F.count_if(known).alias("judged"), F.count_if(known & same).alias("right"), F.count_if(known & ~same).alias("wrong"), F.sum(said).alias("spans"), F.sum(lost).alias("lost"), F.count_if(noisy_name(F.col("name"))).alias("impure"))

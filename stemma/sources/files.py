@@ -50,3 +50,24 @@ def row_counts(frames: dict[str, DataFrame]) -> DataFrame:
         part = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def write_json(df: DataFrame, path: str, ids: list[str], defaults: dict) -> str:
+    """An extract for other tools: JSON lines, ids as text, nulls replaced by defaults, other nulls left out."""
+    rows = df.fillna(defaults)
+    for c in ids:
+        rows = rows.withColumn(c, F.col(c).cast("string"))
+    rows.write.json(path)
+    return path
+
+
+def list_objects(spark: SparkSession, path: str) -> DataFrame:
+    """path, bytes, changed of every object under path, in any depth. Contents are not read."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return rows.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("changed"))
+
+
+def snapshot(spark: SparkSession, url: str, tables: list[str], options: dict | None = None) -> dict[str, DataFrame]:
+    """The tables of a database over JDBC, each a frame that reads within a read-only transaction. options: of the reader, such as user, driver or partitionColumn."""
+    read = spark.read.format("jdbc").option("url", url).option("sessionInitStatement", "SET default_transaction_read_only = on").options(**(options or {}))
+    return {t: read.option("dbtable", t).load() for t in tables}

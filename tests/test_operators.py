@@ -206,3 +206,13 @@ def test_cascade_and_preview(spark):
     rows = {r["member"]: (r["canonical"], r["reason"]) for r in family.preview_same_as(edges, known, person, parents, 7, 8).collect()}
     assert rows == {7: (8, None), 8: (8, None)}
     assert {r["reason"] for r in family.preview_same_as(edges, known, person, parents, 7, 99).collect()} == {"ukendt medlem"}
+
+
+def test_json_extract_and_object_list(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, "x"), (2, 5, None)], "id long, year int, name string")
+    files.write_json(df, f"{tmp_path}/out", ["id"], {"year": 0})
+    assert sorted((r["id"], r["year"], r["name"]) for r in spark.read.schema("id string, year int, name string").json(f"{tmp_path}/out").collect()) == [("1", 0, "x"), ("2", 5, None)]
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "c.bin").write_bytes(b"12345")
+    (tmp_path / "a" / "d.bin").write_bytes(b"1")
+    assert sorted((r["path"].rsplit("/a/", 1)[1], r["bytes"]) for r in files.list_objects(spark, f"{tmp_path}/a").collect()) == [("b/c.bin", 5), ("d.bin", 1)]
