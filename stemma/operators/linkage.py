@@ -19,6 +19,10 @@ from stemma.functions.dates import known, overlaps
 from stemma.plans.stages import keep_first, materialise
 
 
+#: Pairs of names whose similarity a worker remembers.
+_PAIRS = 1 << 19
+
+
 @dataclass(frozen=True)
 class Config:
     year_window: int = 5
@@ -41,21 +45,39 @@ class Config:
         return max(0.0, (self.review - (self.birth + self.death + self.sex)) / self.name)
 
 
-def jaro_winkler(a: str, b: str, p: float = 0.1, longest: int = 4) -> float:
-    """Similarity of two strings. The bonus for a common beginning always counts, and half transpositions do too."""
+def letter_places(text: str) -> dict[str, int]:
+    """Letter -> the places where it stands, as bits."""
+    places: dict[str, int] = {}
+    bit = 1
+    for c in text:
+        places[c] = places.get(c, 0) | bit
+        bit <<= 1
+    return places
+
+
+def jaro_winkler(a: str, b: str, p: float = 0.1, longest: int = 4, places: dict[str, int] | None = None) -> float:
+    """Similarity of two strings. The bonus for a common beginning always counts, and half transpositions do too. places: ``letter_places(b)``, if at hand.
+
+    Each letter of a takes the first free equal letter of b within reach, which
+    is the lowest bit of a few numbers.
+    """
     if a == b:
         return 1.0 if a else 0.0
+    places = letter_places(b) if places is None else places
     reach = max(0, max(len(a), len(b)) // 2 - 1)
-    free, pairs = [True] * len(b), []
+    near, free, taken, found = (1 << (reach + 1)) - 1, (1 << len(b)) - 1, [], []
     for i, c in enumerate(a):
-        j = next((j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if free[j] and b[j] == c), None)
-        if j is not None:
-            free[j] = False
-            pairs.append((i, j))
-    if not pairs:
+        if hit := places.get(c, 0) & free & near:
+            bit = hit & -hit
+            free ^= bit
+            taken.append(bit)
+            found.append(c)
+        near = near << 1 | (i < reach)
+    m = len(taken)
+    if not m:
         return 0.0
-    m = len(pairs)
-    moved = sum(a[i] != b[j] for (i, _), j in zip(pairs, sorted(j for _, j in pairs), strict=True)) / 2
+    there = [found[k] for k in sorted(range(m), key=taken.__getitem__)]
+    moved = 0.0 if there == found else sum(map(str.__ne__, found, there)) / 2
     score = (m / len(a) + m / len(b) + (m - moved) / m) / 3
     same = 0
     while same < min(longest, len(a), len(b)) and a[same] == b[same]:
@@ -66,11 +88,20 @@ def jaro_winkler(a: str, b: str, p: float = 0.1, longest: int = 4) -> float:
 def jaro_winkler_column(a: Column, b: Column, p: float = 0.1) -> Column:
     """Spark has no such function: an Arrow-batched UDF, after all cheaper filters. p = 0 is plain Jaro."""
 
+    known_: dict[tuple, float] = {}  # names repeat; a worker remembers a bounded number of pairs
+
     @F.pandas_udf("double")
     def similar(x, y):
         import pandas as pd
 
-        return pd.Series([jaro_winkler(s or "", t or "", p) for s, t in zip(x, y, strict=True)], index=x.index, dtype="float64")
+        pairs = list(zip(x, y, strict=True))
+        new = set(pairs).difference(known_)
+        if len(known_) + len(new) > _PAIRS:
+            known_.clear()
+            new = set(pairs)
+        places = {t: letter_places(t or "") for _, t in new}
+        known_.update((st, jaro_winkler(st[0] or "", st[1] or "", p, places=places[st[1]])) for st in new)
+        return pd.Series(list(map(known_.__getitem__, pairs)), index=x.index, dtype="float64")
 
     return similar(a, b)
 
@@ -130,7 +161,9 @@ def candidates(a: DataFrame, b: DataFrame, cfg: Config = Config(), similarity: C
         birth_known.alias("birth_known"), death_known.alias("death_known"), sex_known.alias("sex_known"))
     per = Window.partitionBy("a_id")
     plain = score(Config(**{**cfg.__dict__, "normalised": False}))
-    rows = rows.withColumn("unique_block", F.count("*").over(per) == 1).withColumn("_r", F.row_number().over(per.orderBy(F.desc(plain), "b_id")))
+    # Two rows at least are kept until it is known whether there is one only; the limit is applied before the shuffle.
+    rows = rows.withColumn("_r", F.row_number().over(per.orderBy(F.desc(plain), "b_id"))).where(c("_r") <= max(2, cfg.top))
+    rows = rows.withColumn("unique_block", F.count("*").over(per) == 1)
     return rows.where(c("_r") <= cfg.top).drop("_r")
 
 

@@ -216,3 +216,33 @@ def test_json_extract_and_object_list(spark, tmp_path):
     (tmp_path / "a" / "b" / "c.bin").write_bytes(b"12345")
     (tmp_path / "a" / "d.bin").write_bytes(b"1")
     assert sorted((r["path"].rsplit("/a/", 1)[1], r["bytes"]) for r in files.list_objects(spark, f"{tmp_path}/a").collect()) == [("b/c.bin", 5), ("d.bin", 1)]
+
+
+def test_jaro_winkler_by_the_definition():
+    """Against letters marked one by one."""
+    import random
+
+    def plain(a, b, p):
+        if a == b:
+            return 1.0 if a else 0.0
+        reach, free, pairs = max(0, max(len(a), len(b)) // 2 - 1), [True] * len(b), []
+        for i, c in enumerate(a):
+            for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+                if free[j] and b[j] == c:
+                    free[j] = False
+                    pairs.append((i, j))
+                    break
+        if not pairs:
+            return 0.0
+        m, js = len(pairs), sorted(j for _, j in pairs)
+        t = sum(a[i] != b[j] for (i, _), j in zip(pairs, js, strict=True)) / 2
+        s = (m / len(a) + m / len(b) + (m - t) / m) / 3
+        n = next((k for k in range(min(4, len(a), len(b))) if a[k] != b[k]), min(4, len(a), len(b)))
+        return s + n * p * (1 - s)
+
+    rng = random.Random(2)
+    for _ in range(5000):
+        a, b = ("".join(rng.choice("abcæ ") for _ in range(rng.choice([0, 1, 2, 5, 12, 70]))) for _ in range(2))
+        for p in (0.0, 0.1):
+            assert linkage.jaro_winkler(a, b, p) == plain(a, b, p)
+    assert linkage.jaro_winkler("abcdef", "bcadef", 0.0) == pytest.approx(0.9167, abs=1e-4)
