@@ -127,7 +127,12 @@ def place_matches(spark, d):
     return L.match_places(texts, index)
 
 
-QUERIES = {f.__name__: f for f in (match_keys, linkage_candidates, linkage_jaro, linkage_tiers, linkage_tiers_normalised, tier_counts, linkage_quality, linkage_sweep, compare_marriages, compare_facts, corroboration, review_merge, review_worklist, inherited_sources, match_records, identity_register, duplicate_records, place_matches)}
+def first_matches(spark, d):
+    right = role(spark, d, "relation").select(F.col("subject_id").alias("id"), F.col("id").alias("ord"), "role")
+    return L.first_match(role(spark, d, "person").select("id", "name"), right, "id", "ord")
+
+
+QUERIES = {f.__name__: f for f in (match_keys, linkage_candidates, linkage_jaro, linkage_tiers, linkage_tiers_normalised, tier_counts, linkage_quality, linkage_sweep, compare_marriages, compare_facts, corroboration, review_merge, review_worklist, inherited_sources, match_records, identity_register, duplicate_records, place_matches, first_matches)}
 
 _OVER = lambda a, b, w=0: f"coalesce(a.{a}_min - {w} <= b.{b}_max, true) AND coalesce(b.{b}_min <= a.{a}_max + {w}, true)"
 _KNOWN = lambda x: f"((a.{x}_min IS NOT NULL OR a.{x}_max IS NOT NULL) AND (b.{x}_min IS NOT NULL OR b.{x}_max IS NOT NULL))"
@@ -228,4 +233,5 @@ ex AS (SELECT tx.id, tx.key, sp.place, n FROM tx LEFT JOIN sp USING (key)), tr A
 fz AS (SELECT t.key, sp.place, round(jaro_similarity(t.key, sp.key), 9) AS score FROM (SELECT DISTINCT key FROM tr WHERE method IS NULL) t JOIN sp ON jaro_similarity(t.key, sp.key) >= 0.92 QUALIFY row_number() OVER (PARTITION BY t.key ORDER BY score DESC, sp.place) = 1)
 SELECT id, coalesce(tr.place, fz.place) AS place, CASE WHEN n = 1 THEN 'auto' WHEN n > 1 OR fz.place IS NOT NULL THEN 'review' ELSE 'none' END AS status,
  coalesce(method, CASE WHEN fz.place IS NOT NULL THEN 'fuzzy' END) AS method, CASE WHEN method IS NOT NULL THEN 1.0 ELSE score END AS score FROM tr LEFT JOIN fz USING (key)"""),
+    "first_matches": sql("person relation", "SELECT p.id, p.name, r.role FROM person p LEFT JOIN (SELECT subject_id, role FROM relation QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY id) = 1) r ON r.subject_id = p.id"),
 }

@@ -76,10 +76,6 @@ def delete_preview(person: DataFrame, fact: DataFrame, claim: DataFrame, relatio
     return out.select("id", "facts", "claims", "relations", "families", F.array_join(blockers, ",").alias("blockers"))
 
 
-def exists_action(left: DataFrame, paths: DataFrame) -> DataFrame:
-    return left.join(paths, "path", "left_semi")
-
-
 # ---- change log ----
 
 

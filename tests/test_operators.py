@@ -73,8 +73,10 @@ def test_conflicts_ignore_nulls_and_equal_values(spark):
 def test_unknown_life_hides(spark):
     p = spark.createDataFrame([(1, False, None, None), (2, None, False, False), (3, True, False, False), (4, False, True, False)], "id long, living boolean, private boolean, staged boolean")
     assert [r["id"] for r in visibility.visible_persons(p).collect()] == [1]
-    with pytest.raises(ValueError):
-        visibility.assert_no_living(spark.createDataFrame([("see 3",)], "text string"), spark.createDataFrame([(3,)], "id long"))
+    living = spark.createDataFrame([(3,)], "id long")
+    with pytest.raises(Exception, match="living person"):
+        visibility.assert_no_living(spark.createDataFrame([("see 3",)], "text string"), living).collect()
+    assert visibility.assert_no_living(spark.createDataFrame([("see 33",), (None,), ("none",)], "text string"), living).count() == 3
 
 
 def test_undo_and_state(spark):
