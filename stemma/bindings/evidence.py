@@ -89,7 +89,7 @@ def quality_grid_open(spark, d):
 
 def quality_grid_sorted(spark, d):
     rows = E.sort_grid(_grid(spark, d), "born_min", descending=True).select("person_id", "born_min").limit(100)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("born_min"), "person_id")))  # a page of 100
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("born_min"), "person_id")).cast("long"))  # a page of 100
 
 
 def parent_conflicts(spark, d):

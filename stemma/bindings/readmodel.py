@@ -349,7 +349,7 @@ QUERIES = {f.__name__: f for f in (
     parent_slots, grouped_events, texts_of, default_edition, enriched_queue, completeness, extraction_score, place_keys)}
 
 _SEEN = "seen AS (SELECT id FROM person WHERE living = false AND NOT coalesce(private, false) AND NOT coalesce(staged, false))"
-_NARR = f"""{_SEEN}, nn AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'estate' WHEN id % 7 = 0 THEN 'secret' ELSE 'person' END AS subject_type, person_id AS subject_id, CASE WHEN id % 4 <> 0 THEN id % 3 = 0 END AS private, length(text) AS n FROM narrative),
+_NARR = f"""{_SEEN}, nn AS (SELECT id, CASE WHEN id % 5 = 0 THEN 'estate' WHEN id % 7 = 0 THEN 'secret' ELSE 'person' END AS subject_type, person_id AS subject_id, CASE WHEN id % 4 <> 0 THEN id % 3 = 0 END AS private, CAST(length(text) AS INT) AS n FROM narrative),
 vn AS (SELECT * FROM nn WHERE NOT coalesce(private, false) AND (subject_type = 'estate' OR subject_type = 'person' AND subject_id IN (SELECT id FROM seen)))"""
 _FACT = f"""{_SEEN}, vf AS (SELECT * FROM fact WHERE subject_id IN (SELECT id FROM seen)), vr AS (SELECT * FROM relation WHERE subject_id IN (SELECT id FROM seen) AND object_id IN (SELECT id FROM seen))"""
 _ALIAS = "alias AS (SELECT id, id - 1 AS canonical FROM person WHERE id % 6 = 1)"
