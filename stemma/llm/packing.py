@@ -6,7 +6,8 @@ remainders is a cutting-stock problem: a linear program chooses how often each
 pattern (a multiset of lengths that fits one sequence) is used, and an
 unbounded knapsack, solved by dynamic programming over the dual prices, finds
 new columns and proves the bound. It goes on until no plan of whole sequences
-could have fewer, or the bound is met within ``gap``. The program's size
+could have fewer, or the bound is met within ``gap``; within one sequence of the
+bound ``LAST`` pricings are enough, since rounding costs more than that. The program's size
 depends on the sequence length alone (at most size - 1 lengths), never on the
 number of documents. It starts from patterns that take the longest lengths
 first: these are near the bound already, and starting from one column per
@@ -24,6 +25,7 @@ last one into powers of two; only their documents are cut inside a remainder.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import zlib
@@ -37,8 +39,8 @@ from .common import materialise, table, text_slices
 
 SIZE = 2048
 END = 1
-#: The program stops within this fraction of its proven bound.
-GAP = 1e-5
+#: The program stops within this fraction of its proven bound; or, once it is within one sequence of it, after so many pricings.
+GAP, LAST = 1e-5, 200
 #: Share of a sequence that may be padding.
 PADDING = 0.01
 #: Columns that are taken from one solution of the knapsack, at most.
@@ -206,13 +208,13 @@ def solve(lengths: list[int], counts: list[int], size: int, gap: float = GAP, st
     inverse = np.linalg.inv(basis)
     uneven = b * (1 + 1e-6 * np.random.default_rng(0).random(m))
     x, y, bound = np.maximum(inverse @ uneven, 0), inverse.sum(axis=0), float(w @ b) / size
-    while True:
+    for round_ in itertools.count():
         use = np.flatnonzero(y > 1e-12)
         best, took = knapsack(w[use], y[use], size)
         # The prices over the best pattern's value are a feasible dual solution.
         bound = max(bound, float(np.maximum(y, 0) @ b) / max(best[size], 1.0))
         z = x.sum()
-        if best[size] <= 1 + 1e-9 or z <= bound * (1 + gap) or math.ceil(z * (1 - 2e-6)) <= math.ceil(bound - 1e-9):
+        if best[size] <= 1 + 1e-9 or z <= bound * (1 + gap) or math.ceil(z * (1 - 2e-6)) <= math.ceil(bound - 1e-9) or (z < bound + 1 and round_ >= LAST):
             break
         value = y[use] + best[size - w[use]]
         entered = 0
