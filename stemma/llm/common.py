@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemma.plans.stages import fresh_path, materialise, shared_dir  # noqa: F401
+
 #: The white space that the text contracts name: space and U+0009 to U+000D.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,33 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local one is set only where the session names none, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        got = spark.sparkContext.getCheckpointDir()
-        if not got:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="stemma-"))
-            got = spark.sparkContext.getCheckpointDir()
-        where = got
-    return where.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; the file system drops it when the application ends."""
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs no earlier work."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(col):
     return F.translate(col, UPPER, LOWER)
 
