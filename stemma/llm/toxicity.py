@@ -39,8 +39,10 @@ LABELLED = 60_000
 ROWS = 1 << 23
 #: Symbols of the window.
 WINDOW = 24
-#: Bits of a symbol in a key (a code point has 21), and slots of what a worker remembers.
-_BITS, _SLOTS = 21, 1 << 21
+#: Bits of a symbol in a key (a code point has 21), and of the number of slots of what a worker remembers.
+_BITS, _SLOT_BITS = 21, 19
+#: Bytes of the texts, and characters or symbols of one long text, that are worked on at a time: some hundred bytes each.
+_SLICE = _PIECE = 1 << 18
 #: Code point -> 0 other, 1 letter, 2 white space, 3 the mark between texts (a surrogate, which no text holds).
 _KIND: list = []
 _MARK = 0xD800
@@ -59,13 +61,26 @@ def symbols(texts: list[str | None]):
                 kind[c] = 2
         kind[_MARK] = 3
         _KIND.append(kind)
-    mark = chr(_MARK) * 2
-    code = np.frombuffer("".join(f"{mark} {(t or '').lower()} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = _KIND[0][code]
-    code, kind = code[kind > 0].astype(np.int64), kind[kind > 0]
-    code[kind == 3], code[kind == 2] = 0, 32
-    space = kind == 2
-    return code[~(space & np.r_[False, space[:-1]])]
+    mark, parts, after_space = chr(_MARK) * 2, [], False
+    text = "".join(f"{mark} {(t or '').lower()} " for t in texts)
+    for lo in range(0, len(text), _PIECE):
+        code = np.frombuffer(text[lo : lo + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = _KIND[0][code]
+        code, kind = code[kind > 0], kind[kind > 0]
+        code[kind == 3], code[kind == 2] = 0, 32
+        space = kind == 2
+        if len(kind):
+            parts.append(code[~(space & np.r_[after_space, space[:-1]])])
+            after_space = bool(space[-1])
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def _contexts(code):
+    """The context of every symbol from the fourth on."""
+    import numpy as np
+
+    code = code.astype(np.int64)
+    return code[:-3] << 2 * _BITS | code[1:-2] << _BITS | code[2:-1]
 
 
 def sequences(texts: list[str | None]):
@@ -73,9 +88,20 @@ def sequences(texts: list[str | None]):
     import numpy as np
 
     code = symbols(texts)
-    at = np.flatnonzero((code != 0) & (np.r_[0, code[:-1]] != 0))
-    context = code[at - 3] << 2 * _BITS | code[at - 2] << _BITS | code[at - 1]
-    return context, code[at], (np.cumsum(code == 0) // 2 - 1)[at]
+    if len(code) < 4:
+        return (np.zeros(0, np.int64),) * 3
+    at = 3 + np.flatnonzero((code[3:] != 0) & (code[2:-1] != 0))
+    return _contexts(code)[at - 3], code[at].astype(np.int64), (np.cumsum(code == 0) // 2 - 1)[at]
+
+
+def _long(text: str, overlap: int) -> Iterator:
+    """Contexts and next symbols of one long text, by pieces, each with the ``overlap`` symbols before it."""
+    import numpy as np
+
+    code = symbols([text])
+    for lo in range(3, len(code), _PIECE):
+        piece = code[max(3, lo - overlap) - 3 : lo + _PIECE]
+        yield _contexts(piece), piece[3:].astype(np.int64)
 
 
 class _Memory:
@@ -84,14 +110,15 @@ class _Memory:
     def __init__(self):
         import numpy as np
 
-        self.context, self.symbol, self.value = np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS)
+        n = 1 << _SLOT_BITS
+        self.context, self.symbol, self.value = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.zeros(n)
 
     def look(self, context, symbol):
         """The slot of each sequence and whether it holds that sequence."""
         import numpy as np
 
         key = (context ^ symbol << 40).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        slot = ((key ^ key >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(43)).astype(np.int64)
+        slot = ((key ^ key >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         return slot, (self.context[slot] == context) & (self.symbol[slot] == symbol)
 
     def keep(self, slot, context, symbol, value=0.0):
@@ -118,24 +145,31 @@ def _counts(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     seen, names = _Memory(), ["context", "symbol", "plain", "toxic"]
+
+    def counted(context, symbol, label):
+        slot, known = seen.look(context, symbol)
+        c, s = context[~known], symbol[~known]
+        order, head = _distinct(c, s)
+        c, s = c[order][head], s[order][head]
+        seen.keep(slot[~known][order][head], c, s)
+        none = np.zeros(len(c), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c, s, none, none)], names)
+        c, s, y = context[label >= 0], symbol[label >= 0], label[label >= 0] > 0
+        if len(c):
+            order, head = _distinct(c, s)
+            toxic = np.add.reduceat(y[order].astype(np.int64), head)
+            plain = np.diff(np.r_[head, len(c)]) - toxic
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[order][head], s[order][head], plain, toxic)], names)
+
     for batch in batches:
         labels = np.array([-1 if y is None else y for y in batch.column(1).to_pylist()], np.int64)
-        for lo, hi, texts in text_slices(batch.column(0)):
-            context, symbol, doc = sequences(texts)
-            slot, known = seen.look(context, symbol)
-            c, s = context[~known], symbol[~known]
-            order, head = _distinct(c, s)
-            c, s = c[order][head], s[order][head]
-            seen.keep(slot[~known][order][head], c, s)
-            none = np.zeros(len(c), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c, s, none, none)], names)
-            label = labels[lo:hi][doc]
-            c, s, y = context[label >= 0], symbol[label >= 0], label[label >= 0] > 0
-            if len(c):
-                order, head = _distinct(c, s)
-                toxic = np.add.reduceat(y[order].astype(np.int64), head)
-                plain = np.diff(np.r_[head, len(c)]) - toxic
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c[order][head], s[order][head], plain, toxic)], names)
+        for lo, hi, texts in text_slices(batch.column(0), _SLICE):
+            if hi - lo == 1 and len(texts[0] or "") > _PIECE:
+                for context, symbol in _long(texts[0], 0):
+                    yield from counted(context, symbol, np.full(len(context), labels[lo]))
+            else:
+                context, symbol, doc = sequences(texts)
+                yield from counted(context, symbol, labels[lo:hi][doc])
 
 
 def _discount(once: int | None, twice: int | None) -> float:
@@ -228,7 +262,17 @@ class Model:
         import numpy as np
 
         out = np.zeros(len(column))
-        for lo, hi, texts in text_slices(column):
+        for lo, hi, texts in text_slices(column, _SLICE):
+            if hi - lo == 1 and len(texts[0] or "") > _PIECE:
+                peaks, short = [], 0.0
+                for context, symbol in _long(texts[0], WINDOW - 1):
+                    upto = np.r_[0, np.cumsum(self.ratios(context, symbol, memory))]
+                    if len(upto) > WINDOW:
+                        peaks.append((upto[WINDOW:] - upto[:-WINDOW]).max())
+                    elif not peaks:
+                        short = upto[-1]
+                out[lo] = max(peaks, default=short) / WINDOW
+                continue
             context, symbol, doc = sequences(texts)
             r = self.ratios(context, symbol, memory)
             n = np.bincount(doc, minlength=hi - lo)

@@ -599,3 +599,25 @@ def test_cascade_is_exact(spark):
     assert got.exceptAll(listed).count() == 0 and listed.exceptAll(got).count() == 0
     with pytest.raises(ValueError):
         url_filter.build_cascade(listed, universe, max_words=1)
+
+
+def test_long_texts_by_pieces_are_as_whole_ones(monkeypatch):
+    """The same symbols, and the same peak, for pieces of any size."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Plain(toxicity.Model):
+        def __init__(self):
+            pass
+
+        def ratios(self, context, symbol, memory):
+            return (context % 1009 + symbol % 13) / 1000 - 0.5
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc  ,9é\n") for _ in range(n)) for n in (0, 5, 100, 2999, 3000, 3001, 9000)] + ["1" * 5000 + "ab", "9" * 5000]
+    symbols, peaks = toxicity.symbols(texts), Plain().features(pa.array(texts), None)
+    monkeypatch.setattr(toxicity, "_PIECE", 1000)
+    monkeypatch.setattr(toxicity, "_SLICE", 1)
+    assert (toxicity.symbols(texts) == symbols).all() and np.allclose(Plain().features(pa.array(texts), None), peaks)
