@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import ann, exact_dedup, language_id, mixing, packing, prefix_trie, simhash, spelling, token_counts, toxicity, url_filter, warc
+from . import ann, exact_dedup, language_id, main_text, mixing, packing, prefix_trie, simhash, spelling, token_counts, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash": simhash.op9_simhash,
     "op10_url_filters": url_filter.op10_url_filters,
+    "op11_main_text": main_text.op11_main_text,
     "op12_spelling": spelling.op12_spelling,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
