@@ -90,11 +90,17 @@ def same_as_collapse(spark, d):
     return A.collapse(people, groups, A.validate_groups(groups, people, _parents(spark, d)))
 
 
+def identity_cycles(spark, d):
+    media = role(spark, d, "media")
+    ties = media.where("id % 4 <> 1").select(F.col("id").alias("child"), F.expr("id - id % 10 + (id * 3 + 1) % 10").alias("parent"))
+    return A.identity_cycles(A.same_as_groups(_same(spark, d), media), ties)
+
+
 def partner_limit(spark, d):
     return A.partner_limit(role(spark, d, "member"), 25)
 
 
-QUERIES = {f.__name__: f for f in (parent_edges, family_unions, family_edges, family_model, siblings, lineage_paths, effective_surnames, ancestors, relationships, living_roster, generation_neighbours, same_as_groups, same_as_verdicts, same_as_collapse, partner_limit)}
+QUERIES = {f.__name__: f for f in (parent_edges, family_unions, family_edges, family_model, siblings, lineage_paths, effective_surnames, ancestors, relationships, living_roster, generation_neighbours, same_as_groups, same_as_verdicts, same_as_collapse, identity_cycles, partner_limit)}
 
 _EDGE = "edge AS (SELECT DISTINCT child, unnest([father, mother]) AS parent, confidence FROM parent_child), e AS (SELECT * FROM edge WHERE parent <> child)"
 _ANC = """up AS (SELECT child AS id, parent AS ancestor, 1 AS depth FROM e UNION SELECT up.id, e.parent, depth + 1 FROM up JOIN e ON e.child = up.ancestor),
@@ -181,5 +187,9 @@ SELECT id, (SELECT count(*) FROM m b WHERE b.s = m.s AND b.l IS NOT DISTINCT FRO
     "same_as_collapse": sql("media", f"""{_GROUP}, {_VERDICT}, ok AS (SELECT member, canonical FROM groups JOIN verdict USING (component) WHERE groups.reason IS NULL AND verdict.reason IS NULL),
 r AS (SELECT being.*, coalesce(canonical, id) AS to_, (CASE WHEN coalesce(canonical, id) = id THEN '0' ELSE '1' END) || id AS o FROM being LEFT JOIN ok ON ok.member = id)
 SELECT to_ AS id, arg_min(name, o) AS name, arg_min(born, o) AS born, arg_min(died, o) AS died, arg_min(sex, o) AS sex, bool_or(private) AS private, count(*) AS n_merged FROM r GROUP BY to_""", True),
+    "identity_cycles": sql("media", f"""{_GROUP}, to_ AS (SELECT member, canonical FROM groups WHERE canonical IS NOT NULL),
+arc AS (SELECT DISTINCT coalesce(c.canonical, t.child) AS x, coalesce(p.canonical, t.parent) AS y FROM (SELECT id AS child, id - id % 10 + (id * 3 + 1) % 10 AS parent FROM media WHERE id % 4 <> 1) t LEFT JOIN to_ c ON c.member = t.child LEFT JOIN to_ p ON p.member = t.parent),
+far AS (SELECT x, y FROM arc UNION SELECT far.x, arc.y FROM far JOIN arc ON arc.x = far.y)
+SELECT a.x AS node, min(a.y) AS cycle FROM far a JOIN far b ON b.x = a.y AND b.y = a.x GROUP BY a.x""", True),
     "partner_limit": sql("member", "SELECT family_id, count(DISTINCT person_id) AS n FROM member WHERE role = 'partner' GROUP BY family_id HAVING count(DISTINCT person_id) > 25"),
 }

@@ -6,11 +6,13 @@ over frontiers of new pairs and cut their lineage in the shared folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stemma.plans.stages import closure, components, keep_first, materialise
+from stemma.plans.stages import closure, components, cycles, keep_first, materialise
 
 # Confidence from weak to strong.
 CONFIDENCE = {"omstridt": 0, "formodet": 1, "sandsynlig": 2, "sikker": 3}
@@ -207,13 +209,21 @@ def same_as_groups(edges: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(sums.withColumn("reason", reason), "component").select("component", F.col("node").alias("member"), F.when(F.col("reason").isNull(), F.col("sink")).alias("canonical"), "reason")
 
 
-def validate_groups(groups: DataFrame, person: DataFrame, edges: DataFrame, spread: int = 80) -> DataFrame:
+def _renamed(rows: DataFrame, column: str, to: DataFrame) -> DataFrame:
+    """rows with the identity (to: id, to) in place of the ids of a column."""
+    names = to.select(F.col("id").alias(column), F.col("to").alias("_to"))
+    return rows.join(names, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+
+
+def validate_groups(groups: DataFrame, person: DataFrame, edges: DataFrame, spread: int = 80, unions: DataFrame | None = None) -> DataFrame:
     """component, reason (null: accepted), to a fixpoint.
 
     A group is rejected for sexes that differ, a birth after a death (by more
     than a year), births more than spread years apart, different known parents,
-    or a member that becomes its own parent. Parents are compared under the
-    groups accepted so far, so rounds go on until none is rejected.
+    a member that becomes its own parent or, by unions (p1, p2), its own partner,
+    or a place on a cycle of parents, which may run through other groups and
+    through persons of no group. All are judged under the groups accepted so
+    far, so rounds go on until none is rejected.
     """
     facts = person.select(F.col("id").alias("member"), "sex", "born", "died")
     known = materialise(groups.where("reason IS NULL").select("component", "member", "canonical").join(facts, "member", "left"), "groups")
@@ -229,12 +239,27 @@ def validate_groups(groups: DataFrame, person: DataFrame, edges: DataFrame, spre
         sets = e.groupBy("component", "child").agg(F.array_join(F.array_sort(F.collect_set("p2")), ",").alias("set"), F.max(F.col("c2") == F.col("p2")).alias("loop"))
         new = sets.groupBy("component").agg(F.count_distinct("set").alias("sets"), F.max("loop").alias("loop"))
         new = new.select("component", F.when(F.col("sets") > 1, "forældre").when(F.col("loop"), "egen forælder").alias("now"))
+        to = materialise(canon.select("id", "to"), "identities")
+        arcs = _renamed(_renamed(edges.select("child", "parent"), "child", to), "parent", to)
+        ring = cycles(arcs.where("child <> parent"), "child", "parent").select(F.col("node").alias("to"))
+        faults = [canon.join(ring, "to", "left_semi").select("component", F.lit("kreds").alias("fault"))]
+        if unions is not None:
+            pairs = _renamed(_renamed(unions.select("p1", "p2"), "p1", to), "p2", to).where("p1 = p2").select(F.col("p1").alias("to"))
+            faults.append(canon.join(pairs, "to", "left_semi").select("component", F.lit("egen ægtefælle").alias("fault")))
+        more = reduce(DataFrame.unionByName, faults).groupBy("component").agg(F.min("fault").alias("fault"))
+        new = new.join(more, "component", "full").select("component", F.coalesce("now", "fault").alias("now"))
         joined = materialise(verdict.join(new, "component", "left").select("component", F.coalesce("reason", "now").alias("reason"), (F.col("reason").isNull() & F.col("now").isNotNull()).alias("new")), "verdicts")
         verdict = joined.select("component", "reason")
         if joined.where("new").isEmpty():
             return verdict
 
 
+def identity_cycles(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, cycle: identities on a cycle of parents once the groups with a canonical member are merged, with the smallest identity of the cycle's component; an identity that is its own parent too."""
+    to = groups.where("canonical is not null").select(F.col("member").alias("id"), F.col("canonical").alias("to"))
+    return cycles(_renamed(_renamed(edges.select("child", "parent"), "child", to), "parent", to), "child", "parent")
+
+
 def collapse(person: DataFrame, groups: DataFrame, verdict: DataFrame) -> DataFrame:
     """One row per identity: the canonical row's values, else the others' by the text order of their ids; private if one is."""
     ok = groups.where("reason IS NULL").join(verdict.where("reason IS NULL").select("component"), "component", "left_semi").select(F.col("member").alias("id"), "canonical")

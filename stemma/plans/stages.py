@@ -103,6 +103,55 @@ def closure(edges: DataFrame, start: str, end: str, max_depth: int = 50, sources
         found = found.unionByName(frontier)
 
 
+def _spread(colour: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, c: every node's least c among those that reach it along pairs (x, y), itself included."""
+    while True:
+        told = pairs.join(colour.withColumnRenamed("node", "x"), "x").groupBy(F.col("y").alias("node")).agg(F.min("c").alias("told"))
+        new = materialise(colour.join(told, "node", "left").select("node", F.least("c", "told").alias("c"), (F.col("told") < F.col("c")).alias("less")), "colours")
+        colour = new.select("node", "c")
+        if new.where("less").isEmpty():
+            return colour
+
+
+def cycles(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """node, cycle for every node on a directed cycle; cycle is the smallest node of its strongly connected component.
+
+    Edges whose start has no edge in, or whose end has none out, are trimmed
+    until none is left to trim, a layer from both sides a round. What remains is
+    coloured forward by the least node that reaches each node; the nodes of a
+    colour that reach its namesake are a component. They go, and so on. Edges
+    with a null end lie on no cycle.
+    """
+    e = materialise(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null").distinct(), "arcs")
+    loops = e.where("x = y").select(F.col("x").alias("node"), F.col("x").alias("cycle"))
+    rest, found = e.where("x <> y"), loops.where("false")
+    while True:
+        size = rest.count()
+        while size:
+            kept = rest.join(rest.select(F.col("y").alias("x")).distinct(), "x", "left_semi").join(rest.select(F.col("x").alias("y")).distinct(), "y", "left_semi")
+            rest = materialise(kept.select("x", "y"), "arcs")
+            now = rest.count()
+            if now == size:
+                break
+            size = now
+        if not size:
+            break
+        nodes = rest.select(F.col("x").alias("node")).distinct()
+        colour = _spread(nodes.select("node", F.col("node").alias("c")), rest)
+        one = rest.join(colour.select(F.col("node").alias("x"), F.col("c").alias("cx")), "x").join(colour.select(F.col("node").alias("y"), F.col("c").alias("cy")), "y").where("cx = cy")
+        one = materialise(one.select("x", "y"), "colour-arcs")
+        # Backwards from the namesakes: 0 spreads, all others start at 1.
+        back = _spread(colour.select("node", F.when(F.col("node") == F.col("c"), 0).otherwise(1).alias("c")), one.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        ring = colour.withColumnRenamed("c", "cycle").join(back.where("c = 0").select("node"), "node", "left_semi")
+        ring = materialise(ring, "rings")
+        found = found.unionByName(ring)
+        rest = rest.join(ring.select(F.col("node").alias("x")), "x", "left_anti").join(ring.select(F.col("node").alias("y")), "y", "left_anti")
+        rest = materialise(rest, "arcs")
+    # A node that was a component by itself is on a cycle only if it has a loop.
+    wide = found.join(found.groupBy("cycle").agg(F.count("*").alias("n")).where("n > 1").select("cycle"), "cycle", "left_semi").select("node", "cycle")
+    return wide.unionByName(loops.join(wide, "node", "left_anti")).distinct()
+
+
 def keep_first(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key in the given order (a distinct-on)."""
     return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")

@@ -248,3 +248,35 @@ def test_jaro_winkler_by_the_definition():
         for p in (0.0, 0.1):
             assert linkage.jaro_winkler(a, b, p) == plain(a, b, p)
     assert linkage.jaro_winkler("abcdef", "bcadef", 0.0) == pytest.approx(0.9167, abs=1e-4)
+
+
+def test_cycles_agree_with_reachability(spark):
+    import random
+
+    from stemma.plans.stages import cycles
+
+    rng = random.Random(5)
+    arcs, base = [], 0
+    for _ in range(25):
+        n = rng.randrange(2, 9)
+        arcs += [(base + rng.randrange(n), base + rng.randrange(n)) for _ in range(rng.randrange(1, 2 * n))]
+        base += n
+    far = set(arcs)
+    while True:
+        more = far | {(a, d) for a, b in far for c, d in arcs if b == c}
+        if more == far:
+            break
+        far = more
+    want = {(x, min(y for y in range(base) if (x, y) in far and (y, x) in far)) for x in range(base) if (x, x) in far}
+    df = spark.createDataFrame([*arcs, (None, 1), (1, None)], "a long, b long")
+    assert {tuple(r) for r in cycles(df, "a", "b").collect()} == want
+    assert cycles(df.where("false"), "a", "b").count() == 0
+
+
+def test_groups_on_a_cycle_of_parents_and_self_spouses_are_rejected(spark):
+    groups = spark.createDataFrame([(1, 1, 2, None), (1, 2, 2, None), (3, 3, 4, None), (3, 4, 4, None), (5, 5, 5, None), (5, 6, 5, None), (7, 7, 7, None), (7, 8, 7, None)], "component long, member long, canonical long, reason string")
+    person = spark.range(1, 12).selectExpr("id", "cast(null as string) sex", "cast(null as int) born", "cast(null as int) died")
+    # 1 -> 3 and 4 -> 9 -> 2 close a ring over two groups and a person; 5 hangs below it, innocent; 7 and 8 are a couple.
+    edges = spark.createDataFrame([(1, 3), (4, 9), (9, 2), (5, 1)], "child long, parent long")
+    unions = spark.createDataFrame([(7, 8), (5, 10)], "p1 long, p2 long")
+    assert rows(family.validate_groups(groups, person, edges, unions=unions)) == [(1, "kreds"), (3, "kreds"), (5, None), (7, "egen ægtefælle")]
