@@ -2,8 +2,8 @@
 
 Frames to be linked have id, name_key, birth_min, birth_max, death_min,
 death_max and sex. Candidates meet by an equal block (the first letter of the
-key) and a common band of years; a hot one is a skewed equi-join, which
-adaptive execution splits.
+key) and a common band of years, as classes of equal records; a hot class is a
+skewed equi-join, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -135,19 +135,35 @@ def candidates(a: DataFrame, b: DataFrame, cfg: Config = Config(), similarity: C
     An empty key matches nothing. Years only exclude where a's are known; a
     candidate without years stays. unique_block counts all candidates above the
     name floor, before the top is taken.
+
+    Records with the same key, years and sex are one class. Keys that share a
+    block and a band are compared once, classes of similar keys are scored once,
+    and a class stands for its first ids, as many as can reach the top: so work
+    grows with the classes, and with the records only by their own candidates.
     """
-    cols = ["id", "name_key", "birth_min", "birth_max", "death_min", "death_max", "sex"]
-    left = a.where("name_key <> ''").select(F.substring("name_key", 1, 1).alias("block"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = b.where("name_key <> ''").select(F.substring("name_key", 1, 1).alias("block"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    cols = ["name_key", "birth_min", "birth_max", "death_min", "death_max", "sex"]
+    side = lambda df, s: df.where("name_key <> ''").select(F.substring("name_key", 1, 1).alias("block"), F.col("id").alias(f"{s}_id"), *[F.col(x).alias(f"{s}_{x}") for x in cols])
+    of_a, of_b = [f"a_{x}" for x in cols], [f"b_{x}" for x in cols]
     c = F.col
+    keep = max(2, cfg.top)  # two at least, until it is known whether there is one only
+    records = side(a, "a")
+    # Few bytes make many pairs: adaptive execution would leave the classes to one task.
+    spread = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = materialise(records.select("block", *of_a).distinct().repartition(spread).withColumn("_a", F.monotonically_increasing_id()), "classes")
+    firsts = side(b, "b").distinct().withColumn("_r", F.row_number().over(Window.partitionBy(*of_b).orderBy("b_id"))).where(c("_r") <= keep)
+    right = materialise(firsts.groupBy("block", *of_b).agg(F.array_sort(F.collect_list("b_id")).alias("_ids")), "classes")
+
     w = F.lit(cfg.year_window)
     near = overlaps(c("a_birth_min") - w, c("a_birth_max") + w, c("b_birth_min"), c("b_birth_max"))
     # a with known years meets b by bands, once at their first common one, and all b without; a without known years meets every b.
     first = lambda y: F.floor(y / F.lit(cfg.band)).cast("int")
-    left = left.withColumn("band", F.explode(_bands(c("a_birth_min") - w, c("a_birth_max") + w, "open", "every", None, cfg.band)))
-    right = right.withColumn("band", F.explode(_bands(c("b_birth_min"), c("b_birth_max"), "", "open", "every", cfg.band)))
+    left_at = left.withColumn("band", F.explode(_bands(c("a_birth_min") - w, c("a_birth_max") + w, "open", "every", None, cfg.band)))
+    right_at = right.withColumn("band", F.explode(_bands(c("b_birth_min"), c("b_birth_max"), "", "open", "every", cfg.band)))
     once = ~c("band").startswith("b") | (c("band") == F.concat(F.lit("b"), F.greatest(first(c("a_birth_min") - w), first(c("b_birth_min"))).cast("string")))
-    pairs = left.join(right, ["block", "band"]).where(once & near).drop("band").withColumn("name_sim", similarity(c("a_name_key"), c("b_name_key"))).where(c("name_sim") >= cfg.name_floor)
+    meet = left_at.select("block", "band", "a_name_key").distinct().join(right_at.select("block", "band", "b_name_key").distinct(), ["block", "band"])
+    names = meet.select("a_name_key", "b_name_key").distinct().withColumn("name_sim", similarity(c("a_name_key"), c("b_name_key"))).where(c("name_sim") >= cfg.name_floor)
+    names = materialise(names, "names")
+    pairs = left_at.drop("block").join(names, "a_name_key").join(right_at.drop("block"), ["b_name_key", "band"]).where(once & near)
 
     def both(what: str) -> tuple[Column, Column]:
         lo, hi = (lambda s: c(f"{s}_{what}_min")), (lambda s: c(f"{s}_{what}_max"))
@@ -157,14 +173,19 @@ def candidates(a: DataFrame, b: DataFrame, cfg: Config = Config(), similarity: C
     (birth_known, birth_eq), (death_known, death_eq) = both("birth"), both("death")
     sex_known = (c("a_sex") != "ukendt") & (c("b_sex") != "ukendt")
     rows = pairs.select(
-        c("a_id"), c("b_id"), "name_sim", birth_eq.alias("birth_eq"), death_eq.alias("death_eq"), ((c("a_sex") == c("b_sex")) & sex_known).alias("sex_eq"),
+        "_a", "_ids", "name_sim", birth_eq.alias("birth_eq"), death_eq.alias("death_eq"), ((c("a_sex") == c("b_sex")) & sex_known).alias("sex_eq"),
         birth_known.alias("birth_known"), death_known.alias("death_known"), sex_known.alias("sex_known"))
-    per = Window.partitionBy("a_id")
+    per = Window.partitionBy("_a")
     plain = score(Config(**{**cfg.__dict__, "normalised": False}))
-    # Two rows at least are kept until it is known whether there is one only; the limit is applied before the shuffle.
-    rows = rows.withColumn("_r", F.row_number().over(per.orderBy(F.desc(plain), "b_id"))).where(c("_r") <= max(2, cfg.top))
-    rows = rows.withColumn("unique_block", F.count("*").over(per) == 1)
-    return rows.where(c("_r") <= cfg.top).drop("_r")
+    # Of classes in the order of score and first id, those after the top add no candidate; the limit is applied before the shuffle.
+    rows = rows.withColumn("_r", F.row_number().over(per.orderBy(F.desc(plain), c("_ids")[0]))).where(c("_r") <= keep)
+    rows = rows.withColumn("unique_block", (F.count("*").over(per) == 1) & (F.size("_ids") == 1)).withColumn("b_id", F.explode("_ids"))
+    rows = rows.withColumn("_r", F.row_number().over(per.orderBy(F.desc(plain), "b_id"))).where(c("_r") <= cfg.top).drop("_r", "_ids")
+    same = c("r.a_name_key") == c("k.a_name_key")
+    for x in of_a[1:]:
+        same = same & c(f"r.{x}").eqNullSafe(c(f"k.{x}"))
+    own = records.alias("r").join(left.alias("k"), same).select("a_id", "_a")
+    return own.join(rows, "_a").select("a_id", "b_id", *[x for x in rows.columns if x not in ("_a", "b_id")])
 
 
 def assign_tiers(scored: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -136,6 +136,30 @@ def test_similar_keys_lose_no_pair(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_candidates_by_classes_keep_the_first_ids(spark):
+    """Equal records are one class: the top ten and whether a candidate is the only one are those of the records."""
+    import random
+
+    rng = random.Random(7)
+    rows = lambda n: [(i, rng.choice(["anna", "anne", "bodil"]), *[rng.choice([None, 1700])] * 2, None, None, rng.choice(["m", "ukendt"])) for i in rng.sample(range(900), n)]
+    schema = "id long, name_key string, birth_min int, birth_max int, death_min int, death_max int, sex string"
+    left, right = rows(40), rows(300) + [(5000, "carl", 1700, 1700, None, None, "m")]
+    left.append((5001, "carl", 1700, 1700, None, None, "m"))
+    cfg = linkage.Config(top=3)
+    got = {(r["a_id"], r["b_id"], r["unique_block"]) for r in linkage.candidates(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), cfg).collect()}
+
+    def points(x, y):
+        born = x[2] is not None and y[2] is not None
+        sex = x[6] == y[6] != "ukendt"
+        return round(cfg.name * linkage.jaro_winkler(x[1], y[1]) + cfg.birth * born + cfg.sex * sex, 9)
+
+    want = set()
+    for x in left:
+        all_ = [y for y in right if y[1][0] == x[1][0] and linkage.jaro_winkler(x[1], y[1]) >= cfg.name_floor]
+        want |= {(x[0], y[0], len(all_) == 1) for y in sorted(all_, key=lambda y: (-points(x, y), y[0]))[:3]}
+    assert got == want and (5001, 5000, True) in got
+
+
 def test_candidates_by_bands_lose_no_pair(spark):
     import random
 
