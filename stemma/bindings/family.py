@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stemma.operators import family as A
+from stemma.operators import whatif
 
 from .tables import role, sql
 
@@ -96,11 +97,18 @@ def identity_cycles(spark, d):
     return A.identity_cycles(A.same_as_groups(_same(spark, d), media), ties)
 
 
+def same_as_whatif(spark, d):
+    """Every document with a later one: would its identity stand if this were the one link added?"""
+    media = role(spark, d, "media")
+    pairs = media.select(F.col("id").alias("alias"), (F.col("id") + 1 + F.col("id") % 6).alias("canonical"))
+    return whatif.what_if(pairs, _same(spark, d), media, _beings(spark, d), _parents(spark, d))
+
+
 def partner_limit(spark, d):
     return A.partner_limit(role(spark, d, "member"), 25)
 
 
-QUERIES = {f.__name__: f for f in (parent_edges, family_unions, family_edges, family_model, siblings, lineage_paths, effective_surnames, ancestors, relationships, living_roster, generation_neighbours, same_as_groups, same_as_verdicts, same_as_collapse, identity_cycles, partner_limit)}
+QUERIES = {f.__name__: f for f in (parent_edges, family_unions, family_edges, family_model, siblings, lineage_paths, effective_surnames, ancestors, relationships, living_roster, generation_neighbours, same_as_groups, same_as_verdicts, same_as_collapse, identity_cycles, same_as_whatif, partner_limit)}
 
 _EDGE = "edge AS (SELECT DISTINCT child, unnest([father, mother]) AS parent, confidence FROM parent_child), e AS (SELECT * FROM edge WHERE parent <> child)"
 _ANC = """up AS (SELECT child AS id, parent AS ancestor, 1 AS depth FROM e UNION SELECT up.id, e.parent, depth + 1 FROM up JOIN e ON e.child = up.ancestor),
