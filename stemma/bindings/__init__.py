@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evidence, feed, family, linkage, media, readmodel, visibility
+from . import evidence, feed, family, linkage, media, readmodel, routes, visibility
 
-_MODULES = (evidence, visibility, family, linkage, media, feed, readmodel)
+_MODULES = (evidence, visibility, family, linkage, media, feed, readmodel, routes)
 
 
 def queries() -> dict:
