@@ -17,6 +17,7 @@ from stemma.plans.stages import materialise
 
 from . import evidence as E
 from .tables import read, role, sql
+from .visibility import person_relations
 
 
 def _visible(spark, d):
@@ -43,13 +44,13 @@ def visible_events(spark, d):
 
 def visible_conclusions(spark, d):
     rows = role(spark, d, "conclusion").withColumn("target_type", F.element_at(F.array(F.lit("fact"), F.lit("relation"), F.lit("note")), (F.col("target_id") % 3 + 1).cast("int")))
-    return V.visible_targets(rows, _facts(spark, d), V.visible_relations(role(spark, d, "relation"), role(spark, d, "person")))
+    return V.visible_targets(rows, _facts(spark, d), V.visible_relations(person_relations(spark, d), {"person": V.visible_persons(role(spark, d, "person"))}))
 
 
 def visible_notes(spark, d):
     kind = F.element_at(F.array(*[F.lit(x) for x in ("fact", "relation", "person", "place", "secret")]), (F.col("id") % 5 + 1).cast("int"))
     note = role(spark, d, "relation").select("id", kind.alias("target_type"), F.when(F.col("id") % 5 == 2, F.col("subject_id")).otherwise(F.col("id")).alias("target_id"), F.when(F.col("id") % 11 == 0, True).alias("private"))
-    return V.visible_notes(note, _facts(spark, d), V.visible_relations(role(spark, d, "relation"), role(spark, d, "person")), _visible(spark, d))
+    return V.visible_notes(note, _facts(spark, d), V.visible_relations(person_relations(spark, d), {"person": V.visible_persons(role(spark, d, "person"))}), _visible(spark, d))
 
 
 def visible_stories(spark, d):

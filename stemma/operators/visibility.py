@@ -42,17 +42,17 @@ def visible_entities(refs: DataFrame, visible: dict[str, DataFrame], type_col: s
     return open_ if keys is None else open_.unionByName(rest.join(keys.distinct(), [type_col, id_col], "left_semi"))
 
 
-def visible_evidence(fact: DataFrame, claim: DataFrame, citation: DataFrame, person: DataFrame) -> DataFrame:
-    """Citations of claims about facts about visible persons: id, claim_id, fact_id."""
-    facts = fact.where("subject_type = 'person'").join(visible_persons(person).select(F.col("id").alias("subject_id")), "subject_id", "left_semi")
+def visible_evidence(fact: DataFrame, claim: DataFrame, citation: DataFrame, visible: dict[str, DataFrame]) -> DataFrame:
+    """Citations of claims about facts whose subject may be seen, by its type: id, claim_id, fact_id. fact: id, subject_type, subject_id; visible as in ``visible_entities``."""
+    facts = visible_entities(fact, visible, "subject_type", "subject_id")
     claims = claim.where("target_type = 'fact'").join(facts.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     return citation.join(claims.select(F.col("id").alias("claim_id"), F.col("target_id").alias("fact_id")), "claim_id").select("id", "claim_id", "fact_id")
 
 
-def visible_relations(relation: DataFrame, person: DataFrame) -> DataFrame:
-    """Relations of which both ends may be seen."""
-    seen = visible_persons(person)
-    return relation.join(seen.select(F.col("id").alias("subject_id")), "subject_id", "left_semi").join(seen.select(F.col("id").alias("object_id")), "object_id", "left_semi")
+def visible_relations(relation: DataFrame, visible: dict[str, DataFrame]) -> DataFrame:
+    """Relations of which both ends may be seen, each by its own type; a null type hides. relation: subject_type, subject_id, object_type, object_id; visible as in ``visible_entities``."""
+    seen = visible_entities(relation, visible, "subject_type", "subject_id")
+    return visible_entities(seen, visible, "object_type", "object_id").select(*relation.columns)
 
 
 def visible_mentions(mention: DataFrame, visible_media_ids: DataFrame) -> DataFrame:
