@@ -304,3 +304,14 @@ def test_groups_on_a_cycle_of_parents_and_self_spouses_are_rejected(spark):
     edges = spark.createDataFrame([(1, 3), (4, 9), (9, 2), (5, 1)], "child long, parent long")
     unions = spark.createDataFrame([(7, 8), (5, 10)], "p1 long, p2 long")
     assert rows(family.validate_groups(groups, person, edges, unions=unions)) == [(1, "kreds"), (3, "kreds"), (5, None), (7, "egen ægtefælle")]
+
+
+def test_more_than_500_lineages_below_a_root(spark):
+    from stemma.operators import readmodel
+
+    lineage = spark.range(1, 1401).selectExpr("id", "CASE WHEN id > 1 THEN id DIV 2 END AS parent_id")
+    got = rows(readmodel.lineage_descendants(lineage, spark.createDataFrame([(1,), (2,)], "id long")).select("root", "id", "depth"))
+    want = [(r, i, d) for i in range(2, 1401) for d in range(1, 12) for r in [i >> d] if r in (1, 2)]
+    assert got == sorted(want, key=str)
+    with pytest.raises(Exception, match="too many"):
+        readmodel.lineage_descendants(lineage, spark.createDataFrame([(1,)], "id long"), limit=500).collect()
