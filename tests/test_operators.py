@@ -315,3 +315,41 @@ def test_more_than_500_lineages_below_a_root(spark):
     assert got == sorted(want, key=str)
     with pytest.raises(Exception, match="too many"):
         readmodel.lineage_descendants(lineage, spark.createDataFrame([(1,)], "id long"), limit=500).collect()
+
+
+def test_closure_takes_the_least_depth_and_the_smallest_last_step(spark):
+    from stemma.plans.stages import COMPARE_EVERY
+
+    # A chain with a short cut, and a ring: pairs come again at larger depths, before and after a comparison.
+    n = 2 * COMPARE_EVERY + 3
+    arcs = [(i, i + 1) for i in range(n)] + [(0, 5), (2, COMPARE_EVERY + 4), (50, 51), (51, 52), (52, 50), (52, 53), (3, 54), (54, 5)]
+    near = {}
+    for a, b in arcs:
+        near.setdefault(a, set()).add(b)
+    want = []
+    for a in near:
+        seen, level, depth = {}, {a}, 0
+        while level:
+            depth += 1
+            ahead = {}
+            for x in level:
+                for y in near.get(x, ()):
+                    ahead[y] = min(x, ahead.get(y, x))
+            level = {y for y in ahead if y not in seen}
+            seen |= {y: (depth, ahead[y]) for y in level}
+        want += [(a, y, d, x) for y, (d, x) in seen.items()]
+    e = spark.createDataFrame(arcs, "a long, b long")
+    assert rows(closure(e, "a", "b", last=True).select("node", "reached", "depth", "last")) == sorted(want, key=str)
+    some = closure(e, "a", "b", sources=spark.createDataFrame([(1,), (50,)], "id long"))
+    assert rows(some.select("node", "reached", "depth")) == sorted([w[:3] for w in want if w[0] in (1, 50)], key=str)
+    for depth in (COMPARE_EVERY, 2 * COMPARE_EVERY):
+        chain = spark.range(depth).select("id", (F.col("id") + 1).alias("up"))
+        assert closure(chain, "id", "up", max_depth=depth).count() == depth * (depth + 1) // 2
+        with pytest.raises(ValueError):
+            closure(chain, "id", "up", max_depth=depth - 1)
+
+
+def test_closure_does_not_move_all_pairs_at_every_depth(spark):
+    # The plan of the last frames: all found so far are read a few times, not once for each of 20 depths.
+    found = closure(spark.range(20).select("id", (F.col("id") + 1).alias("up")), "id", "up")
+    assert len(found.inputFiles()) > 0 and found._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 4
