@@ -138,18 +138,18 @@ def relationships(pairs: DataFrame, edges: DataFrame, person: DataFrame) -> Data
     n_lines counts the couples. Pairs without a common ancestor are left out.
     """
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    anc = ancestors(edges, of=asked)
-    self_ = asked.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    reach = materialise(anc.unionByName(self_), "reach")
-    common = pairs.select("a", "b").join(reach.select(F.col("id").alias("a"), "ancestor", F.col("depth").alias("d1")), "a")
-    common = materialise(common.join(reach.select(F.col("id").alias("b"), "ancestor", F.col("depth").alias("d2")), ["b", "ancestor"]), "common")
+    # The child of an ancestor on each side's line, the smallest on a shortest one, comes with the closure.
+    anc = closure(edges, "child", "parent", sources=asked, last=True).select(F.col("node").alias("id"), F.col("reached").alias("ancestor"), "depth", "last")
+    reach = anc.unionByName(asked.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.lit(None).cast(anc.schema["last"].dataType).alias("last")))
+    side = lambda who, d, x: reach.select(F.col("id").alias(who), "ancestor", F.col("depth").alias(d), F.col("last").alias(x))
+    common = pairs.select("a", "b").join(side("a", "d1", "xa"), "a")
+    common = materialise(common.join(side("b", "d2", "xb"), ["b", "ancestor"]), "common")
     # If a descendant is common, so is the child on the way to it: one step down tells.
     covered = common.select("a", "b", F.col("ancestor").alias("child")).join(edges.select("child", F.col("parent").alias("ancestor")).distinct(), "child").select("a", "b", "ancestor").distinct()
     near = common.join(covered, ["a", "b", "ancestor"], "left_anti")
-    # The child of the ancestor on each side's line: the smallest on a shortest one.
-    e = edges.select("child", F.col("parent").alias("ancestor")).distinct()
-    step = lambda who, d, out: near.join(e, "ancestor").join(reach.select(F.col("id").alias(who), F.col("ancestor").alias("child"), F.col("depth").alias("_d")), [who, "child"]).where(F.col("_d") == F.col(d) - 1).groupBy("a", "b", "ancestor").agg(F.min("child").alias(out))
-    near = near.join(step("a", "d1", "xa"), ["a", "b", "ancestor"], "left").join(step("b", "d2", "xb"), ["a", "b", "ancestor"], "left")
+    # A person on a cycle is its own ancestor at two distances; both have the child of the longer.
+    same = Window.partitionBy("a", "b", "ancestor")
+    near = near.withColumn("xa", F.min("xa").over(same)).withColumn("xb", F.min("xb").over(same))
     near = materialise(near, "nearest")
     couple = F.when(F.col("xa").isNull() | F.col("xb").isNull(), F.concat(F.lit("s"), F.col("ancestor").cast("string"))).otherwise(F.concat_ws("-", "xa", "xb"))
     lines = near.groupBy("a", "b").agg(F.count_distinct("d1", "d2", couple).alias("n_lines"))
