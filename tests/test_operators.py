@@ -353,3 +353,16 @@ def test_closure_does_not_move_all_pairs_at_every_depth(spark):
     # The plan of the last frames: all found so far are read a few times, not once for each of 20 depths.
     found = closure(spark.range(20).select("id", (F.col("id") + 1).alias("up")), "id", "up")
     assert len(found.inputFiles()) > 0 and found._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 4
+
+
+def test_paths_by_doubling(spark):
+    line = spark.range(1, 41).selectExpr("id", "CASE WHEN id > 1 THEN id - 1 END AS parent_id").union(spark.createDataFrame([(90, 99)], "id long, parent_id long"))
+    want = [(i, list(range(i, 0, -1))) for i in range(1, 41)] + [(90, [90, 99])]
+    df = family.lineage_paths(line)
+    assert rows(df) == sorted(want, key=str)
+    # Forty steps took as many frames; doubling takes eight.
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") <= 8
+    with pytest.raises(Exception, match="deeper"):
+        family.lineage_paths(line, max_depth=39)
+    with pytest.raises(Exception, match="cycle"):
+        family.lineage_paths(spark.createDataFrame([(1, 1)], "id long, parent_id long"))
