@@ -63,7 +63,7 @@ def generation_neighbours(spark, d):
 def _same(spark, d):
     docs = role(spark, d, "media").select("id", "sha")
     first = docs.groupBy("sha").agg(F.min("id").alias("canonical"))
-    copies = docs.join(first, "sha").where("id <> canonical").select(F.col("id").alias("alias"), "canonical")
+    copies = docs.join(first.hint("merge"), "sha").where("id <> canonical").select(F.col("id").alias("alias"), "canonical")
     extra = docs.where("id % 50 = 3").select(F.col("id").alias("alias"), F.when(F.col("id") % 100 == 3, F.col("id") + 7).otherwise(F.col("id") + 1_000_000).alias("canonical"))
     return copies.unionByName(extra)
 

@@ -209,16 +209,16 @@ def same_as_groups(edges: DataFrame, known: DataFrame) -> DataFrame:
     nodes = components(edges, "alias", "canonical")
     is_alias = edges.select(F.col("alias").alias("node")).distinct().withColumn("is_alias", F.lit(True))
     there = known.select(F.col("id").alias("node")).distinct().withColumn("there", F.lit(True))
-    rows = materialise(nodes.join(is_alias, "node", "left").join(there, "node", "left"), "same-as")
+    rows = materialise(nodes.join(is_alias.hint("merge"), "node", "left").join(there.hint("merge"), "node", "left"), "same-as")
     sums = rows.groupBy("component").agg(F.count_if(F.col("is_alias").isNull()).alias("sinks"), F.min(F.when(F.col("is_alias").isNull(), F.col("node"))).alias("sink"), F.count_if(F.col("there").isNull()).alias("unknown"))
     reason = F.when(F.col("unknown") > 0, "ukendt medlem").when(F.col("sinks") != 1, "ikke én kanonisk")
-    return rows.join(sums.withColumn("reason", reason), "component").select("component", F.col("node").alias("member"), F.when(F.col("reason").isNull(), F.col("sink")).alias("canonical"), "reason")
+    return rows.join(sums.withColumn("reason", reason).hint("merge"), "component").select("component", F.col("node").alias("member"), F.when(F.col("reason").isNull(), F.col("sink")).alias("canonical"), "reason")
 
 
 def _renamed(rows: DataFrame, column: str, to: DataFrame) -> DataFrame:
     """rows with the identity (to: id, to) in place of the ids of a column."""
     names = to.select(F.col("id").alias(column), F.col("to").alias("_to"))
-    return rows.join(names, column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+    return rows.join(names.hint("merge"), column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
 
 
 def validate_groups(groups: DataFrame, person: DataFrame, edges: DataFrame, spread: int = 80, unions: DataFrame | None = None) -> DataFrame:

@@ -366,3 +366,18 @@ def test_paths_by_doubling(spark):
         family.lineage_paths(line, max_depth=39)
     with pytest.raises(Exception, match="cycle"):
         family.lineage_paths(spark.createDataFrame([(1, 1)], "id long, parent_id long"))
+
+
+def test_graph_fixpoints_broadcast_nothing(spark, monkeypatch):
+    from stemma.plans import stages
+
+    plans, write = [], stages.materialise
+
+    def noted(df, tag="stage"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag)
+
+    monkeypatch.setattr(stages, "materialise", noted)
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (5, 1)], "a long, b long")
+    assert components(e, "a", "b").count() == 5 and stages.cycles(e, "a", "b").count() == 3
+    assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
