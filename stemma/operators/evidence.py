@@ -91,7 +91,9 @@ def provenance(fact: DataFrame, claim: DataFrame, citation: DataFrame, source: D
     rows = f.join(a, "target_id").join(citation.select("claim_id", "source_id", F.col("page").alias("ref")), "claim_id").join(s, "source_id")
     page = F.coalesce(F.nullif(F.regexp_extract("ref", r"\d+", 0), F.lit("")).cast("long"), F.lit((1 << 62)))
     by = Window.partitionBy("subject_id").orderBy("work", page, "ref")
-    return rows.select("subject_id", "work", "ref").distinct().withColumn("place", F.row_number().over(by).cast("long"))
+    # Equal rows are peers of the sort, and only the first has its rank as its number: no hash table of nearly all rows.
+    placed = rows.select("subject_id", "work", "ref", F.dense_rank().over(by).cast("long").alias("place"), (F.rank().over(by) == F.row_number().over(by)).alias("_first"))
+    return placed.where("_first").drop("_first")
 
 
 def merge_sources(first: DataFrame, second: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -381,3 +381,15 @@ def test_graph_fixpoints_broadcast_nothing(spark, monkeypatch):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (5, 1)], "a long, b long")
     assert components(e, "a", "b").count() == 5 and stages.cycles(e, "a", "b").count() == 3
     assert len(plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
+def test_provenance_sorts_each_subject_once(spark):
+    fact = spark.createDataFrame([(1, 7), (2, 7), (3, 8)], "id long, subject_id long")
+    claim = spark.createDataFrame([(10, 1), (11, 1), (20, 2), (30, 3)], "id long, target_id long")
+    cited = [(10, 1, "s. 12"), (10, 1, "s. 12"), (11, 1, "s. 3"), (11, 2, "s. 12"), (20, 1, None), (20, 2, None), (20, 3, "x"), (30, 1, "s. 12")]
+    citation = spark.createDataFrame(cited, "claim_id long, source_id long, page string")
+    # Sources 1 and 2 are one work.
+    source = spark.createDataFrame([(1, "A", None), (2, "A", None), (3, "A", "2")], "id long, title string, edition string")
+    df = evidence.provenance(fact, claim, citation, source)
+    assert rows(df) == sorted([(7, "A", "s. 3", 1), (7, "A", "s. 12", 2), (7, "A", None, 3), (7, "A, 2", "x", 4), (8, "A", "s. 12", 1)], key=str)
+    assert "HashAggregate" not in df._jdf.queryExecution().executedPlan().toString()
