@@ -3,6 +3,7 @@
 import random
 
 from stemma.operators import whatif
+from stemma.plans.stages import materialise
 
 
 def _groups(edges, known):
@@ -115,3 +116,23 @@ def test_query_as_a_full_run_for_each_pair(spark):
     assert len(got) == len(people)
     assert got == {(a, c): full_run([*edges, (a, c)], people, parents, []).get(a) for a, c in got}
     assert len(set(got.values())) > 3
+
+
+def test_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """A third of all pairs lead into one group of copies; nothing that is written is larger than a few times the input."""
+    sizes = []
+
+    def counted(df, tag="stage"):
+        out = materialise(df, tag)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(whatif, "materialise", counted)
+    n = 900
+    people = {i: (None, None, None) for i in range(n)}
+    edges, parents = [(i, 0) for i in range(3, n, 3)], [(i, 1) for i in range(3, n, 3)]
+    frames = _frames(spark, edges, people, parents, [])
+    pairs = spark.range(n).selectExpr("id AS alias", "id + 1 AS canonical").where(f"canonical < {n}")
+    got = {r["alias"]: r["reason"] for r in whatif.what_if(pairs, *frames).collect()}
+    assert {got[i] for i in range(3, n - 1, 3)} == {"ikke én kanonisk"}
+    assert got[2] is None and got[5] is None and got[0] == "egen forælder" and max(sizes) <= 4 * n
