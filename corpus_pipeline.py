@@ -15,6 +15,7 @@ from stemma.llm import exact_dedup as dedup
 from stemma.llm import mixing, packing, simhash
 from stemma.llm import toxicity as toxic
 from stemma.llm.common import fresh_path, table
+from stemma.plans.stages import scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,10 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each stage's result is written as Parquet and read again."""
+    """Apply the stages to documents; each stage's result is written as Parquet and read again, and what the stage wrote besides goes with its end."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -299,14 +299,48 @@ def _sketches(batches: Iterator, shingle: int) -> Iterator:
             )
 
 
+def prefix_pairs(held: DataFrame, similarity: float) -> DataFrame:
+    """a, b (a < b): all pairs of different roots whose sets may have a Jaccard similarity of ``similarity`` or more. held: grams, n (size), root and h, a row for each element of the set grams.
+
+    Such sets share ``similarity`` of each other's elements, so in any order
+    of the elements their first common one is among the first n - similarity *
+    n + 1 of both. In the order by frequency these are the rarest, and a set
+    with more elements of its own alone than that has no partner. From the
+    first common element on, enough must be left in both. Where an element's
+    sets are mostly of one root, the others meet them and each other; those of
+    that root don't meet.
+    """
+    from pyspark.sql.window import Window
+
+    least = float(similarity) - 1e-9
+    held = materialise(held, "similar-elements")
+    often = held.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
+    common = held.join(often, "h")
+    own = Window.partitionBy("grams")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "h"))
+    first = common.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
+    first = materialise(first.select("h", "grams", "n", "root", "place"), "similar-prefixes")
+    roots = first.groupBy("h", "root").agg(F.count("*").alias("sets"))
+    major = roots.groupBy("h").agg(F.count("*").alias("roots"), F.max(F.struct("sets", "root"))["root"].alias("major")).where("roots > 1").select("h", "major")
+    first = materialise(first.join(major, "h"), "similar-mixed")
+    x = first.where("root <> major").select("h", F.col("grams").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a"), F.col("place").alias("at_a"))
+    y = first.select("h", F.col("grams").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"), F.col("place").alias("at_b"), "major")
+    near = F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b")
+    enough = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b"))
+    once = (F.col("r_b") == F.col("major")) | (F.col("a") < F.col("b"))
+    return x.join(y, "h").where((F.col("r_a") != F.col("r_b")) & once & near & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
     """doc_id, component_id: one row per input row; linked are texts whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
 
     Words, shingles, ids and empty tables are as in ``near_duplicates``; texts
     without words are alike. Candidates are the links of the BK-trees and trees
     of bounded degree over the texts of each band. Once these are verified,
-    what shares a band and is not yet in one component is compared pair by
-    pair, so a large group costs its members, not its pairs.
+    texts that share a band and are not yet in one component are compared
+    where they share one of their rarest shingles (``prefix_pairs``, which
+    loses none), so a group whose members stay unlike costs the members that
+    have partners, not all pairs.
     """
     from pyspark.sql.functions import pandas_udf
     from pyspark.sql.window import Window
@@ -321,6 +355,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], index=a.index, dtype="float64")
 
+    @pandas_udf("array<long>")
+    def hashes(texts):
+        import xxhash
+
+        return texts.map(lambda t: list({_signed(xxhash.xxh64_intdigest(g, SEED)) for g in text_shingles(t, shingle)}))
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marked = materialise(rows.mapInArrow(lambda it: _sketches(it, shingle), "doc_id long, text string, fp long, grams long, n long, keys array<long>"), "sketches")
     nodes = materialise(marked.groupBy("grams").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")), "sketch-nodes")
@@ -345,13 +385,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tried = verified(trees.unionByName(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
     labels = components(tried.where("alike"))
 
-    # What shares a band across components; sizes too different rule a pair out.
+    # What shares a band across components.
     apart = met.join(labels.select(F.col("node").alias("grams"), "root"), "grams", "left").withColumn("root", F.coalesce("root", "grams"))
     mixed = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    apart = materialise(apart.join(mixed, "key"), "sketch-apart")
-    x, y = apart.select("key", F.col("grams").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("r_a")), apart.select("key", F.col("grams").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("r_b"))
-    near = F.least("n_a", "n_b") >= F.lit(float(similarity) - 1e-9) * F.greatest("n_a", "n_b")
-    cross = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & near).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    apart = materialise(apart.join(mixed, "key").select("grams", "n", "root").distinct(), "sketch-apart")
+    texts = marked.join(apart, "grams", "left_semi").groupBy("grams").agg(F.min("text").alias("text"))
+    held = apart.join(texts, "grams").select("grams", "n", "root", F.explode(hashes("text")).alias("h"))
+    cross = prefix_pairs(held, similarity).join(tried, ["a", "b"], "left_anti")
     labels = components(tried.unionByName(verified(cross)).where("alike"))
 
     linked = nodes.join(labels, F.col("grams") == F.col("node")).select("grams", "first", "root")

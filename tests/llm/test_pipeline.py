@@ -124,3 +124,51 @@ def test_planted_near_copies(spark):
     assert [got[i] for i in range(len(texts))] == want
     assert {r["doc_id"] for r in P.near_duplicates(spark, docs, SMALL).collect()} == set(want)
     assert any(want[i] != i and (brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[want[i]])).bit_count() > 2 for i in range(len(texts)))
+
+
+def test_a_group_of_unlike_texts_costs_its_members(spark, monkeypatch):
+    """Texts that share a passage but are no near-copies: their number, not their pairs, is compared, and the two that are alike are found."""
+    from stemma.llm import simhash
+    from stemma.plans.stages import materialise
+
+    tried = []
+
+    def counted(df, tag="stage"):
+        out = materialise(df, tag)
+        if tag == "similar-candidates":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    n, passage = 200, [f"p{i}" for i in range(90)]
+    texts = [" ".join([*passage, *(f"w{d}x{i}" for i in range(30))]) for d in range(n)] + [" ".join([*passage, *(f"w7x{i}" for i in range(29)), "end"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert got == {d: 7 if d == n else d for d in range(n + 1)}
+    assert len(tried) == 2 and tried[1] <= n
+
+
+def test_prefix_pairs_lose_none(spark):
+    import random
+
+    from stemma.llm import simhash
+
+    rng = random.Random(5)
+    sets = [set(range(rng.randrange(8), 40)) - set(rng.sample(range(40), rng.randrange(9))) | set(rng.sample(range(40, 60), rng.randrange(4))) for _ in range(60)]
+    root = [rng.randrange(6) for _ in sets]
+    held = spark.createDataFrame([(i, len(s), root[i], h) for i, s in enumerate(sets) for h in s], "grams long, n long, root long, h long")
+    got = {(r["a"], r["b"]) for r in simhash.prefix_pairs(held, 0.8).collect()}
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) > 20 and want <= got
+
+
+def test_stages_leave_only_their_results(spark):
+    import os
+
+    from stemma.plans.stages import shared_dir
+
+    where = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(where))
+    rows = P.run(spark, SMALL).count()
+    left = set(os.listdir(where)) - before
+    assert rows and len(left) == len(P.STAGES) and all(x.startswith("pipeline-") for x in left)
