@@ -234,6 +234,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels (node, root) of ``components`` after further edges (a, b), found over the roots that these connect."""
+    of = {c: labels.select(F.col("node").alias(c), F.col("root").alias(f"of_{c}")) for c in "ab"}
+    ends = edges.select("a", "b").join(of["a"], "a", "left").join(of["b"], "b", "left")
+    further = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    moved = labels.join(further.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialise(moved.unionByName(further.join(labels, "node", "left_anti")), "joined-labels")
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
     """a, b: spanning trees of the linked groups of every shard. nodes: distinct fp."""
     sharded = shards(nodes, radius, heavy).repartition("mask", "value").sortWithinPartitions("mask", "value")
@@ -299,6 +308,25 @@ def _sketches(batches: Iterator, shingle: int) -> Iterator:
             )
 
 
+def centre_pairs(held: DataFrame, similarity: float) -> DataFrame:
+    """a, b (a < b): each set of a large group with the group's centre, where their roots differ and their sizes allow ``similarity``. held: as for ``prefix_pairs``.
+
+    The centre of an element is the one of its sets whose elements are the most
+    frequent: in a group of near copies the text that they vary, or the one
+    closest to it. A set goes to the centre of most of its elements. Only
+    elements of more than ``_FAN`` sets count: where a group is small, so are
+    its pairs.
+    """
+    often = held.groupBy("h").agg(F.count("*").alias("often")).where(F.col("often") > _FAN)
+    common = materialise(held.join(often, "h"), "centre-elements")
+    weight = common.groupBy("grams").agg((F.sum("often") / F.first("n")).alias("weight"))
+    centre = common.join(weight, "grams").groupBy("h").agg(F.max(F.struct("weight", "grams", "n", "root")).alias("centre"))
+    votes = common.join(centre, "h").groupBy("grams", "n", "root", "centre").agg(F.count("*").alias("votes"))
+    own = votes.groupBy("grams", "n", "root").agg(F.max(F.struct("votes", "centre"))["centre"].alias("centre"))
+    near = F.least("n", "centre.n") >= F.lit(float(similarity) - 1e-9) * F.greatest("n", "centre.n")
+    return own.where((F.col("root") != F.col("centre.root")) & near).select(F.least("grams", "centre.grams").alias("a"), F.greatest("grams", "centre.grams").alias("b")).distinct()
+
+
 def prefix_pairs(held: DataFrame, similarity: float) -> DataFrame:
     """a, b (a < b): all pairs of different roots whose sets may have a Jaccard similarity of ``similarity`` or more. held: grams, n (size), root and h, a row for each element of the set grams.
 
@@ -313,7 +341,6 @@ def prefix_pairs(held: DataFrame, similarity: float) -> DataFrame:
     from pyspark.sql.window import Window
 
     least = float(similarity) - 1e-9
-    held = materialise(held, "similar-elements")
     often = held.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
     common = held.join(often, "h")
     own = Window.partitionBy("grams")
@@ -337,10 +364,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Words, shingles, ids and empty tables are as in ``near_duplicates``; texts
     without words are alike. Candidates are the links of the BK-trees and trees
     of bounded degree over the texts of each band. Once these are verified,
-    texts that share a band and are not yet in one component are compared
-    where they share one of their rarest shingles (``prefix_pairs``, which
-    loses none), so a group whose members stay unlike costs the members that
-    have partners, not all pairs.
+    texts that share a band and are not yet in one component are compared with
+    the centre of their group (``centre_pairs``, one pair for each text); those
+    that are still apart where they share one of their rarest shingles
+    (``prefix_pairs``, which loses none), so a group whose members stay unlike
+    costs the members that have partners, not all pairs.
     """
     from pyspark.sql.functions import pandas_udf
     from pyspark.sql.window import Window
@@ -368,9 +396,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = met.groupBy("key").count().where("count > 1").select("key")
     met = materialise(met.join(shared, "key"), "sketch-bands")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, tag: str = "similar-candidates") -> DataFrame:
         """The pairs a, b and whether their texts are similar."""
-        pairs = materialise(pairs, "similar-candidates")
+        pairs = materialise(pairs, tag)
         wanted = pairs.select(F.col("a").alias("grams")).union(pairs.select("b")).distinct()
         texts = materialise(marked.join(wanted, "grams", "left_semi").groupBy("grams").agg(F.min("text").alias("text")), "similar-texts")
         both = pairs.join(texts.select(F.col("grams").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("grams").alias("b"), F.col("text").alias("text_b")), "b")
@@ -385,14 +413,21 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tried = verified(trees.unionByName(close.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct())
     labels = components(tried.where("alike"))
 
-    # What shares a band across components.
-    apart = met.join(labels.select(F.col("node").alias("grams"), "root"), "grams", "left").withColumn("root", F.coalesce("root", "grams"))
-    mixed = apart.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    apart = materialise(apart.join(mixed, "key").select("grams", "n", "root").distinct(), "sketch-apart")
-    texts = marked.join(apart, "grams", "left_semi").groupBy("grams").agg(F.min("text").alias("text"))
-    held = apart.join(texts, "grams").select("grams", "n", "root", F.explode(hashes("text")).alias("h"))
-    cross = prefix_pairs(held, similarity).join(tried, ["a", "b"], "left_anti")
-    labels = components(tried.unionByName(verified(cross)).where("alike"))
+    def apart(labels: DataFrame) -> DataFrame:
+        """grams, n, root of the texts that share a band across components."""
+        own = met.join(labels.select(F.col("node").alias("grams"), "root"), "grams", "left").withColumn("root", F.coalesce("root", "grams"))
+        mixed = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        return materialise(own.join(mixed, "key").select("grams", "n", "root").distinct(), "sketch-apart")
+
+    # The centres first: what they link needs no other pair.
+    first = apart(labels)
+    texts = marked.join(first, "grams", "left_semi").groupBy("grams").agg(F.min("text").alias("text"))
+    held = materialise(first.join(texts, "grams").select("grams", "n", "root", F.explode(hashes("text")).alias("h")), "similar-elements")
+    central = verified(centre_pairs(held, similarity).join(tried, ["a", "b"], "left_anti"), "similar-centres")
+    labels = joined(labels, central.where("alike"))
+    rest = held.select("grams", "h").join(apart(labels), "grams")
+    cross = prefix_pairs(rest, similarity).join(tried.unionByName(central), ["a", "b"], "left_anti")
+    labels = joined(labels, verified(cross).where("alike"))
 
     linked = nodes.join(labels, F.col("grams") == F.col("node")).select("grams", "first", "root")
     smallest = linked.groupBy("root").agg(F.min("first").alias("least"))

@@ -148,6 +148,52 @@ def test_a_group_of_unlike_texts_costs_its_members(spark, monkeypatch):
     assert len(tried) == 2 and tried[1] <= n
 
 
+def test_a_group_of_near_copies_costs_its_members(spark, monkeypatch):
+    """Copies of one text with some words changed, alike to it but mostly not to each other: each is compared with it, and few pairs are left."""
+    import random
+
+    from stemma.llm import simhash
+    from stemma.plans.stages import materialise
+
+    tried = {}
+
+    def counted(df, tag="stage"):
+        out = materialise(df, tag)
+        if tag in ("similar-centres", "similar-candidates"):
+            tried.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", counted)
+    rng, n = random.Random(11), 240
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for d in range(n):
+        copy = list(base)
+        for at in rng.sample(range(2, 148), 3):
+            copy[at] = f"c{d}x{at}"
+        texts.append(" ".join(copy))
+    sets = [simhash.text_shingles(t, 5) for t in texts]
+    assert all(len(s & sets[0]) >= 0.8 * len(s | sets[0]) for s in sets)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert got == dict.fromkeys(range(n + 1), 0)
+    assert sum(tried.get("similar-centres", [])) <= n and tried["similar-candidates"][1] <= n
+
+
+def test_joined_labels_are_those_of_all_edges(spark):
+    import random
+
+    from stemma.llm import simhash
+
+    rng = random.Random(2)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(50)]
+    of = lambda e: spark.createDataFrame(e, "a long, b long")
+    labels = lambda df: {(r["node"], r["root"]) for r in df.collect()}
+    want = labels(simhash.components(of(edges)))
+    for cut in (0, 10, 25, 40, 50):
+        assert labels(simhash.joined(simhash.components(of(edges[:cut])), of(edges[cut:]))) == want
+
+
 def test_prefix_pairs_lose_none(spark):
     import random
 
