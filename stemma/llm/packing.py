@@ -51,8 +51,8 @@ _RANKED = 2_000
 _SENT = 50_000
 #: Pieces of one text that are cut in one task, about.
 _CUTS = 1_000
-#: Bytes that a worker remembers, and what an entry takes besides its characters and ids.
-_MEMO, _ENTRY = 400 << 20, 160
+#: Bytes that a worker remembers, what an entry takes besides its characters and ids, and stretches of one text that are looked up at a time.
+_MEMO, _ENTRY, _AT_ONCE = 64 << 20, 160, 1 << 16
 _WORKERS: dict[str, Tokenizer] = {}
 
 # The normaliser and the pre-tokeniser of the vocabulary whose words may be remembered.
@@ -72,8 +72,11 @@ class Tokenizer:
 
     The vocabulary's model sees each word of the pre-tokenizer alone, and no
     word has white space in it, so ids are concatenated from what is remembered
-    of the stretches between white space; only new stretches are encoded. In a
-    text without other punctuation a lone full stop or comma is a word of its
+    of the stretches between white space; only new stretches are encoded. The
+    memory is two dicts of half its bound: when the younger is full it takes the
+    place of the older, from which what is met again comes back, so frequent
+    stretches stay and rare ones go. A worker holds it for all of its tasks, and
+    beside those of other stages. In a text without other punctuation a lone full stop or comma is a word of its
     own, so it may stand apart. That is done for texts made of
     plain Latin characters, where lower-casing and cutting into words need no
     Unicode tables that could differ; every other text, and one that holds a
@@ -94,6 +97,7 @@ class Tokenizer:
         self.simple = regex.compile(r"[\t\n\r .,0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]*")
         self.words = regex.compile(_WORDS)
         self.stretches: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.size = 0
 
     def ids(self, text: str):
@@ -106,14 +110,24 @@ class Tokenizer:
             text = text.replace(".", " . ").replace(",", " , ")
         elif not self.plain.fullmatch(text) or "<|" in text:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        stretches, parts = self.stretches, text.lower().split()
-        new = set(parts).difference(stretches)
+        parts = text.lower().split()
+        return np.frombuffer(b"".join(self._data(parts[lo : lo + _AT_ONCE]) for lo in range(0, len(parts), _AT_ONCE)), "<u4")
+
+    def _data(self, parts: list[str]) -> bytes:
+        """The ids of some stretches, end to end."""
+        new = set(parts).difference(self.stretches)
+        if new and self.size > _MEMO // 2:
+            self.older, self.stretches, self.size, new = self.stretches, {}, 0, set(parts)
+        if again := [x for x in new if x in self.older]:
+            self._keep(again, [self.older[x] for x in again])
+            new.difference_update(again)
         if new:
-            if self.size > _MEMO:
-                stretches.clear()
-                self.size, new = 0, set(parts)
             self._learn(list(new))
-        return np.frombuffer(b"".join(map(stretches.__getitem__, parts)), "<u4")
+        return b"".join(map(self.stretches.__getitem__, parts))
+
+    def _keep(self, stretches: list[str], data: list[bytes]) -> None:
+        self.stretches.update(zip(stretches, data, strict=True))
+        self.size += sum(map(len, data)) + sum(map(len, stretches)) + _ENTRY * len(stretches)
 
     def _learn(self, stretches: list[str]) -> None:
         """Encode new stretches in one call: white space keeps them apart, each token names its word, and the pattern tells how many words a stretch has."""
@@ -124,8 +138,7 @@ class Tokenizer:
         start = np.r_[np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), len(ids)]
         first = start[np.cumsum([0, *(1 if x.isalpha() else len(self.words.findall(x)) for x in stretches)])].tolist()
         data = ids.tobytes()
-        self.stretches.update((x, data[4 * a : 4 * b]) for x, a, b in zip(stretches, first, first[1:], strict=False))
-        self.size += len(data) + sum(map(len, stretches)) + _ENTRY * len(stretches)
+        self._keep(stretches, [data[4 * a : 4 * b] for a, b in zip(first, first[1:], strict=False)])
 
     @staticmethod
     def of(path: str) -> Tokenizer:

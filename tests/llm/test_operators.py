@@ -292,6 +292,24 @@ def test_packing_of_one_length_and_of_another_vocabulary(spark):
         assert own.ids(t).tolist() == words.encode(t, add_special_tokens=False).ids
 
 
+def test_what_a_worker_remembers_is_bounded():
+    """Half a million different words, in one long text and in many short ones: the ids stay the library's, the memory within 64 MB and what one look-up adds, and a word of every text is encoded once."""
+    coder = packing.Tokenizer(packing.vocabulary_path())
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4)) + "qzqzqzqzqzqzqzqz"
+    most, learned, learn = 0, [], coder._learn
+    coder._learn = lambda new: (learned.append((len(new), "the" in new)), learn(new))
+    held = lambda: sum(packing._ENTRY + len(k) + len(v) for x in vars(coder).values() if isinstance(x, dict) for k, v in x.items())
+    texts = ["the " + " ".join(map(word, range(100_000)))] + ["the " + " ".join(map(word, range(i, i + 20_000))) for i in range(100_000, 450_000, 20_000)]
+    for t in texts:
+        ids = coder.ids(t)
+        most = max(most, held())
+    assert ids.tolist() == coder.library.encode(t, add_special_tokens=False).ids
+    assert coder.ids(texts[0]).tolist() == coder.library.encode(texts[0], add_special_tokens=False).ids
+    assert most < 84 << 20
+    assert max(n for n, _ in learned) <= 1 << 16
+    assert sum(the for _, the in learned) == 1
+
+
 def test_packing_on_the_table(spark):
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
     check_packing(packing.op4_packing(spark, SMALL), [(r["doc_id"], r["text"]) for r in d.collect()], 2048, 0.01)
